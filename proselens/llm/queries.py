@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pieces, token_files
+from . import bottomk, pieces, token_files
 from .shared import table
 
 
@@ -16,5 +16,9 @@ def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op4_pieces)}
+def op5_bottomk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bottomk.result(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op4_pieces, op5_bottomk)}
 ORACLES: dict[str, str] = {}
