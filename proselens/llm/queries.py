@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bottomk, pieces, token_files
+from . import bottomk, pieces, rendezvous, token_files, waterfill
 from .shared import table
 
 
@@ -20,5 +20,13 @@ def op5_bottomk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bottomk.result(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op4_pieces, op5_bottomk)}
-ORACLES: dict[str, str] = {}
+def op6_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rendezvous.assign(table(spark, sf_dir, "documents"), [1.0] * 8)
+
+
+def op10_waterfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return waterfill.result(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op4_pieces, op5_bottomk, op6_rendezvous, op10_waterfill)}
+ORACLES = {"op10_waterfill": waterfill.ORACLE}
