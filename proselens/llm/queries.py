@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bottomk, pieces, rendezvous, token_files, waterfill
+from . import bottomk, license_scan, pieces, rendezvous, token_files, waterfill
 from .shared import table
 
 
@@ -12,6 +12,10 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.result(table(spark, sf_dir, "documents"))
+
+
 def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(table(spark, sf_dir, "documents"))
 
@@ -28,5 +32,5 @@ def op10_waterfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return waterfill.result(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op4_pieces, op5_bottomk, op6_rendezvous, op10_waterfill)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_license_scan, op4_pieces, op5_bottomk, op6_rendezvous, op10_waterfill)}
 ORACLES = {"op10_waterfill": waterfill.ORACLE}

@@ -44,7 +44,7 @@ def targets(sizes: DataFrame, share: float, max_epochs: float, weights: Column |
         "cap_before": F.coalesce(F.sum("cap").over(soonest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)),
         "weight_left": F.sum("weight").over(soonest.rowsBetween(0, Window.unboundedFollowing)),
     })
-    # the line if this source is the first that isn't full; beyond the true line it only rises
+    # the waterline if this source is the first that isn't full
     line = (F.col("budget") - F.col("cap_before")) / F.col("weight_left")
     levels = full.withColumn("line", F.when(line * F.col("weight") < F.col("cap"), line))
     level = F.first("line", ignorenulls=True).over(soonest.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
@@ -125,7 +125,7 @@ f AS (
          coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS cap_before,
          sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weight_left
   FROM w),
-l AS (SELECT min((budget - cap_before) / weight_left) FILTER ((budget - cap_before) / weight_left * weight < cap) AS level FROM f),
+l AS (SELECT first((budget - cap_before) / weight_left ORDER BY cap / weight, source NULLS LAST) FILTER ((budget - cap_before) / weight_left * weight < cap) AS level FROM f),
 t AS (SELECT source, source_size, least(cap, coalesce(level * weight, cap)) AS target FROM f, l),
 g AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM t),
 r AS (
