@@ -274,3 +274,22 @@ def _drop_rows(docs: DataFrame, gone: DataFrame, rows: DataFrame) -> DataFrame:
     single = left.join(twins, same, "left_anti")
     double = left.join(twins, same, "left_semi").dropDuplicates(["__id", "__hash"])
     return single.unionByName(double).drop("__id", "__hash")
+
+
+ORACLE = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - {SHINGLE} + 2, 2)), i -> array_to_string(w[i:i + {SHINGLE} - 1], ' '))) AS s
+  FROM w WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM s x JOIN s y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL),
+l AS (
+  SELECT a, b FROM i JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b
+  WHERE 100 * i.i >= {PERCENT} * (p.n + q.n - i.i)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d JOIN c ON d.doc_id = c.a LEFT JOIN n ON d.doc_id = n.doc_id
+"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bottomk, license_scan, pieces, rendezvous, token_files, waterfill
+from . import bottomk, collide, license_scan, pieces, rendezvous, token_files, vptree, waterfill
 from .shared import table
 
 
@@ -28,9 +28,17 @@ def op6_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rendezvous.assign(table(spark, sf_dir, "documents"), [1.0] * 8)
 
 
+def op7_collide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collide.classify(table(spark, sf_dir, "embeddings"))
+
+
+def op8_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vptree.search(table(spark, sf_dir, "embeddings"))
+
+
 def op10_waterfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return waterfill.result(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_license_scan, op4_pieces, op5_bottomk, op6_rendezvous, op10_waterfill)}
-ORACLES = {"op10_waterfill": waterfill.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_license_scan, op4_pieces, op5_bottomk, op6_rendezvous, op7_collide, op8_vptree, op10_waterfill)}
+ORACLES = {"op5_bottomk": bottomk.ORACLE, "op7_collide": collide.ORACLE, "op10_waterfill": waterfill.ORACLE}
