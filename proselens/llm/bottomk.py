@@ -281,7 +281,7 @@ WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
   FROM documents),
 s AS (
-  SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - {SHINGLE} + 2, 2)), i -> array_to_string(w[i:i + {SHINGLE} - 1], ' '))) AS s
+  SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - {SHINGLE} + 2, 2)), lambda i: array_to_string(w[i:i + {SHINGLE} - 1], ' '))) AS s
   FROM w WHERE len(w) > 0),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 i AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM s x JOIN s y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL),
