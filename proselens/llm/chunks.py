@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Chunks that one Python worker remembers in each of two generations. The memory only saves work; results don't depend on it.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 #: Longer chunks are not remembered.
 LONGEST = 64
 

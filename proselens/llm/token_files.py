@@ -5,7 +5,7 @@ A written corpus is a folder with ``tokens`` (one row per document, in ascending
 list column; document ids, lengths and offsets are delta-encoded; row groups and pages are small enough that column and page
 indexes let a reader skip to a few documents, and metadata can be read without touching the ids.
 
-Rows: a null text counts as empty (only the end id). A null id sorts first. Repeated ids stay, ordered by their text.
+Rows: a null text counts as empty (only the end id). A null id sorts first. Repeated ids stay, ordered by a hash of their text.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from .chunks import ChunkEncoder, byte_level
 from .shared import new_path
 
 #: Texts encoded at once, in characters.
-SLICE = 8_000_000
+SLICE = 3_000_000
 
 
 @dataclass(frozen=True)
@@ -110,9 +110,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
 
     One shuffle deals documents by ranges of doc_id; each task encodes its run in order, so its offsets are running sums.
     """
-    rows = docs.select("doc_id", "text")
-    dealt = rows.repartitionByRange(partitions, "doc_id", "text") if partitions else rows.repartitionByRange("doc_id", "text")
-    dealt = dealt.sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
+    order = ["doc_id", "hash"]
+    dealt = rows.repartitionByRange(partitions, *order) if partitions else rows.repartitionByRange(*order)
+    dealt = dealt.sortWithinPartitions(*order).select("doc_id", "text", F.spark_partition_id().alias("part"))
     encoded = dealt.mapInArrow(_encode(tokenizer or tokenizer_path(), end_id), "doc_id long, part int, offset long, n_tokens long, ids array<int>")
     encoded.write.options(**layout.options()).parquet(f"{path}/tokens")
     by_part = read_metadata(docs.sparkSession, path).groupBy("part").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
