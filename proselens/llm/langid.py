@@ -115,9 +115,11 @@ def temperature(logits: np.ndarray, labels: np.ndarray) -> float:
         return 1.0
 
     def loss(t: float) -> float:
-        p = _softmax(logits * np.exp(t))
-        return -np.log(np.maximum(p[np.arange(len(labels)), labels], 1e-12)).mean()
+        p = np.log(np.maximum(_softmax(logits * np.exp(t)), 1e-12))
+        right = p[np.arange(len(labels)), labels]
+        return -((1 - doubt) * right + doubt * (p.sum(axis=1) - right) / max(1, p.shape[1] - 1)).mean()
 
+    doubt = 1 / (len(labels) + 2)  # else rows without an error would call for certainty
     low, high, ratio = -3.0, 5.0, (np.sqrt(5) - 1) / 2
     for _ in range(60):
         a, b = high - ratio * (high - low), low + ratio * (high - low)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bottomk, collide, langid, license_scan, pieces, rendezvous, token_files, vptree, waterfill
+from . import bottomk, collide, langid, license_scan, pieces, rendezvous, secret_forest, token_files, vptree, waterfill
 from .shared import table
 
 
@@ -40,9 +40,13 @@ def op8_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vptree.search(table(spark, sf_dir, "embeddings"))
 
 
+def op9_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_forest.result(table(spark, sf_dir, "documents"))
+
+
 def op10_waterfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return waterfill.result(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_license_scan, op3_langid, op4_pieces, op5_bottomk, op6_rendezvous, op7_collide, op8_vptree, op10_waterfill)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_license_scan, op3_langid, op4_pieces, op5_bottomk, op6_rendezvous, op7_collide, op8_vptree, op9_secret_forest, op10_waterfill)}
 ORACLES = {"op5_bottomk": bottomk.ORACLE, "op7_collide": collide.ORACLE, "op10_waterfill": waterfill.ORACLE}
