@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .chunks import ChunkEncoder, byte_level
 from .shared import new_path
 
-#: Texts encoded at once, in characters.
+#: Texts encoded at once, in characters; with the chunks remembered this bounds a worker's memory.
 SLICE = 3_000_000
 
 
