@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.ml.feature import CountVectorizerModel, Normalizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..shipping import ship
 from .text import model_prep
@@ -41,7 +42,7 @@ def fnv1a(strings: list[str]) -> np.ndarray:
     return out
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def fnv1a32(text: pd.Series) -> pd.Series:
     """FNV-1a of each string; each distinct one of a batch is hashed once."""
     codes, kinds = pd.factorize(text)

@@ -1,8 +1,8 @@
 """Explainable signs of machine-written style, and the verdict on a text.
 
-Every rule gives a tell (ord, id, label, count, weight, sample, fix) if it counts; ``ord`` is the order of the rules. Rules of
-a tier run only on texts that one combined pattern lets through; they are a literal array of patterns that an expression
-walks, so plans stay small.
+Every rule gives a tell (ord, id, label, count, weight, sample, fix) if it counts; ``ord`` is the order of the rules. The rules
+of a tier are a literal array that an expression walks, so plans stay small; a rule's pattern runs only on texts that hold one
+of the plain strings without which it can't match.
 """
 
 from __future__ import annotations
@@ -25,6 +25,15 @@ _DASH = _PHRASE + len(P.PHRASES)
 _EMOJI, _BOLD, _HEADING, _LINES, _RHYTHM, _TRIAD = range(_DASH + 1, _DASH + 7)
 
 
+def _with(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once a row, however often ``then`` and its own lambdas use it."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _lowered(text: Column) -> Column:
+    return F.struct(text.alias("text"), F.lower(text).alias("lowered"))
+
+
 def hits(text: Column, pattern: Column | str, fold: bool = True) -> Column:
     """All matches, trimmed."""
     literal = F.lit(P.java(pattern, fold)) if isinstance(pattern, str) else pattern
@@ -40,17 +49,27 @@ def _one(when: Column, *tell) -> Column:
     return F.when(when, F.array(_tell(*tell))).otherwise(F.array().cast(NONE))
 
 
+def _stems(pattern: str) -> Column:
+    return F.array(*[F.lit(x) for x in P.stems(pattern)]).cast("array<string>")
+
+
+def _may_match(stems: Column, lowered: Column) -> Column:
+    return (F.size(stems) == 0) | F.exists(stems, lambda x: F.contains(lowered, x))
+
+
 def _ruled(text: Column, rules: list[P.Rule], first: int, sample_chars: int | None = None) -> Column:
-    listed = F.array(*[F.struct(F.lit(first + k).alias("ord"), F.lit(r.id).alias("id"), F.lit(r.label).alias("label"), F.lit(r.weight).alias("weight"), F.lit(r.cap).alias("cap"), F.lit(r.fix).alias("fix"), F.lit(P.java(r.pattern)).alias("pattern")) for k, r in enumerate(rules)])
-    found = F.filter(F.transform(listed, lambda r: F.struct(r.alias("rule"), hits(text, r["pattern"]).alias("hits"))), lambda x: F.size(x["hits"]) > 0)
+    listed = F.array(*[F.struct(F.lit(first + k).alias("ord"), F.lit(r.id).alias("id"), F.lit(r.label).alias("label"), F.lit(r.weight).alias("weight"), F.lit(r.cap).alias("cap"), F.lit(r.fix).alias("fix"), F.lit(P.java(r.pattern)).alias("pattern"), _stems(r.pattern).alias("stems")) for k, r in enumerate(rules)])
+
+    def found(both: Column) -> Column:
+        likely = F.filter(listed, lambda r: _may_match(r["stems"], both["lowered"]))
+        return F.filter(F.transform(likely, lambda r: F.struct(r.alias("rule"), hits(both["text"], r["pattern"]).alias("hits"))), lambda x: F.size(x["hits"]) > 0)
 
     def tell(x: Column) -> Column:
         r, n = x["rule"], F.size(x["hits"])
         sample = x["hits"][0] if sample_chars is None else F.substring(x["hits"][0], 1, sample_chars)
         return _tell(r["ord"], r["id"], r["label"], n, r["weight"] * F.least(n, r["cap"]), sample, r["fix"])
 
-    gate = text.rlike(P.gate([r.pattern for r in rules]))
-    return F.when(gate, F.transform(found, tell)).otherwise(F.array().cast(NONE))
+    return _with(_lowered(text), lambda both: F.transform(found(both), tell))
 
 
 def on_sight(text: Column) -> Column:
@@ -63,18 +82,17 @@ def phrases(text: Column) -> Column:
 
 def cluster(text: Column) -> Column:
     """Words that tell only together: two rules at least."""
-    listed = F.array(*[F.lit(P.java(p)) for p in P.IN_CLUSTERS])
-    found = F.filter(F.transform(listed, lambda p: hits(text, p)), lambda h: F.size(h) > 0)
+    listed = F.array(*[F.struct(F.lit(P.java(p)).alias("pattern"), _stems(p).alias("stems")) for p in P.IN_CLUSTERS])
+
+    def found(both: Column) -> Column:
+        likely = F.filter(listed, lambda r: _may_match(r["stems"], both["lowered"]))
+        return F.filter(F.transform(likely, lambda r: hits(both["text"], r["pattern"])), lambda h: F.size(h) > 0)
+
     # the aggregate binds the matches once
     add = lambda acc, h: F.struct((acc["rules"] + 1).alias("rules"), (acc["n"] + F.least(F.size(h), F.lit(2))).alias("n"), F.when(acc["rules"] < 5, F.concat(acc["words"], F.array(F.lower(h[0])))).otherwise(acc["words"]).alias("words"))
     zero = F.struct(F.lit(0).alias("rules"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("words"))
     tell = lambda acc: _one(acc["rules"] >= 2, _CLUSTER, "cluster", "buzzword cluster", acc["rules"], F.least(acc["n"] * 1.5, F.lit(7.0)), F.array_join(acc["words"], ", "), "plain verbs: use, help, build, lead")
-    return F.when(text.rlike(P.gate(P.IN_CLUSTERS)), F.aggregate(found, zero, add, tell)).otherwise(F.array().cast(NONE))
-
-
-def _with(value: Column, then) -> Column:
-    """``then(value)`` with the value computed once."""
-    return F.transform(F.array(value), then)[0]
+    return _with(_lowered(text), lambda both: F.aggregate(found(both), zero, add, tell))
 
 
 def density(text: Column, words: Column) -> Column:
@@ -149,11 +167,15 @@ def triads(text: Column, words: Column) -> Column:
 
 def all_tells(text: Column, words: Column) -> Column:
     """The tells of a normalised text, heaviest first, then in the order of the rules."""
-    found = F.concat(
-        on_sight(text), cluster(text), density(text, words), intensifiers(text, words), brochure(text), phrases(text), dashes(text, words),
-        emoji_bullets(text), bold(text), headings(text), one_line_paragraphs(text), rhythm(text), triads(text, words),
-    )
-    return rank_tells(found)
+
+    def found(x: Column) -> Column:
+        t, n = x["text"], x["words"]
+        return F.concat(
+            on_sight(t), cluster(t), density(t, n), intensifiers(t, n), brochure(t), phrases(t), dashes(t, n),
+            emoji_bullets(t), bold(t), headings(t), one_line_paragraphs(t), rhythm(t), triads(t, n),
+        )
+
+    return rank_tells(_with(F.struct(text.alias("text"), words.alias("words")), found))
 
 
 def rank_tells(found: Column, top: int | None = None) -> Column:
