@@ -23,3 +23,10 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written and read back, so that what follows doesn't work it out again."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

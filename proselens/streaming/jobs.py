@@ -23,8 +23,8 @@ def changed_blocks(blocks: DataFrame, delay: str = "1 hour", time: str = "ts", k
     return blocks.withColumn("length", F.length("text")).withWatermark(time, delay).dropDuplicatesWithinWatermark([key, "length"])
 
 
-def rescored_blocks(blocks: DataFrame, keep_ms: int = 3_600_000, key: str = "block_id") -> DataFrame:
-    """key, ts, length: arrivals whose length differs from that of the arrival before. State goes after ``keep_ms`` without one."""
+def rescored_blocks(blocks: DataFrame, delay: str = "1 hour", keep_ms: int = 3_600_000, key: str = "block_id") -> DataFrame:
+    """key, ts, length: arrivals whose length differs from that of the arrival before. State goes ``keep_ms`` after the last one."""
 
     def differing(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -34,12 +34,12 @@ def rescored_blocks(blocks: DataFrame, keep_ms: int = 3_600_000, key: str = "blo
         rows = pd.concat(list(batches)).sort_values(["ts", "length"], kind="stable")
         before = rows["length"].shift(fill_value=last)
         state.update((int(rows["length"].iloc[-1]),))
-        state.setTimeoutDuration(keep_ms)
+        state.setTimeoutTimestamp(max(int(rows["ts"].iloc[-1].timestamp() * 1000) + keep_ms, state.getCurrentWatermarkMs() + 1))
         yield rows[rows["length"] != before][[key, "ts", "length"]]
 
-    rows = blocks.select(key, "ts", F.length("text").cast("long").alias("length"))
+    rows = blocks.select(key, "ts", F.length("text").cast("long").alias("length")).withWatermark("ts", delay)
     kind = blocks.schema[key].dataType.simpleString()
-    return rows.groupBy(key).applyInPandasWithState(differing, f"{key} {kind}, ts timestamp, length long", "last long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy(key).applyInPandasWithState(differing, f"{key} {kind}, ts timestamp, length long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def latest_drafts(edits: DataFrame, gap: str = "300 milliseconds", delay: str = "10 seconds", key: str = "draft_id") -> DataFrame:
