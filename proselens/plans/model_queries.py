@@ -15,7 +15,7 @@ from ..operators import model as M
 from ..operators import sampling as P
 from ..scratch import materialise, table
 from . import sql as S
-from .text_queries import _P, FEATURES_SQL, P_COLUMN, analyzed
+from .text_queries import _P, FEATURES_SQL, analyzed, p_column
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -73,7 +73,7 @@ def _joined(s: SparkSession, d: str) -> DataFrame:
 
 
 add("m8_probability_by_join", _joined, f"WITH {_SCORE_SQL} SELECT doc_id, round(p, 9) AS p FROM p")
-add("m9_calibrate", lambda s, d: M.calibrate(labelled(s, d).where("label = 0 AND source <> 'src0'").withColumn("p", P_COLUMN)).select(*[F.round(k, 9).alias(k) for k in M.BUDGETS]),
+add("m9_calibrate", lambda s, d: M.calibrate(labelled(s, d).where("label = 0 AND source <> 'src0'").withColumn("p", p_column())).select(*[F.round(k, 9).alias(k) for k in M.BUDGETS]),
     f"WITH {_L} SELECT " + ", ".join(f"round(quantile_cont({_P}, 1 - {v}::DOUBLE), 9) AS {k}" for k, v in M.BUDGETS.items()) + " FROM labelled WHERE label = 0 AND source <> 'src0'")
 
 
@@ -81,7 +81,7 @@ def decided(s: SparkSession, d: str, rows: Callable = None) -> DataFrame:
     """doc_id, words, p, local (the tells' verdict), and the verdict at each sensitivity. One pass of tells serves all three."""
     from ..functions.tells import verdict
 
-    scored = analyzed(s, d).withColumn("p", P_COLUMN).withColumn("words", count_words("text"))
+    scored = analyzed(s, d).withColumn("p", p_column()).withColumn("words", count_words("text"))
     kinds = F.size("analysis.tells")
     return scored.select("doc_id", "lang", "source", "words", "p", "analysis", *[M.decide(verdict(F.col("analysis.exact_density"), kinds, k), F.col("p"), F.col("words"), THRESHOLDS, k).alias(k) for k in THRESHOLDS])
 
@@ -154,7 +154,7 @@ add("e1_flagged_by_set", lambda s, d: E.flagged_by_set(judged(s, d), {k: k for k
     f"WITH {_J} SELECT \"set\", count(*) AS n, {', '.join(f'''round(avg(CASE WHEN {k} = 'slop' THEN 100.0::DOUBLE ELSE 0 END), 6) AS {k}''' for k in THRESHOLDS)} FROM judged GROUP BY \"set\"")
 add("e2_model_only", lambda s, d: E.model_only_by_set(judged(s, d), THRESHOLDS).select("set", "n", *[F.round(k, 6).alias(k) for k in THRESHOLDS]),
     f"WITH {_J} SELECT \"set\", count(*) AS n, {', '.join(f'round(avg(CASE WHEN nw >= 40 AND p >= {t} THEN 100.0::DOUBLE ELSE 0 END), 6) AS {k}' for k, t in THRESHOLDS.items())} FROM judged GROUP BY \"set\"")
-add("e3_auc", lambda s, d: E.auc(labelled(s, d).withColumn("p", P_COLUMN)).select(F.round("auc", 9).alias("auc")),
+add("e3_auc", lambda s, d: E.auc(labelled(s, d).withColumn("p", p_column())).select(F.round("auc", 9).alias("auc")),
     f"WITH {_L}, x AS (SELECT {_P} AS p, label FROM labelled), r AS (SELECT label, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS r FROM x) "
     "SELECT round(((sum(r) FILTER (label = 1) - count(*) FILTER (label = 1) * (count(*) FILTER (label = 1) + 1) / 2.0) / (count(*) FILTER (label = 1) * count(*) FILTER (label = 0)))::DOUBLE, 9) AS auc FROM r")
 _SETS = "^src1"

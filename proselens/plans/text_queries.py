@@ -29,19 +29,19 @@ def add(name: str, query: Callable[[SparkSession, str], DataFrame], oracle: str
 
 def _column(name: str, column, oracle: str, alias: str, source=None) -> None:
     rows = source or (lambda s, d: table(s, d, "documents"))
-    add(name, lambda s, d: rows(s, d).select("doc_id", column.alias(alias)), oracle)
+    add(name, lambda s, d: rows(s, d).select("doc_id", column().alias(alias)), oracle)
 
 
 _C = "SELECT doc_id, {} AS {} FROM documents"
-_column("t1_normalize", text.normalize("text"), _C.format(S.normalize("text"), "normal"), "normal")
-_column("t2_count_words", text.count_words("text").cast("long"), _C.format(S.words("text"), "n_words"), "n_words")
-_column("t2_count_words_straight", text.count_words("text", curly=False).cast("long"), _C.format(S.words("text", False), "n_words"), "n_words")
+_column("t1_normalize", lambda: text.normalize("text"), _C.format(S.normalize("text"), "normal"), "normal")
+_column("t2_count_words", lambda: text.count_words("text").cast("long"), _C.format(S.words("text"), "n_words"), "n_words")
+_column("t2_count_words_straight", lambda: text.count_words("text", curly=False).cast("long"), _C.format(S.words("text", False), "n_words"), "n_words")
 add("t3_sentences", lambda s, d: planted(s, d).select("doc_id", F.posexplode(text.sentences("text")).alias("no", "sentence")),
     f"WITH {S.PLANTED_SQL}, s AS (SELECT doc_id, {S.sentences('text')} AS s FROM planted) SELECT doc_id, unnest(range(len(s)))::INT AS no, unnest(s) AS sentence FROM s")
 add("t4_lines", lambda s, d: planted(s, d).select("doc_id", F.posexplode(text.text_lines("text")).alias("no", "line")),
     f"WITH {S.PLANTED_SQL}, s AS (SELECT doc_id, {S.lines('text')} AS s FROM planted) SELECT doc_id, unnest(range(len(s)))::INT AS no, unnest(s) AS line FROM s")
-_column("t5_is_english", text.is_english("text"), _C.format(S.english("text"), "english"), "english")
-_column("t6_model_prep", text.model_prep("text"), _C.format(S.prep("text"), "prepared"), "prepared")
+_column("t5_is_english", lambda: text.is_english("text"), _C.format(S.english("text"), "english"), "english")
+_column("t6_model_prep", lambda: text.model_prep("text"), _C.format(S.prep("text"), "prepared"), "prepared")
 
 _SPLIT = " Should n't we go , said ( the man ) - you 're well - known . \" quoted words \" and ' s it ."
 _letter = r"[\p{L}\p{N}_]"
@@ -69,7 +69,7 @@ def _html_sql(x: str) -> str:
 
 add("t8_strip_html", lambda s, d: table(s, d, "pages").select("page_id", text.strip_html("html").alias("text")), f"SELECT page_id, {_html_sql('html')} AS text FROM pages")
 _ESCAPED = '\\n she said \\"yes\\" '
-_column("t9_unescape", text.unescape(F.concat("text", F.lit(_ESCAPED))), _C.format(S.trim(f"replace(replace(text || {S.q(_ESCAPED)}, '\\n', chr(10)), '\\\"', '\"')"), "plain"), "plain")
+_column("t9_unescape", lambda: text.unescape(F.concat("text", F.lit(_ESCAPED))), _C.format(S.trim(f"replace(replace(text || {S.q(_ESCAPED)}, '\\n', chr(10)), '\\\"', '\"')"), "plain"), "plain")
 add("t10_word_bounds", lambda s, d: text.word_bounds(table(s, d, "documents"), 40, 500).select("doc_id", "source"), f"SELECT doc_id, source FROM documents WHERE {S.words('text', False)} BETWEEN 40 AND 500")
 add("t11_truncate", lambda s, d: table(s, d, "documents").select("doc_id", text.truncate("text", text.MODEL_CHARS).alias("for_model"), F.length(text.truncate("text", text.OPINION_CHARS)).alias("opinion_chars")),
     f"SELECT doc_id, substr(text, 1, {text.MODEL_CHARS}) AS for_model, length(substr(text, 1, {text.OPINION_CHARS})) AS opinion_chars FROM documents")
@@ -119,8 +119,14 @@ add("d19_draft_tells", lambda s, d: tells.draft_tells(planted(s, d)).select("doc
     f"{_STRICT}, i AS (SELECT doc_id, sum(count)::BIGINT AS n, string_agg('“' || sample || '” → ' || fix, chr(10) ORDER BY weight DESC, ord) AS lines FROM kept GROUP BY doc_id) "
     "SELECT doc_id, coalesce(n, 0)::BIGINT AS n_tells, coalesce(lines, '') AS lines FROM analysis LEFT JOIN i USING (doc_id) WHERE words >= 12")
 _P = "((doc_id * 7919) % 1000) / 1000.0::DOUBLE"
-P_COLUMN = (F.col("doc_id") * 7919 % 1000) / F.lit(1000.0)
-add("d20_reason_line", lambda s, d: analyzed(s, d).withColumn("p", P_COLUMN).select("doc_id", tells.reason_line(F.col("analysis.verdict"), F.col("p"), F.lit(0.3558), F.col("analysis.tells")).alias("reason")),
+
+
+def p_column():
+    """A made-up share, from the id."""
+    return (F.col("doc_id") * 7919 % 1000) / F.lit(1000.0)
+
+
+add("d20_reason_line", lambda s, d: analyzed(s, d).withColumn("p", p_column()).select("doc_id", tells.reason_line(F.col("analysis.verdict"), F.col("p"), F.lit(0.3558), F.col("analysis.tells")).alias("reason")),
     f"{_A}, k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, ord) AS rank FROM kept), i AS (SELECT doc_id, string_agg(label, ' · ' ORDER BY rank) AS why FROM k WHERE rank <= 3 GROUP BY doc_id) "
     f"SELECT doc_id, CASE WHEN verdict <> 'clean' THEN concat_ws(' ', CASE verdict WHEN 'slop' THEN 'slop' ELSE 'maybe slop' END, CASE WHEN {_P} >= 0.3558 THEN floor({_P} * 100 + 0.5)::BIGINT || '% machine' END, why) END AS reason FROM analysis LEFT JOIN i USING (doc_id)")
 
