@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import words
 from .components import components
-from .shared import BROADCAST_ROWS, small, stage
+from .shared import BROADCAST_ROWS, in_slices, small, stage
 
 SHINGLE = 5
 #: A link needs 100 * intersection >= PERCENT * union.
@@ -62,7 +62,7 @@ def _ordered(hashes: np.ndarray) -> np.ndarray:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in in_slices(batches):
         n, sign, sketch = [], [], []
         for own in _sets(batch.column("text").to_pylist()):
             own = _ordered(own)
@@ -75,12 +75,10 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = batch.column("text").to_pylist()
-        for a in range(0, len(texts), 500):
-            own = [_ordered(x) for x in _sets(texts[a : a + 500])]
-            sign = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in own]
-            yield pa.RecordBatch.from_arrays([pa.array(sign, pa.binary()), pa.array([x.tobytes() for x in own], pa.binary())], names=["sign", "hashes"])
+    for batch in in_slices(batches, 128):
+        own = [_ordered(x) for x in _sets(batch.column("text").to_pylist())]
+        sign = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in own]
+        yield pa.RecordBatch.from_arrays([pa.array(sign, pa.binary()), pa.array([x.tobytes() for x in own], pa.binary())], names=["sign", "hashes"])
 
 
 # ---- candidates ------------------------------------------------------------------------------------------------------

@@ -20,8 +20,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .shared import crc_text, stage
+from .shared import crc_text, in_slices, stage
 from .words import mix
 
 UNDETERMINED = "und"
@@ -75,7 +76,7 @@ def vector(at: np.ndarray, n: np.ndarray, idf: np.ndarray) -> np.ndarray:
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One sparse vector of document frequencies a task; feature -1 counts documents."""
     seen, total = 0, np.zeros(DIMENSIONS, np.int64)
-    for batch in batches:
+    for batch in in_slices(batches):
         for text in batch.column("text").to_pylist():
             seen += 1
             total[counts(text)[0]] += 1
@@ -205,19 +206,28 @@ def train(docs: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[list[str], bytes |
 # ---- prediction ------------------------------------------------------------------------------------------------------
 
 
-def annotate(docs: DataFrame, model: tuple[list[str], bytes | None]) -> DataFrame:
-    """``docs`` with lang_pred and score. The packed model (at most DIMENSIONS x MOST_LANGUAGES numbers) is broadcast."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def _predicted(shared, keep):
+    """Batches with lang_pred and score, or, given ``keep`` (a score), the rows whose language is told with at least it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = _loaded(shared)
+        for batch in in_slices(batches):
+            found = [model.predict(t) for t in batch.column("text").to_pylist()]
+            if keep is not None:
+                yield batch.filter(pa.array([lang != UNDETERMINED and score >= keep for lang, score in found], pa.bool_()))
+            else:
+                columns = [*batch.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
+                yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "lang_pred", "score"])
 
-    @F.pandas_udf("struct<lang:string,score:double>")
-    def predict(texts):
-        import pandas as pd
+    return run
 
-        own = _loaded(shared)
-        return pd.DataFrame([own.predict(t) for t in texts], columns=["lang", "score"])
 
-    found = docs.withColumn("__found", predict("text"))
-    return found.withColumns({"lang_pred": F.col("__found.lang"), "score": F.col("__found.score")}).drop("__found")
+def annotate(docs: DataFrame, model: tuple[list[str], bytes | None]) -> DataFrame:
+    """``docs`` with lang_pred and score, in place of any such columns. The packed model (at most DIMENSIONS x MOST_LANGUAGES numbers) is broadcast."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.drop("lang_pred", "score")
+    schema = T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(_predicted(shared, None), schema)
 
 
 _models: dict[int, Model] = {}
@@ -251,5 +261,5 @@ def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
     model = train(docs)
     if not model[0]:
         return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    found = annotate(docs.withColumn("__row", F.struct(*docs.columns)).select("text", "__row"), model)
-    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select("__row.*")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.mapInArrow(_predicted(shared, least), docs.schema)

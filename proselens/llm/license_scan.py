@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import words
-from .shared import small, stage
+from .shared import in_slices, small, stage
 
 #: Words in a run: of templates shorter than LONG_RUN, SHORT_RUN.
 SHORT_RUN, LONG_RUN = 2, 4
@@ -65,7 +65,7 @@ LICENSES = [
 
 def _runs(ks: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             raw = [(x or "").encode() for x in batch.column("text").to_pylist()]
             found = list(words.word_hashes(raw, words.NOT_ALNUM))
             for k in ks:
@@ -135,7 +135,7 @@ def _verify(templates: list[Template]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = [t.words() for t in templates]
-        for batch in batches:
+        for batch in in_slices(batches):
             texts = [(x or "").encode() for x in batch.column("text").to_pylist()]
             n_words, finds = [], []
             for text, spans in zip(words.word_hashes(texts, words.NOT_ALNUM), batch.column("spans").to_pylist(), strict=True):

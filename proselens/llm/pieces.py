@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import chunks
+from .shared import in_slices
 from .token_files import slices
 
 SPACE_MARK = "▁"
@@ -197,7 +198,7 @@ def load(path: str) -> Model:
 def _encoded(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(path)
-        for batch in batches:
+        for batch in in_slices(batches, 2048):
             texts = [x or "" for x in batch.column("text").to_pylist()]
             for a, b in slices(texts):
                 ids = model.encode(texts[a:b])
@@ -223,7 +224,7 @@ def _digested(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(path)
         decimal = [str(i) for i in range(len(model.lengths))]
-        for batch in batches:
+        for batch in in_slices(batches, 2048):
             texts = [x or "" for x in batch.column("text").to_pylist()]
             for a, b in slices(texts):
                 part = texts[a:b]

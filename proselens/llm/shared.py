@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,3 +56,14 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def crc_text(col):
     """Unsigned crc32 of the decimal text of an integer id; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary"))
+
+
+#: Rows that a Python worker looks at together.
+SLICE_ROWS = 512
+
+
+def in_slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that a worker holds few of them as Python objects; one empty batch for none."""
+    for batch in batches:
+        for at in range(0, max(1, batch.num_rows), rows):
+            yield batch.slice(at, rows)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .chunks import ChunkEncoder, byte_level
-from .shared import new_path
+from .shared import in_slices, new_path
 
 #: Texts encoded at once, in characters; with the chunks remembered this bounds a worker's memory.
 SLICE = 3_000_000
@@ -83,7 +83,7 @@ def _encode(path: str, end_id: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, before, end = _byte_level_encoder(path), 0, np.array([end_id], np.int32)
-        for batch in batches:
+        for batch in in_slices(batches, 2048):
             texts = [x or "" for x in batch.column("text").to_pylist()]
             for a, b in slices(texts):
                 found = encoder(texts[a:b])

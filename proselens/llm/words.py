@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
