@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import features, tells, text
-from ..scratch import table
+from ..scratch import spread, table
 from . import sql as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,7 +18,7 @@ ORACLES: dict[str, str] = {}
 def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` with a planted text at the end of each."""
     added = F.element_at(F.array(*[F.lit(p) for p in S.PLANTED]), (F.col("doc_id") % len(S.PLANTED) + 1).cast("int"))
-    return table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.concat(F.coalesce("text", F.lit("")), F.lit(" "), added).alias("text"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", "lang", "source", F.concat(F.coalesce("text", F.lit("")), F.lit(" "), added).alias("text"))
 
 
 def add(name: str, query: Callable[[SparkSession, str], DataFrame], oracle: str | None = None) -> None:

@@ -25,6 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of one file would be one task; dealt out, every core has some. Larger tables are left as they are."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if len(df.inputFiles()) == 1 else df
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """``df`` written and read back, so that what follows doesn't work it out again."""
     path = new_folder(df.sparkSession, name)
