@@ -1,0 +1,472 @@
+"""Each operator against brute force, and on nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from proselens.llm import bottomk, collide, components, langid, license_scan, pieces, rendezvous, secret_forest, token_files, vptree, waterfill, words
+from proselens.llm.shared import new_path
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+LOWER = {i: i + 32 for i in range(65, 91)}
+VOCABULARY = ["alpha", "beta", "Gamma", "delta", "été", "naïve", "ocean", "river", "stone", "cloud", "light", "paper", "seven", "green"]
+
+
+def sentence(rnd, n):
+    return " ".join(rnd.choice(VOCABULARY) + rnd.choice(["", "", "s", "ing"]) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def rows():
+    """Copies, near copies, nulls, empties, a very long text, odd spaces and a repeated row."""
+    rnd = random.Random(4)
+    base = [sentence(rnd, rnd.randint(1, 120)) for _ in range(40)]
+    texts = [*base, *base[:10], *[x + " more words" for x in base[10:30]], None, "", "  ", "\n\t", "x", "12 34 !!", sentence(rnd, 60_000), "a  b c \n d", "🚀 <s> ▁ x"]
+    out = [(k, t, ["en", "fr", None][k % 3], ["a", "a", "b", None][k % 4], len(t or "")) for k, t in enumerate(texts)]
+    return [*out, out[3]]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, DOCS).repartition(5)
+
+
+@pytest.fixture(scope="module")
+def nothing(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+# ---- shared parts ----------------------------------------------------------------------------------------------------------
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet=st.characters(codec="utf-8"), max_size=40), max_size=8))
+def test_equal_words_have_equal_hashes(texts):
+    pattern = re.compile(rb"[^\x20\x09-\x0D]+")
+    lower = [re.sub(rb"[A-Z]", lambda m: m[0].lower(), t.encode()) for t in texts]
+    wanted = [pattern.findall(t) for t in lower]
+    found = [h.tolist() for h in words.word_hashes([t.encode() for t in texts], words.BLANK)]
+    assert [len(x) for x in found] == [len(x) for x in wanted]
+    names = {}
+    for w, h in zip([w for t in wanted for w in t], [h for t in found for h in t], strict=True):
+        assert names.setdefault(w, h) == h
+    assert len(set(names.values())) == len(names)
+
+
+def test_long_texts_hash_as_short_ones():
+    text = ("word " * 3 + "x" * 70 + "\n").encode() * 20_000
+    (long,) = words.word_hashes([text], words.BLANK)
+    (short,) = words.word_hashes([text[: len(text) // 20_000]], words.BLANK)
+    assert len(long) == 4 * 20_000 and (long.reshape(-1, 4) == short).all()
+
+
+def test_components(spark):
+    rnd = random.Random(2)
+    edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(1000, 1040)] + [(5, 5)]
+    up = list(range(1100))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((root(a), root(b)))
+        up[b] = a
+    wanted = {x: root(x) for e in edges if e[0] != e[1] for x in e}
+    found = components.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {r["node"]: r["root"] for r in found} == wanted and len(found) == len(wanted)
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# ---- 1 token files ---------------------------------------------------------------------------------------------------------
+
+
+def test_token_files(spark, docs, rows, nothing):
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(token_files.tokenizer_path())
+    found = token_files.round_trip(docs.withColumn("start", F.lit("clash"))).orderBy("doc_id", "start").collect()
+    ids = {k: [*model.encode(t or "", add_special_tokens=False).ids, 2] for k, t, *_ in rows}
+    at = 0
+    for r in found:
+        own = ids[r["doc_id"]]
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (at, len(own), zlib.crc32(np.array(own, "<u4").tobytes()))
+        at += len(own)
+    assert len(found) == len(rows)
+    assert token_files.round_trip(nothing).count() == 0
+
+
+def test_token_files_read_selectively(spark, docs):
+    path = new_path(spark, "tokens")
+    token_files.write_tokens(docs, path, partitions=3)
+    plan = token_files.read_tokens(spark, path).where("doc_id = 5").select("n_tokens")._jdf.queryExecution().toString()
+    assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,5)" in plan
+    assert "ids" not in token_files.read_metadata(spark, path)._jdf.queryExecution().executedPlan().toString()
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.text(alphabet=st.sampled_from(list("aB é▁🚀\x00 \n\t.'1 　\x85<s>/0xA")), max_size=40))
+def test_chunks_change_no_ids(text):
+    model = pieces.load(pieces.model_path())
+    assert model.encode([text])[0].tolist() == model.processor.encode(text)
+    whole = token_files._byte_level_encoder(token_files.tokenizer_path())
+    from tokenizers import Tokenizer
+
+    assert whole([text])[0].tolist() == _byte_model(Tokenizer).encode(text, add_special_tokens=False).ids
+
+
+_byte = []
+
+
+def _byte_model(kind):
+    if not _byte:
+        _byte.append(kind.from_file(token_files.tokenizer_path()))
+    return _byte[0]
+
+
+# ---- 2 licences ------------------------------------------------------------------------------------------------------------
+
+
+def test_licenses(spark, rows, nothing):
+    rnd = random.Random(7)
+    mit = license_scan.LICENSES[0].text
+    broken = mit.replace("free of charge, to any person", "free of any charge to every person")
+    texts = [t for _, t, *_ in rows] + ["Released under the MIT License.", "MIT\nLICENSE mit-license mit licenses", "the GNU General Public License", sentence(rnd, 50) + " " + broken + " " + sentence(rnd, 30), "mit license " * 300, "MİT LİCENSE"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("labels", F.lit("clash"))
+    found = {r["doc_id"]: r for r in license_scan.result(df).collect()}
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    phrases = {("mit", "license"): "mit", ("apache", "license"): "apache", ("general", "public", "license"): "gpl"}
+    for k, t in enumerate(texts):
+        w = word.findall((t or "").translate(LOWER))
+        hits = [(i, label) for p, label in phrases.items() for i in range(len(w)) if tuple(w[i : i + len(p)]) == p]
+        r = found[k]
+        starts = [i for i, _ in hits]
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (len(w), len(hits), min(starts, default=None), max(starts, default=None))
+        assert r["base_labels"] == ",".join(sorted({label for _, label in hits})) and 0 <= r["score"] <= 1
+    assert found[len(rows) + 3]["labels"] == "mit" and found[len(rows) + 3]["n_base"] == 0
+    assert license_scan.result(nothing).count() == 0
+
+
+# ---- 3 language ------------------------------------------------------------------------------------------------------------
+
+TONGUES = {"en": "the and with that this from were which there their would about these other", "de": "der und nicht eine werden durch schön größer über zwischen straße können", "fr": "les une dans être été où après même très déjà voilà garçon élève"}
+
+
+def tongue_rows(n=400):
+    rnd = random.Random(9)
+    out = []
+    for k in range(n):
+        lang = list(TONGUES)[k % 3]
+        out.append((k, " ".join(rnd.choice(TONGUES[lang].split()) for _ in range(rnd.randint(4, 60))), lang, "s", 0))
+    return out + [(n, None, "en", "s", 0), (n + 1, "12 + 3 !!", "en", "s", 0), (n + 2, "", None, "s", 0), (n + 3, TONGUES["de"] * 4000, None, "s", 0)]
+
+
+def test_language(spark, nothing):
+    data = tongue_rows()
+    df = spark.createDataFrame(data, DOCS).withColumn("score", F.lit("clash"))
+    found = {r["doc_id"]: r for r in langid.result(df).collect()}
+    assert all(r["held_out"] == (zlib.crc32(str(k).encode()) % 4 == 2) for k, r in found.items())
+    held = [(d[2], found[d[0]]["lang_pred"]) for d in data[:400] if found[d[0]]["held_out"]]
+    assert sum(a == b for a, b in held) >= 0.97 * len(held)
+    assert [found[400 + k]["lang_pred"] for k in range(4)] == ["und", "und", "und", "de"]
+    assert all(0 <= r["score"] <= 1 for r in found.values())
+    assert langid.result(nothing).count() == 0
+    unlabelled = spark.createDataFrame([(1, "some text", None, "s", 0)], DOCS)
+    assert [tuple(r)[2:] for r in langid.result(unlabelled).collect()] == [("und", 0.0)]
+
+
+# ---- 4 pieces --------------------------------------------------------------------------------------------------------------
+
+
+def test_pieces(docs, rows, nothing):
+    model = pieces.load(pieces.model_path()).processor
+    found = pieces.digest(docs).collect()
+    texts = {k: t or "" for k, t, *_ in rows}
+    for r in found:
+        ids = model.encode(texts[r["doc_id"]])
+        assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+        assert r["decoded_sha256"] == hashlib.sha256(model.decode(ids).encode()).hexdigest()
+        assert r["bytes_covered"] == len(texts[r["doc_id"]].encode())
+    assert len(found) == len(rows) and pieces.digest(nothing).count() == 0
+
+
+def test_spans_hold_their_pieces(docs, rows):
+    model = pieces.load(pieces.model_path())
+    texts = {k: (t or "").encode() for k, t, *_ in rows}
+    for r in pieces.encode(docs, keep=["doc_id", "lang"]).collect():
+        own = texts[r["doc_id"]]
+        for i, a, b in zip(r["ids"], r["begins"], r["ends"], strict=True):
+            if not model.byte_piece[i]:
+                span = own[a:b].decode().replace("▁", " ")  # a text may hold the mark itself
+                assert model.processor.id_to_piece(i).replace("▁", " ") in (span, " " + span)
+
+
+@pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc", "nmt_nfkc_cf"])
+def test_normalisation_is_the_library_s(rule):
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    library = sentencepiece.SentencePieceNormalizer(rule_name=rule, add_dummy_prefix=False, escape_whitespaces=False, remove_extra_whitespaces=False)
+    proto = sentencepiece_model_pb2.ModelProto()
+    proto.ParseFromString(library.serialized_model_proto())
+    mine = pieces.Normalizer(pieces.character_map(proto.normalizer_spec.precompiled_charsmap), False, False, False)
+    assert len(mine.entries) > 1000
+    for text in ["", "ﬁne Ｆｕｌｌ ｗｉｄｔｈ①", "é Å ㍿ ½", "a b　c", "Ǆ ẛ̣ 한글", "plain"]:
+        normal, source = mine(text)
+        assert normal.decode() == library.normalize(text)
+        assert source[0] == 0 and source[-1] == len(text.encode()) and (np.diff(source) >= 0).all()
+
+
+# ---- 5 near-duplicates -----------------------------------------------------------------------------------------------------
+
+
+def brute_classes(texts):
+    """doc -> smallest doc reachable by links of 100 * intersection >= 85 * union."""
+    pattern = re.compile(r"[^\x20\x09-\x0D]+")
+
+    def shingles(t):
+        w = pattern.findall((t or "").translate(LOWER))
+        return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+    sets = [shingles(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return [len(s) for s in sets], [find(k) for k in range(len(texts))]
+
+
+def near_texts():
+    rnd = random.Random(11)
+    long = [[rnd.choice(VOCABULARY) + str(rnd.randrange(90)) for _ in range(n)] for n in (400, 90, 60, 20, 12, 7)]
+    texts = [None, "", " ", "a b", "A B", "a b c"]
+    for base in long:
+        for edits in (0, 0, 1, 1, 2, 3, 4, 6, 8):
+            w = list(base)
+            for _ in range(edits):
+                w[rnd.randrange(len(w))] = "edit" + str(rnd.randrange(1000))
+            texts.append(" ".join(w))
+    base = [rnd.choice(VOCABULARY) + str(rnd.randrange(90)) for _ in range(150)]
+    for _ in range(300):  # a large group around one text
+        w = list(base)
+        for _ in range(rnd.randrange(5)):
+            w[rnd.randrange(len(w))] = "x" + str(rnd.randrange(1000))
+        texts.append(" ".join(w))
+    shared = " ".join(base[:60])
+    return texts + [shared + " " + " ".join(f"own{k}w{j}" for j in range(80)) for k in range(40)]
+
+
+def test_near_duplicates(spark, nothing, monkeypatch):
+    monkeypatch.setattr(bottomk, "BLOCK_SETS", 64)  # so that groups have several blocks
+    texts = near_texts()
+    sizes, classes = brute_classes(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("node", F.lit("clash")).repartition(4)
+    found = {r["doc_id"]: r for r in bottomk.result(df).collect()}
+    assert [found[k]["n_shingles"] for k in range(len(texts))] == sizes
+    assert [found[k]["component_id"] for k in range(len(texts))] == classes
+    assert all(r["kept"] == (k == r["component_id"]) for k, r in found.items())
+    assert bottomk.result(nothing).count() == 0
+
+
+def test_keep_one_keeps_one_row(docs, rows, nothing):
+    kept = bottomk.keep_one(docs)
+    _, classes = brute_classes([t for _, t, *_ in rows[:-1]])
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(classes))
+    assert bottomk.keep_one(nothing).count() == 0
+
+
+# ---- 6 sharding ------------------------------------------------------------------------------------------------------------
+
+
+def test_sharding(docs, rows, nothing):
+    found = rendezvous.assign(docs, [1.0] * 8).collect()
+    assert len(found) == len(rows)
+    for shard in range(8):
+        slots = sorted(r["slot"] for r in found if r["shard"] == shard)
+        assert slots == list(range(len(slots)))
+    assert all(r["grown_shard"] in (r["shard"], 8) for r in found)
+    texts = {k: (t or "").encode() for k, t, *_ in rows}
+    assert all((r["size"], r["text_crc32"]) == (len(texts[r["doc_id"]]) + 1, zlib.crc32(texts[r["doc_id"]])) for r in found)
+    assert rendezvous.assign(nothing, [1.0] * 8).count() == 0
+
+
+def test_shard_weights(spark):
+    counts = Counter(r[0] for r in spark.range(20_000).select(rendezvous.shard_of(F.col("id"), [1.0, 2.0, 5.0])).collect())
+    assert [abs(counts[k] / 20_000 - w / 8) < 0.015 for k, w in enumerate([1, 2, 5])] == [True] * 3
+
+
+# ---- 7 vectors -------------------------------------------------------------------------------------------------------------
+
+VECTORS = "vec_id long, embedding array<float>, label int"
+
+
+def vector_rows():
+    random_ = np.random.default_rng(5)
+    base = random_.standard_normal((40, 16))
+    out = []
+    for k in range(400):
+        out.append((k, (base[k % 40] + random_.standard_normal(16) * random_.choice([0.0, 0.1, 0.25, 0.6])).astype(np.float32).tolist(), k % 3))
+    odd = [None, [0.0] * 16, [float("nan")] + [1.0] * 15, [float("inf")] + [1.0] * 15, [None] + [1.0] * 15, [], [1.0, 2.0]]
+    out += [(400 + k, v, 0) for k, v in enumerate(odd)] + [(410, out[0][1], None), (411, [2 * x for x in out[0][1]], 0)]
+    return out + [(500 + k, out[1][1], 1) for k in range(30)]  # one very common vector
+
+
+def test_vector_duplicates(spark, monkeypatch):
+    monkeypatch.setattr(collide, "BLOCK", 32)
+    data = vector_rows()
+    found = {r["vec_id"]: r for r in collide.classify(spark.createDataFrame(data, VECTORS).withColumn("node", F.lit(1))).collect()}
+    good = [(k, np.array(v, np.float64), label) for k, v, label in data if v and len(v) == 16 and label is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    links = defaultdict(set)
+    for k, v, label in good:
+        for j, w, other in good:
+            if k != j and label == other and v @ w / np.sqrt((v @ v) * (w @ w)) >= collide.COSINE:
+                links[k].add(j)
+    missed = wrong = 0
+    for k, *_ in data:
+        missed += max(0, len(links[k]) - found[k]["n_links"])
+        wrong += max(0, found[k]["n_links"] - len(links[k]))
+    assert wrong == 0 and missed <= 0.002 * sum(map(len, links.values()))
+    reach = {k: k for k, *_ in data}
+    changed = True
+    while changed:
+        changed = False
+        for k in links:
+            low = min([reach[k], *(reach[j] for j in links[k])])
+            changed |= low != reach[k]
+            reach[k] = low
+    assert sum(found[k]["component_id"] != reach[k] for k in reach) <= 1
+    assert collide.classify(spark.createDataFrame([], VECTORS)).count() == 0
+
+
+# ---- 8 neighbours ----------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("factor,least", [(1.0, 1.0), (vptree.FACTOR, 0.9)])
+def test_neighbours(spark, factor, least):
+    data = vector_rows()
+    found = vptree.search(spark.createDataFrame(data, VECTORS), factor=factor, shard_rows=100).collect()
+    good = {k: np.array(v, np.float64) for k, v, _ in data if v and len(v) == 16 and all(x is not None and np.isfinite(x) for x in v) and any(v)}
+    mine = defaultdict(list)
+    for r in sorted(found, key=lambda r: (r["query_id"], r["rank"])):
+        mine[r["query_id"]].append((r["vec_id"], r["score"]))
+    hit = total = 0
+    for q in (k for k in good if k % 20 == 0):
+        ranked = sorted(((-float(good[q] @ v), k) for k, v in good.items() if k != q))[:20]
+        hit += len({k for _, k in ranked} & {k for k, _ in mine[q]})
+        total += 20
+        assert [s for _, s in mine[q]] == sorted((s for _, s in mine[q]), reverse=True) and len(mine[q]) == 20
+        assert all(abs(s - good[q] @ good[k]) < 1e-9 for k, s in mine[q])
+        if factor == 1.0:
+            assert np.allclose([-s for s, _ in ranked], [s for _, s in mine[q]])
+    assert hit >= least * total - (0.002 * total if factor == 1.0 else 0)
+    assert vptree.search(spark.createDataFrame([], VECTORS)).count() == 0
+
+
+# ---- 9 secrets -------------------------------------------------------------------------------------------------------------
+
+
+def secret_rows():
+    rnd = random.Random(3)
+    token = lambda: "".join(rnd.choice("0123456789abcdef") for _ in range(40))
+    planted, out = {}, []
+    for k in range(120):
+        t = sentence(rnd, 30) + " thoroughlyunremarkableword " + "".join(rnd.choice("0123456789") for _ in range(16)) + " http://www.example.com/index/page.html"
+        if k % 6 == 0:
+            planted[k] = token()
+            t += f' token = "{planted[k]}" ' + sentence(rnd, 5)
+        out.append((k, t, "en", "s", len(t)))
+    return out + [(200, None, None, None, None), (201, "", "en", "s", 0)], planted
+
+
+def test_secrets(spark, nothing):
+    data, planted = secret_rows()
+    df = spark.createDataFrame(data, DOCS)
+    found = [r for r in secret_forest.result(df).collect() if r["secret"]]
+    assert {(r["doc_id"], r["value_sha256"]) for r in found} == {(k, hashlib.sha256(v.encode()).hexdigest()) for k, v in planted.items()}
+    texts = {d[0]: d[1] for d in data}
+    assert all(texts[r["doc_id"]][r["place"] :][: r["length"]] == planted[r["doc_id"]] for r in found)
+    clean = {r["doc_id"]: r for r in secret_forest.redact(df.withColumn("score", F.lit(1))).collect()}
+    assert len(clean) == len(data) and not any(v in clean[k]["text"] for k, v in planted.items())
+    assert all(clean[k]["text"] == texts[k] for k in texts if k not in planted) and all(clean[k]["n_chars"] == len(clean[k]["text"]) for k in planted)
+    assert secret_forest.result(nothing).count() == 0 and secret_forest.redact(nothing).count() == 0
+
+
+# ---- 10 mixture ------------------------------------------------------------------------------------------------------------
+
+
+def test_mixture(spark, docs, rows, nothing):
+    found = waterfill.result(docs).collect()
+    assert len(found) == len(rows)
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    by_source = defaultdict(int)
+    for _, t, _, source, _ in rows:
+        by_source[source] += size(t)
+    order = sorted((s for s in by_source if s is not None)) + [None]
+    weight = {s: [3, 1, 2][i % 3] for i, s in enumerate(order)}
+    left, target, open_ = 1.5 * sum(by_source.values()), {}, set(order)
+    while open_:
+        line = left / sum(weight[s] for s in open_)
+        over = {s for s in open_ if line * weight[s] >= 2 * by_source[s]}
+        for s in over or open_:
+            target[s] = 2 * by_source[s] if over else line * weight[s]
+        left -= sum(target[s] for s in over)
+        open_ -= over or set(open_)
+    source = {r[0]: r[3] for r in rows}
+    taken = defaultdict(int)
+    for r in found:
+        assert abs(r["target"] - target[source[r["doc_id"]]]) < 1e-6 and r["taken"] <= 2 * r["size"] and r["source_size"] == by_source[source[r["doc_id"]]]
+        taken[source[r["doc_id"]]] += r["taken"]
+    largest = max(size(t) for _, t, *_ in rows)
+    assert all(abs(taken[s] - target[s]) <= largest for s in order)
+    again = waterfill.result(docs.repartition(2)).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, found))
+    repeated = Counter(r["doc_id"] for r in waterfill.repeat(docs).collect())
+    assert all(repeated[r["doc_id"]] == (r["taken"] // r["size"] if r["doc_id"] != 3 else 2 * r["taken"] // r["size"]) for r in found if r["size"])
+    assert waterfill.result(nothing).count() == 0
+
+
+# ---- the pipeline ----------------------------------------------------------------------------------------------------------
+
+
+def test_pipeline_stages(spark, nothing):
+    data = tongue_rows(150)
+    copy = (900, data[3][1], "en", "s", 0)
+    secret = (901, data[6][1] + " and so on for the rest of it, with the token = \"" + "3f9a0c" * 6 + "\" in it", "en", "s", 0)
+    docs = spark.createDataFrame([*data, copy, secret], DOCS)
+    at = docs
+    seen = {}
+    for name, step in corpus_pipeline.STAGES:
+        at = step(spark, at, "")
+        seen[name] = at.collect()
+        if name != "tokens":
+            assert at.columns == docs.columns
+        at = spark.createDataFrame(seen[name], at.schema)
+        assert step(spark, nothing, "").count() == 0
+    gone = {d[0] for d in [*data, copy, secret]} - {r["doc_id"] for r in seen["language"]}
+    assert gone == {150, 151, 152}
+    kept = {r["doc_id"] for r in seen["near_duplicates"]}
+    _, classes = brute_classes([r["text"] for r in sorted(seen["language"], key=lambda r: r["doc_id"])])
+    ids = sorted(r["doc_id"] for r in seen["language"])
+    assert kept == {ids[c] for c in classes} and 900 not in kept
+    assert len(seen["secrets"]) == len(kept)
+    model = pieces.load(pieces.model_path()).processor
+    assert sorted((r["doc_id"], r["ids"]) for r in seen["tokens"]) == sorted((r["doc_id"], model.encode(r["text"])) for r in seen["mixture"])
