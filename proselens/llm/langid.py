@@ -253,13 +253,14 @@ def result(docs: DataFrame) -> DataFrame:
     return annotate(rows.drop("lang"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """``docs`` without the rows whose language can't be told: no letter, or a score below ``least``. Learned from their own labels.
+def keep_known(docs: DataFrame, margin: float = 1.1) -> DataFrame:
+    """``docs`` without the rows whose language can't be told: no letter, or a score below ``margin`` times that of a guess.
 
-    If no row is labelled, only the texts without a letter go.
+    Learned from their own labels; short clean texts score low, so only those that say next to nothing go. If fewer than two
+    languages are labelled, only the texts without a letter go.
     """
     model = train(docs)
-    if not model[0]:
+    if len(model[0]) < 2:
         return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(_predicted(shared, least), docs.schema)
+    return docs.mapInArrow(_predicted(shared, margin / len(model[0])), docs.schema)
