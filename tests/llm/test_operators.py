@@ -394,6 +394,11 @@ def secret_rows():
             planted[k] = token()
             t += f' token = "{planted[k]}" ' + sentence(rnd, 5)
         out.append((k, t, "en", "s", len(t)))
+    for k, before in enumerate(["with", "foronshatble", "API_KEY ="]):  # of issued form, in prose too
+        planted[300 + k] = "AKIA" + "".join(rnd.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16))
+        out.append((300 + k, f"{sentence(rnd, 8)} {before} {planted[300 + k]} {sentence(rnd, 8)} mail{k}.example.com", "en", "s", 1))
+    planted[310] = token() * 9  # longer than any usual key
+    out.append((310, f'{sentence(rnd, 8)} a_rather_long_name_of_a_variable_that_holds_the_api_token = "{planted[310]}"', "en", "s", 1))
     return out + [(200, None, None, None, None), (201, "", "en", "s", 0)], planted
 
 
