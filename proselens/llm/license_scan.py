@@ -161,7 +161,7 @@ def scan(docs: DataFrame, templates: list[Template] = BASE + LICENSES) -> DataFr
     """doc_id, n_words, finds: verified spans (template number, first and last word, score), for every document."""
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     spans = alignments(texts, templates).groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set(F.struct("template", "first", "last"))).alias("spans"))
-    spans = small(stage(spans, "spans")).select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "spans")
+    spans = small(stage(spans, "spans"), items="spans").select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "spans")
     joined = texts.join(spans, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left")
     return joined.select("doc_id", "text", "spans").mapInArrow(_verify(templates), "doc_id long, n_words long, finds array<struct<template:int,first:long,last:long,score:double>>")
 

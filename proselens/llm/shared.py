@@ -45,12 +45,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, items: str | None = None) -> DataFrame:
     """Ask for a broadcast of a staged table if its counted rows are few; else leave the join to a shuffle.
 
-    The rows of such a table must be of bounded width.
+    The elements of the array column ``items`` count as rows too; other columns must be of bounded width.
     """
-    return F.broadcast(df) if df.count() <= rows else df
+    elements = F.coalesce(F.sum(F.greatest(F.size(items), F.lit(0))), F.lit(0)) if items else F.lit(0)
+    return F.broadcast(df) if sum(df.agg(F.count("*"), elements).first()) <= rows else df
 
 
 def crc_text(col):
