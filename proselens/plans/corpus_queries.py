@@ -103,11 +103,12 @@ def books(s: SparkSession, d: str) -> DataFrame:
     return C.book_paragraphs(_docs(s, d).select(F.col("doc_id").alias("title"), book.alias("text")))
 
 
-@query("s7_images", "SELECT count(*) AS n, sum(least(octet_length(encode(t)), 196608))::BIGINT AS bytes FROM (SELECT string_agg(text, chr(10) ORDER BY doc_id) || chr(10) AS t FROM documents GROUP BY source)")
+@query("s7_images", "SELECT count(*) AS n, sum(least(octet_length(encode(t)), 196608))::BIGINT AS bytes FROM (SELECT string_agg(text, chr(10) ORDER BY doc_id) || chr(10) AS t FROM documents GROUP BY doc_id // 100)")
 def images(s: SparkSession, d: str) -> DataFrame:
-    """A file for each source; only the heads are kept."""
+    """A file for every hundred ids, so that no file grows with a source; only the heads are kept."""
     path = new_folder(s, "images")
-    _docs(s, d).select("source", "text", "doc_id").repartition(4, "source").sortWithinPartitions("source", "doc_id").drop("doc_id").write.partitionBy("source").text(path)
+    rows = _docs(s, d).select(F.expr("doc_id div 100").alias("part"), "text", "doc_id")
+    rows.repartition("part").sortWithinPartitions("part", "doc_id").drop("doc_id").write.partitionBy("part").text(path)
     heads = C.read_images(s, path).where(F.col("path").rlike(r"part-[^/]*$"))
     return heads.agg(F.count("*").alias("n"), F.sum(F.octet_length("content")).alias("bytes"))
 
