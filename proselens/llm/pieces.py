@@ -22,6 +22,9 @@ from . import chunks
 from .shared import in_slices
 from .token_files import slices
 
+#: Characters of the texts that a worker encodes together; spans take many times the room of the texts.
+SLICE = 1_000_000
+
 SPACE_MARK = "▁"
 
 
@@ -198,9 +201,9 @@ def load(path: str) -> Model:
 def _encoded(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(path)
-        for batch in in_slices(batches, 2048):
+        for batch in in_slices(batches):
             texts = [x or "" for x in batch.column("text").to_pylist()]
-            for a, b in slices(texts):
+            for a, b in slices(texts, SLICE):
                 ids = model.encode(texts[a:b])
                 spans = [model.spans(t, i) for t, i in zip(texts[a:b], ids, strict=True)]
                 bounds = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
@@ -224,9 +227,9 @@ def _digested(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(path)
         decimal = [str(i) for i in range(len(model.lengths))]
-        for batch in in_slices(batches, 2048):
+        for batch in in_slices(batches):
             texts = [x or "" for x in batch.column("text").to_pylist()]
-            for a, b in slices(texts):
+            for a, b in slices(texts, SLICE):
                 part = texts[a:b]
                 ids = model.encode(part)
                 covered = []

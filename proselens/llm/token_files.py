@@ -57,12 +57,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def slices(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about SLICE characters together."""
+def slices(texts: list[str], most: int = SLICE) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about ``most`` characters together."""
     a = size = 0
     for b, x in enumerate(texts):
         size += len(x)
-        if size >= SLICE:
+        if size >= most:
             yield a, b + 1
             a, size = b + 1, 0
     if a < len(texts):
