@@ -11,9 +11,9 @@
    never all pairs, and skips pairs that it has already connected.
 4. Components of the links give the classes.
 
-Sets of up to PERCENT % of k hashes and their partners are sketched whole, so for them the search is exact. Beyond that
+Sets of up to ``percent`` % of k hashes and their partners are sketched whole, so for them the search is exact. Beyond that
 ``least_overlap`` lies 5.7 standard deviations below the expected number of shared values at the threshold (k = 64: 38 of
-54.4): of links right at the threshold about one in 10**7 is missed, of closer ones fewer.
+54.4 at 85 %, 32 of 51.2 at 80 %): of links right at the threshold about one in 10**7 is missed, of closer ones fewer.
 
 Rows: null and empty texts have no shingles and link with nothing. Repeated rows link with each other; rows with the same id
 share its component id. Any id may be null; null ids sort first among the ids of a component.
@@ -35,7 +35,7 @@ from .components import components
 from .shared import BROADCAST_ROWS, in_slices, small, stage
 
 SHINGLE = 5
-#: A link needs 100 * intersection >= PERCENT * union.
+#: A link needs 100 * intersection >= percent * union; this is the percentage of ``result`` and its SQL.
 PERCENT = 85
 K = 64
 #: Blocks of a group hold about so many sets and so many hashes.
@@ -91,16 +91,16 @@ def _shared_values(nodes: DataFrame) -> DataFrame:
     return posted.join(holders, "value")
 
 
-def _least_overlap(n):
+def _least_overlap(n, percent: int):
     """``least_overlap`` as a column."""
-    return F.when(100 * n <= PERCENT * K, F.ceil(n * PERCENT / 100)).otherwise(least_overlap(K)).cast("int")
+    return F.when(100 * n <= percent * K, F.ceil(n * percent / 100)).otherwise(least_overlap(K, percent=percent)).cast("int")
 
 
-def candidate_lists(nodes: DataFrame) -> DataFrame:
+def candidate_lists(nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """value, node: for each node its rarest retained values, as many as the prefix principle asks for."""
     shared = _shared_values(nodes)
     held = shared.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("holders", "value"))).alias("held"))  # at most K
-    prefix = held.join(nodes.select("node", _least_overlap(F.col("n")).alias("least")), "node").where(F.size("held") >= F.col("least"))
+    prefix = held.join(nodes.select("node", _least_overlap(F.col("n"), percent).alias("least")), "node").where(F.size("held") >= F.col("least"))
     # values held by no one else come first in the prefix and need no list
     rare = prefix.select("node", F.explode(F.slice("held", 1, F.size("held") - F.col("least") + 1)).alias("x"))
     return rare.select("node", F.col("x.value").alias("value"))
@@ -142,7 +142,7 @@ def _intersection(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def compare(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarray]] | None) -> Iterator[tuple[int, int]]:
+def compare(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarray]] | None, percent: int = PERCENT) -> Iterator[tuple[int, int]]:
     """Links between two blocks of (node, sorted hashes), or within one: a spanning forest of them."""
     forest = _Forest()
     other = left if right is None else right
@@ -155,9 +155,9 @@ def compare(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarra
         return out
 
     a, b = padded(left), padded(other)
-    least = np.array([least_overlap(int(x)) for x in n])
+    least = np.array([least_overlap(int(x), percent=percent) for x in n])
     for row in range(len(left)):
-        near = (100 * np.minimum(n[row], m) >= PERCENT * np.maximum(n[row], m)) & (np.arange(len(other)) > row if right is None else True)
+        near = (100 * np.minimum(n[row], m) >= percent * np.maximum(n[row], m)) & (np.arange(len(other)) > row if right is None else True)
         at = np.flatnonzero(near)
         if not len(at):
             continue
@@ -169,17 +169,17 @@ def compare(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarra
             if forest.root(x[0]) == forest.root(y[0]):
                 continue
             i = _intersection(x[1], y[1])
-            if 100 * i >= PERCENT * (len(x[1]) + len(y[1]) - i):
+            if 100 * i >= percent * (len(x[1]) + len(y[1]) - i):
                 forest.join(x[0], y[0])
                 yield x[0], y[0]
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by task; those of one task are compared when the next begins."""
 
     def flush() -> pa.RecordBatch:
         right = None if now[1] == now[2] else sides[1]
-        links = list(compare(sides[0], right)) if sides[0] and (right is None or right) else []
+        links = list(compare(sides[0], right, percent)) if sides[0] and (right is None or right) else []
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     now, sides = None, ([], [])
@@ -196,9 +196,9 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _tasks(members: DataFrame) -> DataFrame:
+def _tasks(members: DataFrame, percent: int) -> DataFrame:
     """group, first, second, side, node: each pair of blocks of a group whose sizes may be similar. members: node, n, group."""
-    log = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / PERCENT)).cast("int")
+    log = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("int")
     sized = members.withColumn("class", log)  # similar sets are in the same or neighbouring classes
     cells = sized.groupBy("group", "class").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_HASHES)).cast("int").alias("blocks"))
     near = cells.select("group", F.explode(F.array([F.col("class") + d for d in (-1, 0, 1)])).alias("class"), F.struct(F.col("class").alias("class"), "blocks").alias("cell"))
@@ -212,21 +212,21 @@ def _tasks(members: DataFrame) -> DataFrame:
     return dealt.select("group", F.least("mine", "other").alias("first"), F.greatest("mine", "other").alias("second"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "node")
 
 
-def find_links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+def find_links(nodes: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """a, b: links that connect all similar nodes. nodes: node, n, sign, text_hash, sketch; docs: text, text_hash."""
-    lists = stage(candidate_lists(nodes), "lists")
+    lists = stage(candidate_lists(nodes, percent), "lists")
     leaders = lists.groupBy("value").agg(F.min("node").alias("leader"))
     groups = components(lists.join(leaders, "value").where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct())
     members = stage(groups.select("node", F.col("root").alias("group")).join(nodes.select("node", "n", "sign", "text_hash"), "node"), "members")
     wanted = small(stage(members.select("text_hash").distinct(), "wanted"), BROADCAST_ROWS)
     full = docs.join(wanted, "text_hash", "left_semi").dropDuplicates(["text_hash"]).select("text").mapInArrow(_full, "sign binary, hashes binary")
     sets = stage(members.select("sign", "node").join(full.dropDuplicates(["sign"]), "sign").select("node", "hashes"), "sets")
-    tasks = _tasks(members.select("node", "n", "group"))
+    tasks = _tasks(members.select("node", "n", "group"), percent)
     dealt = tasks.join(sets, "node").repartition("group", "first", "second").sortWithinPartitions("group", "first", "second")
-    return stage(dealt.select("group", "first", "second", "side", "node", "hashes").mapInArrow(_verify, "a long, b long"), "links")
+    return stage(dealt.select("group", "first", "second", "side", "node", "hashes").mapInArrow(lambda batches: _verify(batches, percent), "a long, b long"), "links")
 
 
-def classify(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def classify(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(rows, links). rows: row, doc_id, text_hash, n_shingles, component_id, kept and representative, for each row of docs.
 
     ``kept``: doc_id = component_id. ``representative``: true for exactly one row of each class (the first row of its smallest id).
@@ -236,7 +236,7 @@ def classify(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     first = F.min(F.struct(F.col("doc_id"), F.col("row"))).alias("first")
     copies = stage(sketched.where("n > 0").groupBy("sign").agg(first), "copies")
     nodes = copies.select(F.col("first.row").alias("node")).join(sketched.where("n > 0").select(F.col("row").alias("node"), "n", "sign", "text_hash", "sketch"), "node")
-    links = find_links(stage(nodes, "nodes"), texts)
+    links = find_links(stage(nodes, "nodes"), texts, percent)
     roots = stage(components(links), "roots")
     classes = copies.select("sign", "first", F.col("first.row").alias("node")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = classes.groupBy("root").agg(F.min("first").alias("best"))
@@ -253,9 +253,9 @@ def result(docs: DataFrame) -> DataFrame:
     return classify(docs)[0].select("doc_id", "n_shingles", "component_id", "kept")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one row of each class of near-duplicates; documents without shingles all stay."""
-    rows, _ = classify(docs)
+    rows, _ = classify(docs, percent)
     away = rows.where(~F.col("representative")).groupBy("doc_id", "text_hash").agg(F.count("*").alias("__away"))
     kept = rows.where("representative").select("doc_id", "text_hash").withColumn("__kept", F.lit(True)).distinct()
     gone = away.join(kept, (away["doc_id"].eqNullSafe(kept["doc_id"])) & (away["text_hash"] == kept["text_hash"]), "left_anti")

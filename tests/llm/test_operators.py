@@ -475,3 +475,32 @@ def test_pipeline_stages(spark, nothing):
     assert len(seen["secrets"]) == len(kept)
     model = pieces.load(pieces.model_path()).processor
     assert sorted((r["doc_id"], r["ids"]) for r in seen["tokens"]) == sorted((r["doc_id"], model.encode(r["text"])) for r in seen["mixture"])
+
+
+def test_near_duplicates_stage_links_at_80_percent(spark):
+    rnd = random.Random(21)
+    sets, texts = [], [*near_texts()[:60]]
+    for n in (24, 60, 150, 400):  # chains whose neighbours share 80 to 85 % of their shingles
+        at = [f"w{n}x{k}" for k in range(n)]
+        for _ in range(4):
+            texts.append(" ".join(at))
+            cut = max(1, n // 10)  # moves on by a tenth: 0.8 of the union and a little more stays
+            at = at[cut:] + [f"w{n}y{rnd.randrange(10**9)}" for _ in range(cut)]
+    pattern = re.compile(r"[^\x20\x09-\x0D]+")
+    for t in texts:
+        w = pattern.findall((t or "").translate(LOWER))
+        sets.append(frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset())
+    links = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in range(len(sets)) for b in range(a) if sets[a] and sets[b]}
+    assert sum(0.80 <= share < 0.85 for share in links.values()) >= 6
+
+    def first_of_classes(percent):
+        root = list(range(len(texts)))
+        for (a, b), _ in links.items():
+            if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = [low if x == high else x for x in root]
+        return sorted(set(root))
+
+    df = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in enumerate(texts)], DOCS).repartition(4)
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, df, "").collect())
+    assert kept == first_of_classes(80) and kept != first_of_classes(85)
