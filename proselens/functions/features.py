@@ -71,8 +71,10 @@ def hash_features(text: Column | str, bits: int = BITS) -> Column:
 def to_vectors(df: DataFrame, bits: int = BITS, features: str = "features", vector: str = "vector") -> DataFrame:
     """``df`` with a sparse vector of size 2**bits: 1 / sqrt(n) at each of its n buckets."""
     words = df.withColumn("__words", F.transform(features, lambda b: b.cast("string")))
-    counter = CountVectorizerModel.from_vocabulary([str(b) for b in range(1 << bits)], inputCol="__words", outputCol="__counts")
-    counter.setBinary(True).setMinTF(1.0)
+    # one call makes the vocabulary in the JVM; ``from_vocabulary`` makes one call a word
+    vocabulary = df.sparkSession._jvm.org.apache.commons.lang3.StringUtils.split(",".join(map(str, range(1 << bits))), ",")
+    counter = CountVectorizerModel._create_from_java_class("org.apache.spark.ml.feature.CountVectorizerModel", vocabulary)
+    counter.setInputCol("__words").setOutputCol("__counts").setBinary(True).setMinTF(1.0)
     return Normalizer(p=2.0, inputCol="__counts", outputCol=vector).transform(counter.transform(words)).drop("__words", "__counts")
 
 

@@ -53,7 +53,7 @@ add("m4_vectors", _vectors, f"WITH {FEATURES_SQL}, g AS (SELECT DISTINCT doc_id,
 
 def _fitted(s: SparkSession, d: str) -> DataFrame:
     rows = labelled(s, d).withColumn("weight", F.lit(1.0))
-    model = M.fit(rows, bits=12, most_steps=30)
+    model = M.fit(rows)
     return M.score(rows, model).select("doc_id", "label", F.round("p", 6).alias("p"))
 
 
@@ -101,7 +101,7 @@ add("m10_decide", lambda s, d: decided(s, d).select("doc_id", *THRESHOLDS), f"WI
 
 def _widths(s: SparkSession, d: str) -> DataFrame:
     rows = P.group_split(labelled(s, d).withColumn("weight", F.lit(1.0)), "source", part=5)
-    found = M.compare_bits(rows.where(~F.col("is_test")), rows.where("is_test"), [10, 12], most_steps=15)
+    found = M.compare_bits(rows.where(~F.col("is_test")), rows.where("is_test"), [16, 17, 18])
     return found.groupBy("bits", "label").agg(F.count("*").alias("n"), F.round(F.avg("p"), 4).alias("mean_p"))
 
 

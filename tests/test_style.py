@@ -167,3 +167,22 @@ def test_count_grows_with_text(spark):
     df = spark.createDataFrame([("a b. C d!", "x y")], "a string, b string")
     r = df.select(text.count_words("a").alias("x"), text.count_words(F.concat("a", F.lit(" "), "b")).alias("y")).first()
     assert r["y"] >= r["x"]
+
+
+def test_models_are_fitted_at_the_reference_s_widths(spark, monkeypatch):
+    from proselens.operators import model
+    from proselens.plans import model_queries
+
+    asked = []
+
+    def fit(df, bits=model.BITS, most_steps=100):
+        asked.append((bits, most_steps))
+        return model.Model(np.zeros(1 << bits, np.int8), 1.0, 0.0, bits)
+
+    monkeypatch.setattr(model, "fit", fit)
+    docs = spark.createDataFrame([(k, f"some text {k}", "en", f"src{k % 20}", k % 2) for k in range(40)], "doc_id long, text string, lang string, source string, label int")
+    monkeypatch.setattr(model_queries, "labelled", lambda s, d: docs)
+    model_queries.QUERIES["m5_fit"](spark, "")
+    found = model_queries.QUERIES["m11_compare_bits"](spark, "")
+    assert asked == [(17, 100), (16, 100), (17, 100), (18, 100)]
+    assert {r["bits"] for r in found.collect()} == {16, 17, 18}
