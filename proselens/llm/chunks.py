@@ -1,4 +1,7 @@
-"""Encode texts chunk by chunk with a memory of chunks seen, where chunks are units that the tokenizer never joins."""
+"""Encode texts chunk by chunk with a memory of chunks seen, where chunks are units that the tokenizer never joins.
+
+Texts, chunks and ids stay in Arrow and numpy arrays.
+"""
 
 from __future__ import annotations
 
@@ -9,77 +12,101 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Chunks that one Python worker remembers in each of two generations. The memory only saves work; results don't depend on it.
-REMEMBERED = 250_000
-#: Longer chunks are not remembered.
-LONGEST = 64
+#: Bytes of chunks and ids that one Python worker remembers. The memory only saves work; results don't depend on it.
+REMEMBERED = 64 << 20
+
+#: Ids of several strings: all of them in a row, and how many each string has.
+Ids = tuple[np.ndarray, np.ndarray]
+
+
+def joined(parts: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate(parts) if parts else np.empty(0, np.int32)
+
+
+def _of_lists(lists: list) -> Ids:
+    return joined([np.array(x, np.int32) for x in lists]), np.fromiter(map(len, lists), np.int64, len(lists))
 
 
 class ChunkEncoder:
-    """Encodes whole texts into int32 arrays.
+    """Encodes whole texts.
 
-    ``unsafe(chunk)``: after a plain split at spaces, this chunk touches a space where the text must not be cut;
+    ``unsafe``: a pattern; after a plain split at spaces, a chunk that it finds touches a space where the text must not be cut;
     ``cut(text)``: the cut for texts that have such chunks, as (leading chunk, later chunks without their space);
-    ``encode(chunks, leading)``: ids of each chunk as little-endian int32 bytes; ``leading`` chunks begin a text.
+    ``encode(chunks, leading)``: the ids of an array of chunks; ``leading`` chunks begin a text.
     """
 
-    def __init__(self, unsafe: Callable[[str], bool], cut: Callable[[str], list[str]], encode: Callable[[list[str], bool], list[bytes]]):
+    def __init__(self, unsafe: str, cut: Callable[[str], list[str]], encode: Callable[[pa.Array, bool], Ids]):
         self.unsafe, self.cut, self.encode = unsafe, cut, encode
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = pa.array([], pa.string())
+        self.ids, self.sizes = np.empty(0, np.int32), np.empty(0, np.int64)
 
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+    def __call__(self, texts: pa.Array) -> Ids:
+        """Ids of the texts (an array of strings without nulls)."""
+        if not len(texts):
+            return np.empty(0, np.int32), np.empty(0, np.int64)
+        lists = pc.split_pattern(texts, " ")
         coded = lists.values.dictionary_encode()
-        at, bounds = coded.indices.to_numpy(), lists.offsets.to_numpy()
-        chunks = coded.dictionary.to_pylist()
-        odd = np.fromiter(map(self.unsafe, chunks), bool, len(chunks))
-        if odd.any():
-            return self._some_cut(texts, odd[at], bounds)
-        # the first chunk of each text is encoded as such; its place in the table is after those of the other chunks
-        at = at.astype(np.int64)
-        at[bounds[:-1]] = len(chunks) + np.arange(len(texts))
-        found = self._known(chunks) + self.encode([t[: t.find(" ")] if " " in t else t for t in texts], True)
-        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        begin = np.cumsum(size) - size
-        ids = np.frombuffer(b"".join(found), np.int32)
-        sizes = size[at]
-        ends = np.cumsum(sizes)
-        ids = ids[np.repeat(begin[at] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
-        ends = np.concatenate(([0], ends))[bounds]
-        return [ids[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
-
-    def _some_cut(self, texts: list[str], odd: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+        chunks, at, bounds = coded.dictionary, coded.indices.to_numpy(), lists.offsets.to_numpy().astype(np.int64)
+        at, bounds = at[bounds[0] : bounds[-1]], bounds - bounds[0]
+        place = pc.index_in(chunks, value_set=self.known)
+        lacking = place.is_null()
+        odd = pc.and_(lacking, pc.match_substring_regex(chunks, self.unsafe)) if self.unsafe else None
+        if pc.any(odd).as_py():
+            bad = np.add.reduceat(odd.to_numpy(zero_copy_only=False)[at], bounds[:-1]) > 0
+            return self._some_cut(texts, bad)
+        place = pc.fill_null(place, 0).to_numpy().astype(np.int64)
+        place[lacking.to_numpy(zero_copy_only=False)] = len(self.known) + np.arange(pc.sum(lacking).as_py() or 0)
+        self._learn(chunks.filter(lacking))
+        # the first chunk of each text is encoded as such; its place is after those of the others
+        heads, head_sizes = self.encode(lists.values.take(pa.array(bounds[:-1] + lists.offsets[0].as_py())), True)
+        at = place[at]
+        at[bounds[:-1]] = len(self.sizes) + np.arange(len(texts))
+        out = _gather(np.concatenate((self.ids, heads)), np.concatenate((self.sizes, head_sizes)), at)
+        counts = np.concatenate((self.sizes, head_sizes))[at]
+        ends = np.concatenate(([0], np.cumsum(counts)))[bounds]
+        if self.known.nbytes + self.ids.nbytes + self.sizes.nbytes > REMEMBERED:
+            self._forget()
+        return out, np.diff(ends)
+
+    def _learn(self, chunks: pa.Array) -> None:
+        if len(chunks):
+            ids, sizes = self.encode(chunks, False)
+            self.known = pa.concat_arrays([self.known, chunks])
+            self.ids, self.sizes = np.concatenate((self.ids, ids)), np.concatenate((self.sizes, sizes))
+
+    def _some_cut(self, texts: pa.Array, bad: np.ndarray) -> Ids:
         """The texts with odd chunks are cut with care, one by one; the others as ever."""
-        bad = np.add.reduceat(odd, bounds[:-1]) > 0
-        plain = iter(self([t for t, x in zip(texts, bad, strict=True) if not x]) if not bad.all() else [])
-        careful = [self.cut(t) for t, x in zip(texts, bad, strict=True) if x]
-        chunks = list({c for p in careful for c in p[1:]})
-        known = dict(zip(chunks, self._known(chunks), strict=True))
-        heads = self.encode([p[0] for p in careful], True)
-        slow = iter([np.frombuffer(b"".join([h, *[known[c] for c in p[1:]]]), np.int32) for h, p in zip(heads, careful, strict=True)])
-        return [next(slow if x else plain) for x in bad]
-
-    def _known(self, chunks: list[str]) -> list[bytes]:
-        young, old = self.young, self.old
-        found = [young.get(c) for c in chunks]
-        lacking = [k for k, v in enumerate(found) if v is None]
-        new = []
-        for k in lacking:
-            if (v := old.get(chunks[k])) is None:
-                new.append(k)
-            else:
-                found[k] = v
-        for k, v in zip(new, self.encode([chunks[k] for k in new], False), strict=True):
-            found[k] = v
-        for k in lacking:
-            if len(chunks[k]) <= LONGEST:
-                young[chunks[k]] = found[k]
-        if len(young) > REMEMBERED:
-            self.old, self.young = young, {}
-        return found
-
-
+        ids, sizes = self(texts.filter(pa.array(~bad)))
+        careful = [self.cut(t) for t in texts.filter(pa.array(bad)).to_pylist()]
+        later = list({c: None for parts in careful for c in parts[1:]})
+        name = {c: k for k, c in enumerate(later)}
+        heads = pa.array([p[0] for p in careful], pa.string())
+        own, own_sizes = (np.concatenate(x) for x in zip(self.encode(pa.array(later, pa.string()), False), self.encode(heads, True), strict=True))
+        at = np.array([k for i, parts in enumerate(careful) for k in (len(later) + i, *[name[c] for c in parts[1:]])], np.int64)
+        n_parts = np.fromiter(map(len, careful), np.int64, len(careful))
+        slow = _gather(own, own_sizes, at)
+        slow_sizes = np.add.reduceat(own_sizes[at], np.cumsum(n_parts) - n_parts)
+        # back in the order of the texts
+        order, both = np.argsort(np.concatenate((np.flatnonzero(~bad), np.flatnonzero(bad)))), np.concatenate((sizes, slow_sizes))
+        return _gather(np.concatenate((ids, slow)), both, order), both[order]
+
+
+def _gather(ids: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The runs of ``ids`` (of ``sizes``, one after another) in the order ``at``."""
+    begin, own = (np.cumsum(sizes) - sizes)[at], sizes[at]
+    ends = np.cumsum(own)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(total, len(ids)) < 1 << 31 else np.int64
+    where = np.repeat((begin - (ends - own)).astype(kind), own)
+    where += np.arange(total, dtype=kind)
+    return ids[where]
+
+
+#: White space of the byte-level pattern, as RE2 spells it.
+_WHITE = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]"
 _SPACE_IN_TEXT = re.compile(r"(?<=\S) (?=\S)")
 _BEFORE_SPACE = re.compile(r"(?<=[^ ▁]) ")
 
@@ -95,22 +122,20 @@ def byte_level(model, encode_batch: Callable[[list[str]], list]) -> ChunkEncoder
     for piece, i in model.get_vocab().items():
         width[i] = len(piece)  # byte-level pieces spell each byte as one character
 
-    def encode(chunks: list[str], leading: bool) -> list[bytes]:
+    def encode(chunks: pa.Array, leading: bool) -> Ids:
         if leading:
-            return [np.array(x.ids, np.int32).tobytes() for x in encode_batch(chunks)]
-        found: list[bytes] = []
+            return _of_lists([x.ids for x in encode_batch(chunks.to_pylist())])
+        found, sizes = [], []
         for a in range(0, len(chunks), 2000):
-            own = [" " + c for c in chunks[a : a + 2000]]
-            sizes = np.cumsum([len(c.encode()) for c in own])
-            ids = np.array(encode_batch(["".join(own)])[0].ids, np.int32)
-            to = np.searchsorted(np.cumsum(width[ids]), sizes) + 1
-            raw, last = ids.tobytes(), 0
-            for end in (to * 4).tolist():
-                found.append(raw[last:end])
-                last = end
-        return found
+            own = chunks[a : a + 2000]
+            text = " " + pc.binary_join(pa.ListArray.from_arrays([0, len(own)], own), " ")[0].as_py()
+            ids = np.array(encode_batch([text])[0].ids, np.int32)
+            to = np.searchsorted(np.cumsum(width[ids]), np.cumsum(pc.binary_length(own).to_numpy().astype(np.int64) + 1)) + 1
+            found.append(ids)
+            sizes.append(np.diff(to, prepend=0))
+        return joined(found), np.concatenate(sizes) if sizes else np.empty(0, np.int64)
 
-    return ChunkEncoder(lambda c: not c or c[0].isspace() or c[-1].isspace(), _SPACE_IN_TEXT.split, encode)
+    return ChunkEncoder(rf"^$|^{_WHITE}|{_WHITE}$", _SPACE_IN_TEXT.split, encode)
 
 
 def pieces(encode_all: Callable[[list[str]], list[list[int]]], mark: int) -> ChunkEncoder:
@@ -119,10 +144,10 @@ def pieces(encode_all: Callable[[list[str]], list[list[int]]], mark: int) -> Chu
     Texts are cut at every space after a character that is neither a space nor U+2581, and that space is dropped: encoding
     a chunk puts a space mark in front of it, as the dropped space would.
     """
-    alone = np.array([mark], np.int32).tobytes()
 
-    def encode(chunks: list[str], leading: bool) -> list[bytes]:
-        found = encode_all(chunks) if chunks else []
-        return [np.array(ids, np.int32).tobytes() if c or leading else alone for c, ids in zip(chunks, found, strict=True)]
+    def encode(chunks: pa.Array, leading: bool) -> Ids:
+        own = chunks.to_pylist()
+        found = encode_all(own) if own else []
+        return _of_lists([ids if c or leading else [mark] for c, ids in zip(own, found, strict=True)])
 
-    return ChunkEncoder(lambda c: not c or c[-1] == "▁", _BEFORE_SPACE.split, encode)
+    return ChunkEncoder("^$|▁$", _BEFORE_SPACE.split, encode)

@@ -4,7 +4,8 @@ A text is normalised by longest-prefix replacement through the model's compiled
 normalised byte the source byte it came from; every piece is projected through that record to the bytes of the original text
 it stands for. Ids and decoded texts are those of the sentencepiece library.
 
-Rows: a null text counts as empty (no ids). Repeated rows and clashing column names are kept as they are.
+Rows: a null text counts as empty (no ids). Repeated rows are kept as they are; a kept column with the name of an output gives
+way to it. A text whose pieces don't add up to its normalised form (none is known) has null spans.
 """
 
 from __future__ import annotations
@@ -16,13 +17,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import chunks
 from .shared import in_slices
 from .token_files import slices
 
-#: Characters of the texts that a worker encodes together; spans take many times the room of the texts.
+#: Bytes of the texts that a worker encodes together; spans take many times the room of the texts.
 SLICE = 1_000_000
 
 SPACE_MARK = "▁"
@@ -157,24 +160,32 @@ class Model:
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return self.processor.encode(texts, num_threads=1)
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return self.by_chunk(texts) if self.by_chunk else [np.array(ids, np.int32) for ids in self._whole(texts)]
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text (strings without nulls)."""
+        if not self.by_chunk:
+            return [np.array(ids, np.int32) for ids in self._whole(texts.to_pylist())]
+        ids, sizes = self.by_chunk(texts)
+        ends = np.cumsum(sizes)
+        return [ids[a:b] for a, b in zip(ends - sizes, ends, strict=True)]
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
         return self.processor.decode([x.tolist() for x in ids], num_threads=1) if ids else []
 
-    def spans(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Begin and end of each piece in the bytes of ``text``. Bytes of one character spelt by byte pieces all span that character."""
+    def spans(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Begin and end of each piece in the bytes of ``text``. Bytes of one character spelt by byte pieces all span that character.
+
+        None if the pieces don't add up to the normalised text.
+        """
         if not len(ids):
             return np.empty(0, np.int64), np.empty(0, np.int64)
         normal, source = self.normalize(text)
         at = ids
         lengths = self.lengths[at]
         if (at == self.unknown).any():
-            lengths = self._with_unknown(text, lengths)
+            lengths = self._with_unknown(text, at)
         ends = np.cumsum(lengths)
         if ends[-1] != len(normal):
-            raise ValueError("pieces don't cover the normalised text")
+            return None
         begin = source[ends - lengths]
         to = source[ends]
         # inside a character: its end is where the next source position begins
@@ -185,9 +196,10 @@ class Model:
             to = np.where(wide, later[np.minimum(np.searchsorted(later, begin, side="right"), len(later) - 1)], to)
         return begin, to
 
-    def _with_unknown(self, text: str, lengths: np.ndarray) -> np.ndarray:
-        pieces = self.processor.encode(text, out_type=str)
-        return np.array([1 if b else len(p.encode()) for p, b in zip(pieces, lengths == -1, strict=True)], np.int64) if len(pieces) == len(lengths) else lengths
+    def _with_unknown(self, text: str, ids: np.ndarray) -> np.ndarray:
+        """Lengths of pieces where unknown ones stand for as much text as the library says."""
+        names = self.processor.encode(text, out_type=str)
+        return np.array([1 if b else len(p.encode()) for p, b in zip(names, self.byte_piece[ids], strict=True)], np.int64)
 
 
 @lru_cache(maxsize=2)
@@ -198,29 +210,42 @@ def load(path: str) -> Model:
 # ---- jobs ------------------------------------------------------------------------------------------------------------
 
 
-def _encoded(path: str):
+ENCODED = ("n_tokens", "ids", "begins", "ends")
+
+
+def _encoded(path: str, kept: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(path)
         for batch in in_slices(batches):
-            texts = [x or "" for x in batch.column("text").to_pylist()]
+            texts = pc.fill_null(batch.column("__text"), "")
             for a, b in slices(texts, SLICE):
                 ids = model.encode(texts[a:b])
-                spans = [model.spans(t, i) for t, i in zip(texts[a:b], ids, strict=True)]
+                spans = [model.spans(t, i) for t, i in zip(texts[a:b].to_pylist(), ids, strict=True)]
+                lost = pa.array([x is None for x in spans])
+                spans = [x or (i, i) for x, i in zip(spans, ids, strict=True)]
                 bounds = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
-                flat = lambda parts, kind: pa.ListArray.from_arrays(bounds, pa.array(np.concatenate([np.asarray(x, np.int64) for x in parts]), kind))
+                lists = lambda parts, kind, mask=None: pa.ListArray.from_arrays(bounds, pa.array(np.concatenate([x.astype(np.int64) for x in parts]), kind), mask=mask)
                 yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(c)[a:b] for c in batch.schema.names if c != "text"], pa.array(list(map(len, ids)), pa.int64()), flat(ids, pa.int32()), flat([s[0] for s in spans], pa.int64()), flat([s[1] for s in spans], pa.int64())],
-                    names=[*[c for c in batch.schema.names if c != "text"], "n_tokens", "ids", "begins", "ends"],
+                    [*[batch.column(c)[a:b] for c in kept], pa.array(list(map(len, ids)), pa.int64()), lists(ids, pa.int32()), *[lists([x[k] for x in spans], pa.int64(), lost) for k in (0, 1)]],
+                    names=[*kept, *ENCODED],
                 )
 
     return run
 
 
-def encode(docs: DataFrame, keep: list[str] = ["doc_id"], path: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), path: str | None = None) -> DataFrame:
     """The columns ``keep``, then n_tokens, ids, and begins and ends: each piece's span in the UTF-8 bytes of ``text``."""
-    kept = docs.select(*keep, "text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "text")
-    return kept.mapInArrow(_encoded(path or model_path()), f"{schema}, n_tokens long, ids array<int>, begins array<long>, ends array<long>")
+    kept = [c for c in keep if c not in ENCODED]
+    schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in kept)
+    rows = docs.select(*kept, F.col("text").alias("__text"))
+    return rows.mapInArrow(_encoded(path or model_path(), kept), f"{schema}n_tokens long, ids array<int>, begins array<long>, ends array<long>")
+
+
+def _covered(spans: tuple[np.ndarray, np.ndarray] | None) -> int | None:
+    if spans is None:
+        return None
+    begin, end = spans
+    return int((end - np.maximum(begin, np.concatenate(([0], end[:-1])))).clip(0).sum())
 
 
 def _digested(path: str):
@@ -228,14 +253,10 @@ def _digested(path: str):
         model = load(path)
         decimal = [str(i) for i in range(len(model.lengths))]
         for batch in in_slices(batches):
-            texts = [x or "" for x in batch.column("text").to_pylist()]
+            texts = pc.fill_null(batch.column("text"), "")
             for a, b in slices(texts, SLICE):
-                part = texts[a:b]
-                ids = model.encode(part)
-                covered = []
-                for text, own in zip(part, ids, strict=True):
-                    begin, end = model.spans(text, own)
-                    covered.append(int((end - np.maximum(begin, np.concatenate(([0], end[:-1])))).clip(0).sum()))
+                ids = model.encode(texts[a:b])
+                covered = [_covered(model.spans(text, own)) for text, own in zip(texts[a:b].to_pylist(), ids, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id")[a:b],

@@ -18,14 +18,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .chunks import ChunkEncoder, byte_level
 from .shared import new_path
 
-#: Texts encoded at once, in characters; with the chunks remembered this bounds a worker's memory.
-SLICE = 3_000_000
+#: Texts encoded at once, in bytes; with the chunks remembered this bounds a worker's memory.
+SLICE = 8_000_000
 
 
 @dataclass(frozen=True)
@@ -57,16 +58,14 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def slices(texts: list[str], most: int = SLICE) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about ``most`` characters together."""
-    a = size = 0
-    for b, x in enumerate(texts):
-        size += len(x)
-        if size >= most:
-            yield a, b + 1
-            a, size = b + 1, 0
-    if a < len(texts):
-        yield a, len(texts)
+def slices(texts: pa.Array, most: int = SLICE) -> Iterator[tuple[int, int]]:
+    """Runs of texts (strings without nulls) of about ``most`` bytes together."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64))
+    a = done = 0
+    while a < len(texts):
+        b = min(len(texts), int(np.searchsorted(ends, done + most)) + 1)
+        yield a, b
+        a, done = b, int(ends[b - 1])
 
 
 @lru_cache(maxsize=2)
@@ -82,20 +81,22 @@ def _encode(path: str, end_id: int):
     schema = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("offset", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, before, end = _byte_level_encoder(path), 0, np.array([end_id], np.int32)
+        encoder, before = _byte_level_encoder(path), 0
         for batch in batches:
-            texts = [x or "" for x in batch.column("text").to_pylist()]
+            texts = pc.fill_null(batch.column("text"), "")
             for a, b in slices(texts):
-                found = encoder(texts[a:b])
-                n = np.array([len(ids) + 1 for ids in found], np.int64)
-                bounds = np.concatenate(([0], np.cumsum(n)))
-                flat = np.concatenate([x for ids in found for x in (ids, end)])
+                ids, sizes = encoder(texts[a:b])
+                bounds = np.concatenate(([0], np.cumsum(sizes + 1)))
+                flat = np.full(bounds[-1], end_id, np.int32)
+                own = np.ones(len(flat), bool)
+                own[bounds[1:] - 1] = False
+                flat[own] = ids
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id")[a:b],
                         batch.column("part")[a:b],
                         pa.array(before + bounds[:-1]),
-                        pa.array(n),
+                        pa.array(sizes + 1),
                         pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat)),
                     ],
                     schema=schema,

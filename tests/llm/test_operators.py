@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -118,11 +119,14 @@ def test_token_files_read_selectively(spark, docs):
 @given(st.text(alphabet=st.sampled_from(list("aB é▁🚀\x00 \n\t.'1 　\x85<s>/0xA")), max_size=40))
 def test_chunks_change_no_ids(text):
     model = pieces.load(pieces.model_path())
-    assert model.encode([text])[0].tolist() == model.processor.encode(text)
+    texts = pa.array([text, "plain words", text])
+    assert [x.tolist() for x in model.encode(texts)] == model.processor.encode(texts.to_pylist())
     whole = token_files._byte_level_encoder(token_files.tokenizer_path())
     from tokenizers import Tokenizer
 
-    assert whole([text])[0].tolist() == _byte_model(Tokenizer).encode(text, add_special_tokens=False).ids
+    wanted = [_byte_model(Tokenizer).encode(t, add_special_tokens=False).ids for t in texts.to_pylist()]
+    ids, sizes = whole(texts)
+    assert ids.tolist() == sum(wanted, []) and sizes.tolist() == list(map(len, wanted))
 
 
 _byte = []
@@ -203,7 +207,7 @@ def test_pieces(docs, rows, nothing):
 def test_spans_hold_their_pieces(docs, rows):
     model = pieces.load(pieces.model_path())
     texts = {k: (t or "").encode() for k, t, *_ in rows}
-    for r in pieces.encode(docs, keep=["doc_id", "lang"]).collect():
+    for r in pieces.encode(docs.withColumn("n_tokens", F.lit("clash")), keep=("doc_id", "lang", "n_tokens")).collect():
         own = texts[r["doc_id"]]
         for i, a, b in zip(r["ids"], r["begins"], r["ends"], strict=True):
             if not model.byte_piece[i]:
