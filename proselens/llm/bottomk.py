@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import words
 from .components import components
-from .shared import BROADCAST_ROWS, in_slices, small, stage
+from .shared import in_slices, small, stage
 
 SHINGLE = 5
 #: A link needs 100 * intersection >= percent * union; this is the percentage of ``result`` and its SQL.
@@ -218,7 +218,7 @@ def find_links(nodes: DataFrame, docs: DataFrame, percent: int = PERCENT) -> Dat
     leaders = lists.groupBy("value").agg(F.min("node").alias("leader"))
     groups = components(lists.join(leaders, "value").where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct())
     members = stage(groups.select("node", F.col("root").alias("group")).join(nodes.select("node", "n", "sign", "text_hash"), "node"), "members")
-    wanted = small(stage(members.select("text_hash").distinct(), "wanted"), BROADCAST_ROWS)
+    wanted = small(stage(members.select("text_hash").distinct(), "wanted"))
     full = docs.join(wanted, "text_hash", "left_semi").dropDuplicates(["text_hash"]).select("text").mapInArrow(_full, "sign binary, hashes binary")
     sets = stage(members.select("sign", "node").join(full.dropDuplicates(["sign"]), "sign").select("node", "hashes"), "sets")
     tasks = _tasks(members.select("node", "n", "group"), percent)

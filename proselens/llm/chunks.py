@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of chunks and ids that one Python worker remembers. The memory only saves work; results don't depend on it.
-REMEMBERED = 64 << 20
+REMEMBERED = 32 << 20
 
 #: Ids of several strings: all of them in a row, and how many each string has.
 Ids = tuple[np.ndarray, np.ndarray]

@@ -193,7 +193,7 @@ def scan(docs: DataFrame, templates: list[Template] = BASE + LICENSES) -> DataFr
     """doc_id, n_words, finds: verified spans (template number, first and last word, score), for every document."""
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     spans = alignments(texts, templates).groupBy("text_hash").agg(F.sort_array(F.collect_set(F.struct("template", "first", "last"))).alias("spans"))
-    joined = texts.join(small(stage(spans, "spans"), items="spans"), "text_hash", "left")
+    joined = texts.join(small(stage(spans, "spans")), "text_hash", "left")
     return joined.select("doc_id", "text", "spans").mapInArrow(_verify(templates), "doc_id long, n_words long, finds array<struct<template:int,first:long,last:long,score:double>>")
 
 

@@ -9,11 +9,12 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..shipping import ship
 
-#: Rows up to which a materialised side of a join is broadcast. Above it Spark joins by shuffle.
-BROADCAST_ROWS = 200_000
+#: Rows and bytes up to which a materialised side of a join is broadcast. Above either Spark joins by shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
 
 _own_folders: dict[str, str] = {}
 
@@ -45,13 +46,19 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS, items: str | None = None) -> DataFrame:
-    """Ask for a broadcast of a staged table if its counted rows are few; else leave the join to a shuffle.
+def small(df: DataFrame) -> DataFrame:
+    """Ask for a broadcast of a staged table if its counted rows and their bytes are few; else leave the join to a shuffle."""
 
-    The elements of the array column ``items`` count as rows too; other columns must be of bounded width.
-    """
-    elements = F.coalesce(F.sum(F.greatest(F.size(items), F.lit(0))), F.lit(0)) if items else F.lit(0)
-    return F.broadcast(df) if sum(df.agg(F.count("*"), elements).first()) <= rows else df
+    def width(field: T.StructField):
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            return F.octet_length(field.name)
+        if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            return F.octet_length(F.to_json(F.struct(field.name)))
+        return F.lit(8)
+
+    bytes_ = sum((F.coalesce(width(f), F.lit(0)) for f in df.schema.fields), F.lit(16))
+    rows, size = df.agg(F.count("*"), F.coalesce(F.sum(bytes_), F.lit(0))).first()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df
 
 
 def crc_text(col):

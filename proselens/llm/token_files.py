@@ -26,7 +26,7 @@ from .chunks import ChunkEncoder, byte_level
 from .shared import new_path
 
 #: Texts encoded at once, in bytes; with the chunks remembered this bounds a worker's memory.
-SLICE = 8_000_000
+SLICE = 6_000_000
 
 
 @dataclass(frozen=True)
