@@ -1,12 +1,18 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
 Texts are lower-cased, everything but letters counts as a space, and runs of 1 to 3 characters are hashed to DIMENSIONS
-features. Document frequencies are counted over every training row. The regression is trained by follow-the-regularised-
-leader (FTRL-proximal) with L1 and L2 penalties on at most FIT_ROWS labelled rows, about as many of each language, drawn by a
-hash of id and text; a fifth of them is left out to fit the temperature that calibrates the scores.
-
-Rows: null texts and texts without a letter are ``und`` with score 0; so is every row if there is nothing to learn from.
-Equal scores go to the language first in order. Repeated rows get equal results; extra columns are kept by ``annotate``.
+features. Document frequencies are counted over every training row, by language. The regression is trained by
+follow-the-regularised-leader (FTRL-proximal) with L1 and L2 penalties on about FIT_ROWS labelled rows, about as many of each
+language, drawn by a hash of id and text; a fifth of them is left out to fit the temperature that calibrates the scores.
+
+A text's language can be told only if its n-grams are those of a language: ``familiar`` is the share of them that COMMON of some
+language's training rows hold. Random characters, keys, markup and languages that were not learned share few. ``keep_known``
+rejects texts below a bar that is calibrated on the rows left out: MARGIN times what all but one in 200 of them reach, LEAST_BAR
+at the most.
+
+Rows: null texts and texts without a letter are ``und`` with score and familiar 0; without any labelled row every text is
+``und``, and familiar is null. Equal scores go to the language first in order. Repeated rows get equal results; extra columns
+are kept by ``annotate``, those with its names give way. Of more than MOST_LANGUAGES labels the most frequent are learned.
 """
 
 from __future__ import annotations
@@ -27,8 +33,10 @@ from .words import mix
 
 UNDETERMINED = "und"
 DIMENSIONS = 1 << 15
-#: Bound on the labelled rows that the regression is fitted on; the bound on languages keeps the model small.
-FIT_ROWS, MOST_LANGUAGES = 3_000, 500
+#: Bound on the labelled rows that the regression is fitted on, and on the languages that it tells apart (the model's size).
+FIT_ROWS, MOST_LANGUAGES = 3_000, 200
+#: An n-gram is familiar if this share of a language's rows holds it; how the bar on the familiar share follows from rows left out.
+COMMON, MARGIN, LEAST_BAR = 0.01, 0.9, 0.8
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 1e-3, 1e-3, 3
 #: Characters of a text that are looked at together; longer texts are counted in parts.
 PART = 1 << 20
@@ -73,15 +81,29 @@ def vector(at: np.ndarray, n: np.ndarray, idf: np.ndarray) -> np.ndarray:
 # ---- training --------------------------------------------------------------------------------------------------------
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One sparse vector of document frequencies a task; feature -1 counts documents."""
-    seen, total = 0, np.zeros(DIMENSIONS, np.int64)
+def _frequencies(classes: list[str]):
+    """Sparse vectors of document frequencies by language, one a task; feature -1 counts documents."""
+    number = {lang: k for k, lang in enumerate(classes)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(classes), DIMENSIONS + 1), np.int32)
+        for batch in in_slices(batches):
+            for text, lang in zip(*[batch.column(c).to_pylist() for c in ("text", "lang")], strict=True):
+                total[number[lang], 0] += 1
+                total[number[lang], counts(text)[0] + 1] += 1
+        lang, feature = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(lang, pa.int32()), pa.array(feature - 1, pa.int32()), pa.array(total[lang, feature], pa.int64())], names=["label", "feature", "n"])
+
+    return run
+
+
+def _as_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts become their features and how often each occurs."""
     for batch in in_slices(batches):
-        for text in batch.column("text").to_pylist():
-            seen += 1
-            total[counts(text)[0]] += 1
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array([-1, *at.tolist()], pa.int32()), pa.array([seen, *total[at].tolist()], pa.int64())], names=["feature", "n"])
+        found = [counts(t) for t in batch.column("text").to_pylist()]
+        bounds = pa.array(np.cumsum([0, *[len(at) for at, _ in found]]), pa.int32())
+        lists = [pa.ListArray.from_arrays(bounds, pa.array(np.concatenate([x[k] for x in found]) if found else [], pa.int32())) for k in (0, 1)]
+        yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("fold"), batch.column("hash"), *lists], names=["label", "fold", "hash", "at", "times"])
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -136,33 +158,42 @@ def _pack(**arrays: np.ndarray) -> bytes:
 
 def _train(classes: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, labels, folds, idf = [], [], [], np.zeros(DIMENSIONS)
-        frequency, seen = np.zeros(DIMENSIONS), 1
-        for batch in batches:  # the frequencies come first
-            for text, lang, fold, feature, n in zip(*[batch.column(c).to_pylist() for c in ("text", "lang", "fold", "feature", "n")], strict=True):
-                if feature is not None:
-                    if feature < 0:
-                        seen = n
-                    else:
-                        frequency[feature] = n
-                    continue
-                rows.append(counts(text))
-                labels.append(classes.index(lang))
-                folds.append(fold)
-        idf = np.log((1 + seen) / (1 + frequency)) + 0.05
+        rows, labels, folds = [], [], []
+        frequency, seen = np.zeros((len(classes), DIMENSIONS)), np.zeros(len(classes))
+        for batch in batches:
+            for label, fold, feature, n, at, times in zip(*[batch.column(c).to_pylist() for c in ("label", "fold", "feature", "n", "at", "times")], strict=True):
+                if feature is None:
+                    rows.append((np.array(at, np.int64), np.array(times, np.int64)))
+                    labels.append(label)
+                    folds.append(fold)
+                elif feature < 0:
+                    seen[label] = n
+                else:
+                    frequency[label, feature] = n
+        idf = np.log((1 + seen.sum()) / (1 + frequency.sum(axis=0))) + 0.05
+        common = (frequency >= COMMON * np.maximum(seen, 1)[:, None]).any(axis=0) & (frequency.sum(axis=0) > 0)
         data = [(at, vector(at, n, idf)) for at, n in rows]
         labels, held = np.array(labels, np.int64), np.array(folds, np.int64) == 0
         if held.all():
             held[:] = False
-        own = np.flatnonzero(~held)
+        own, out = np.flatnonzero(~held), np.flatnonzero(held)
         weights = fit([data[k] for k in own], labels[own], len(classes)) if len(own) else np.zeros((DIMENSIONS, len(classes)))
-        logits = np.array([data[k][1] @ weights[data[k][0]] for k in np.flatnonzero(held)]).reshape(-1, len(classes))
+        logits = np.array([data[k][1] @ weights[data[k][0]] for k in out]).reshape(-1, len(classes))
+        reached = np.quantile([familiar(*rows[k], common) for k in out], 1 / 200) if len(out) else 0.0
         used = np.flatnonzero(weights.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array([_pack(used=used, weights=weights[used].astype(np.float32), idf=idf.astype(np.float32), scale=np.array(temperature(logits, labels[held])))], pa.binary())], names=["model"])
+        yield pa.RecordBatch.from_arrays([pa.array([_pack(
+            used=used, weights=weights[used].astype(np.float32), idf=idf.astype(np.float32), scale=np.array(temperature(logits, labels[held])),
+            common=np.flatnonzero(common).astype(np.int32), bar=np.array(min(LEAST_BAR, MARGIN * reached)),
+        )], pa.binary())], names=["model"])
 
     return run
 
 
+def familiar(at: np.ndarray, n: np.ndarray, common: np.ndarray) -> float:
+    """The share of a text's n-grams that are common in some language."""
+    return float(n[common[at]].sum() / n.sum()) if len(n) else 0.0
+
+
 class Model:
     def __init__(self, classes: list[str], packed: bytes | None):
         self.classes = classes
@@ -171,63 +202,78 @@ class Model:
             self.idf, self.scale = data["idf"].astype(np.float64), float(data["scale"])
             self.weights = np.zeros((DIMENSIONS, len(classes)))
             self.weights[data["used"]] = data["weights"]
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        if not self.classes or not has_letter(text):
-            return UNDETERMINED, 0.0
+            self.common, self.bar = np.zeros(DIMENSIONS, bool), float(data["bar"])
+            self.common[data["common"]] = True
+
+    def predict(self, text: str | None) -> tuple[str, float, float | None]:
+        """Language, score and familiar share."""
+        if not has_letter(text):
+            return UNDETERMINED, 0.0, 0.0
+        if not self.classes:
+            return UNDETERMINED, 0.0, None
         at, n = counts(text)
         p = _softmax(self.scale * (vector(at, n, self.idf) @ self.weights[at]))
         best = int(np.argmax(p))
-        return self.classes[best], float(p[best])
+        return self.classes[best], float(p[best]), familiar(at, n, self.common)
+
+    def knows(self, text: str | None) -> bool:
+        """Whether the text's language can be told."""
+        share = self.predict(text)[2]
+        return share is None or (has_letter(text) and share >= self.bar)
 
 
 def train(docs: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[list[str], bytes | None]:
     """Learn from ``docs`` (doc_id, text, lang): (languages, packed model). Rows without language, or without a letter, teach nothing."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "text", "lang")
-    per_lang = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(MOST_LANGUAGES + 1).collect()
-    if len(per_lang) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    per_lang = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
     if not per_lang:
         return [], None
-    classes = [r["lang"] for r in per_lang]
-    share = {r["lang"]: min(1.0, fit_rows / len(classes) / r["n"]) for r in per_lang}
+    sizes = {r["lang"]: r["n"] for r in per_lang}
+    classes = sorted(sizes)
+    learned = known.where(F.col("lang").isin(classes))
+    of_lang = lambda values: F.create_map(*[F.lit(x) for pair in values.items() for x in pair])[F.col("lang")]
     hashed = F.xxhash64(F.lit(5), "doc_id", "text")
     draw = F.pmod(hashed, F.lit(1 << 30)) / float(1 << 30)
-    limits = F.create_map(*[F.lit(x) for pair in share.items() for x in pair])
-    frequencies = known.select("text").mapInArrow(_frequencies, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n"))
-    drawn = known.where(draw < limits[F.col("lang")]).select("text", "lang", F.pmod(F.shiftright(hashed, 32), F.lit(5)).cast("int").alias("fold"), F.col("doc_id").alias("at"), hashed.alias("hash"))
-    nothing = lambda kind: F.lit(None).cast(kind)
-    taught = drawn.select("text", "lang", "fold", nothing("int").alias("feature"), nothing("long").alias("n"), "hash")
-    told = frequencies.select(nothing("string").alias("text"), nothing("string").alias("lang"), nothing("int").alias("fold"), "feature", "n", F.lit(None).cast("long").alias("hash"))
-    gathered = stage(told.unionByName(taught), "lessons").coalesce(1).sortWithinPartitions("hash", "feature")  # bounded: FIT_ROWS and DIMENSIONS
+    frequencies = learned.select("text", "lang").mapInArrow(_frequencies(classes), "label int, feature int, n long").groupBy("label", "feature").agg(F.sum("n").alias("n"))
+    drawn = learned.where(draw < of_lang({lang: min(1.0, fit_rows / len(classes) / n) for lang, n in sizes.items()}))
+    drawn = drawn.select("text", of_lang({lang: k for k, lang in enumerate(classes)}).alias("label"), F.pmod(F.shiftright(hashed, 32), F.lit(5)).cast("int").alias("fold"), hashed.alias("hash"))
+    taught = drawn.mapInArrow(_as_counts, "label int, fold int, hash long, at array<int>, times array<int>")
+    gathered = stage(frequencies.unionByName(taught, allowMissingColumns=True), "lessons").coalesce(1).sortWithinPartitions("hash", "label", "feature")  # FIT_ROWS and MOST_LANGUAGES bound it
     return classes, gathered.mapInArrow(_train(classes), "model binary").first()["model"]
 
 
 # ---- prediction ------------------------------------------------------------------------------------------------------
 
 
-def _predicted(shared, keep):
-    """Batches with lang_pred and score, or, given ``keep`` (a score), the rows whose language is told with at least it."""
-
+def _predicted(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _loaded(shared)
         for batch in in_slices(batches):
             found = [model.predict(t) for t in batch.column("text").to_pylist()]
-            if keep is not None:
-                yield batch.filter(pa.array([lang != UNDETERMINED and score >= keep for lang, score in found], pa.bool_()))
-            else:
-                columns = [*batch.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
-                yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "lang_pred", "score"])
+            columns = [*batch.columns, *[pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.float64()))]]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *PREDICTED])
+
+    return run
+
+
+def _known(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = _loaded(shared)
+        for batch in in_slices(batches):
+            yield batch.filter(pa.array([model.knows(t) for t in batch.column("text").to_pylist()], pa.bool_()))
 
     return run
 
 
+PREDICTED = ("lang_pred", "score", "familiar")
+
+
 def annotate(docs: DataFrame, model: tuple[list[str], bytes | None]) -> DataFrame:
-    """``docs`` with lang_pred and score, in place of any such columns. The packed model (at most DIMENSIONS x MOST_LANGUAGES numbers) is broadcast."""
+    """``docs`` with lang_pred, score and familiar, in place of any such columns. The packed model (DIMENSIONS x MOST_LANGUAGES numbers at most) is broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.drop("lang_pred", "score")
-    schema = T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(_predicted(shared, None), schema)
+    rows = docs.drop(*PREDICTED)
+    kinds = (T.StringType(), T.DoubleType(), T.DoubleType())
+    return rows.mapInArrow(_predicted(shared), T.StructType([*rows.schema.fields, *map(T.StructField, PREDICTED, kinds)]))
 
 
 _models: dict[int, Model] = {}
@@ -247,20 +293,15 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def result(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score; learned from the rows that aren't held out."""
+    """doc_id, held_out, lang_pred, score, familiar; learned from the rows that aren't held out."""
     rows = docs.select("doc_id", "text", "lang")
     model = train(rows.where(~held_out()))
-    return annotate(rows.drop("lang"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return annotate(rows.drop("lang"), model).select("doc_id", held_out().alias("held_out"), *PREDICTED)
 
 
-def keep_known(docs: DataFrame, margin: float = 1.1) -> DataFrame:
-    """``docs`` without the rows whose language can't be told: no letter, or a score below ``margin`` times that of a guess.
+def keep_known(docs: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose language can't be told: no letter, or a familiar share below the calibrated bar.
 
-    Learned from their own labels; short clean texts score low, so only those that say next to nothing go. If fewer than two
-    languages are labelled, only the texts without a letter go.
+    Learned from their own labels; if no row is labelled, only texts without a letter go.
     """
-    model = train(docs)
-    if len(model[0]) < 2:
-        return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(_predicted(shared, margin / len(model[0])), docs.schema)
+    return docs.mapInArrow(_known(docs.sparkSession.sparkContext.broadcast(train(docs))), docs.schema)

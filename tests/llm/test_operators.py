@@ -186,7 +186,7 @@ def test_language(spark, nothing):
     assert all(0 <= r["score"] <= 1 for r in found.values())
     assert langid.result(nothing).count() == 0
     unlabelled = spark.createDataFrame([(1, "some text", None, "s", 0)], DOCS)
-    assert [tuple(r)[2:] for r in langid.result(unlabelled).collect()] == [("und", 0.0)]
+    assert [tuple(r)[2:] for r in langid.result(unlabelled).collect()] == [("und", 0.0, None)]
 
 
 # ---- 4 pieces --------------------------------------------------------------------------------------------------------------
