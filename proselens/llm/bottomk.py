@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import words
 from .components import components
-from .shared import in_slices, small, stage
+from .shared import in_slices, join_each, small, stage
 
 SHINGLE = 5
 #: A link needs 100 * intersection >= percent * union; this is the percentage of ``result`` and its SQL.
@@ -234,17 +234,18 @@ def classify(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFr
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     sketched = stage(texts.mapInArrow(_sketch, "doc_id long, text_hash long, n long, sign binary, sketch array<long>").withColumn("row", F.monotonically_increasing_id()), "sketches")
     first = F.min(F.struct(F.col("doc_id"), F.col("row"))).alias("first")
-    copies = stage(sketched.where("n > 0").groupBy("sign").agg(first), "copies")
+    copies = stage(sketched.where("n > 0").groupBy("sign").agg(first, F.count("*").alias("n")), "copies")
     nodes = copies.select(F.col("first.row").alias("node")).join(sketched.where("n > 0").select(F.col("row").alias("node"), "n", "sign", "text_hash", "sketch"), "node")
     links = find_links(stage(nodes, "nodes"), texts, percent)
     roots = stage(components(links), "roots")
-    classes = copies.select("sign", "first", F.col("first.row").alias("node")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    best = classes.groupBy("root").agg(F.min("first").alias("best"))
-    by_sign = stage(classes.join(best, "root").select("sign", "best"), "classes")
-    rows = sketched.drop("sketch").join(by_sign, "sign", "left")
-    alone = F.col("best").isNull()
-    component = F.when(alone, F.col("doc_id")).otherwise(F.col("best.doc_id"))
-    rows = rows.select("row", "doc_id", "text_hash", F.col("n").alias("n_shingles"), component.alias("component_id"), (alone | F.col("doc_id").eqNullSafe(F.col("best.doc_id"))).alias("kept"), (alone | (F.col("row") == F.col("best.row"))).alias("representative"))
+    classes = copies.select("sign", "first", "n", F.col("first.row").alias("node")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    classes = stage(classes.select("sign", "first", "root", F.col("n").alias("copies")), "rooted")
+    best = stage(classes.groupBy("root").agg(F.min("first").alias("best"), F.count("*").alias("n")), "best")
+    by_sign = stage(join_each(classes, best, "root").select("sign", "best", F.col("copies").alias("n")), "classes")
+    rows = sketched.select("row", "doc_id", "text_hash", "sign", F.col("n").alias("n_shingles"))
+    linked = join_each(rows.where("sign IS NOT NULL"), by_sign, "sign").drop("sign")
+    alone = rows.where("sign IS NULL").drop("sign").withColumn("best", F.struct("doc_id", "row"))  # no words, no links
+    rows = linked.unionByName(alone).select("row", "doc_id", "text_hash", "n_shingles", F.col("best.doc_id").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("best.doc_id")).alias("kept"), (F.col("row") == F.col("best.row")).alias("representative"))
     return rows, links
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .bottomk import _Forest
 from .components import components
-from .shared import stage
+from .shared import join_each, stage
 from .vectors import rows_of, usable
 
 COSINE = 0.93
@@ -135,11 +135,12 @@ def classify(vectors: DataFrame) -> DataFrame:
     roots = components(found.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     classes = nodes.join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = classes.groupBy("root").agg(F.min("least").alias("best"))
-    classes = classes.join(least, "root").select(*key, (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.col("best.vec_id").alias("component_id"), F.lit(True).alias("linked"))
-    placed = rows.join(classes, key, "left")
-    component = F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("vec_id"))
-    return placed.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("vec_id")).alias("kept"))
+    classes = stage(classes.select(*key, "root", "least", "copies", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "rooted")
+    least = stage(classes.groupBy("root").agg(F.min("least").alias("best"), F.count("*").alias("n")), "best")
+    classes = join_each(classes, least, "root").select(*key, "n_links", F.col("best.vec_id").alias("component_id"))
+    linked = rows.where("vector IS NOT NULL").join(classes, key).select("vec_id", "n_links", "component_id")
+    alone = rows.where("vector IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return linked.unionByName(alone).withColumn("kept", F.col("component_id").eqNullSafe(F.col("vec_id")))
 
 
 ORACLE = f"""

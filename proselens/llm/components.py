@@ -1,7 +1,8 @@
 """Connected components of an edge table, by alternating large-star and small-star steps.
 
-Every step is a grouped minimum and a join, so a node with very many edges is pre-aggregated and then split by the skew
-handling of the join. Each round is written to the shared folder; rounds grow with the logarithm of a component's length.
+Every step is a grouped minimum and a join. The minimum is pre-aggregated; edges of a node with very many of them, such as the
+centre of a star, meet it by broadcast where they are, so no task gets them all. Each round is written to the shared folder;
+rounds grow with the logarithm of a component's length.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stage
+from .shared import join_each, stage
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -18,13 +19,15 @@ def _state(edges: DataFrame) -> tuple:
 
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("least"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b")).where("a <> b")
+    least = both.groupBy("a").agg(F.min("b").alias("least"), F.count_if(F.col("b") > F.col("a")).alias("n"))
+    least = stage(least.where("n > 0").select("a", F.least("a", "least").alias("least"), "n"), "least")
+    return join_each(both.where("b > a"), least, "a").select(F.col("b").alias("a"), F.col("least").alias("b")).where("a <> b")
 
 
 def _small(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("a").agg(F.min("b").alias("least"))
-    moved = edges.join(least, "a").where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
+    least = stage(edges.groupBy("a").agg(F.min("b").alias("least"), F.count("*").alias("n")), "least")
+    # a node with one edge has nothing to move
+    moved = join_each(edges, least.where("n > 1"), "a").where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
     return least.select("a", F.col("least").alias("b")).unionByName(moved)
 
 
@@ -37,7 +40,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = stage(edges, "edges")
     state = _state(edges)
     while state[0]:
-        edges = stage(_small(_large(edges)).distinct(), "edges")
+        large = stage(_large(edges).distinct(), "edges")
+        edges = stage(_small(large).distinct(), "edges")
         before, state = state, _state(edges)
         if state == before:
             break

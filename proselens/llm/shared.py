@@ -24,10 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``. Only where that is unset (tests), a folder of our own."""
+    """The folder that all executors share: ``spark.checkpoint.dir``. Where that is unset, a folder of our own, if there is but one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_folders:
         _own_folders[app] = "file://" + tempfile.mkdtemp(prefix="llm-shared-")
@@ -61,6 +63,22 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df
 
 
+#: Rows of one key above which it is hot, at least; and the most keys that are.
+HOT_ROWS, HOT_KEYS = 1_000, 100_000
+
+
+def join_each(rows: DataFrame, per_key: DataFrame, key: str) -> DataFrame:
+    """Inner join of ``rows`` with ``per_key``: one row a key, whose column n tells how many of ``rows`` have it, and drops out.
+
+    Rows of hot keys stay where they are and meet a broadcast of their keys, at most HOT_KEYS; only the others are shuffled, so
+    no task gets all rows of a hot key. ``per_key`` must be staged, and its columns of bounded width.
+    """
+    total = per_key.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    limit = max(HOT_ROWS, total // HOT_KEYS)
+    hot, cold = F.broadcast(per_key.where(F.col("n") > limit).drop("n")), per_key.where(F.col("n") <= limit).drop("n")
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
+
+
 def crc_text(col):
     """Unsigned crc32 of the decimal text of an integer id; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary"))
