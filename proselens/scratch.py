@@ -13,8 +13,10 @@ _own: dict[str, str] = {}
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A new path below ``spark.checkpoint.dir``; only where that is unset, below a temporary folder."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """A new path below ``spark.checkpoint.dir``; where that is unset, below a temporary folder, if there is but one machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if not named and app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="scratch-")
