@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .patterns import WS
+from .patterns import SPACES, WS
 
 WORD_CURLY = "[A-Za-z0-9][A-Za-z0-9'’-]*"
 WORD_STRAIGHT = "[A-Za-z0-9][A-Za-z0-9'-]*"
@@ -15,9 +17,18 @@ def _col(text: Column | str) -> Column:
     return F.col(text) if isinstance(text, str) else text
 
 
+def _characters(span: str) -> str:
+    """The characters of a class of plain ones, ``\\x{...}`` and ranges of these."""
+    found = re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: chr(int(m[1], 16)), span.replace(r"\t", "\t").replace(r"\n", "\n").replace(r"\f", "\f").replace(r"\r", "\r").replace(r"\x0B", "\x0b"))
+    return re.sub("(.)-(.)", lambda m: "".join(map(chr, range(ord(m[1]), ord(m[2]) + 1))), found, flags=re.DOTALL)
+
+
+_SPACE = _characters(SPACES)
+
+
 def trim_all(text: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(text, rf"^{WS}+|{WS}+$", "")
+    return F.btrim(text, F.lit(_SPACE))
 
 
 def straight_quotes(text: Column) -> Column:
@@ -45,8 +56,9 @@ def text_lines(text: Column | str) -> Column:
 
 def is_english(text: Column | str) -> Column:
     """Fewer than 20 letters, or more than 80 % of them ASCII."""
-    letters = F.regexp_count(_col(text), F.lit(r"\p{L}"))
-    return (letters < 20) | (F.regexp_count(_col(text), F.lit("[A-Za-z]")) / letters > 0.8)
+    # runs of other characters are removed: far fewer matches than letters
+    letters = F.length(F.regexp_replace(_col(text), r"\P{L}+", ""))
+    return (letters < 20) | (F.length(F.regexp_replace(_col(text), "[^A-Za-z]+", "")) / letters > 0.8)
 
 
 def model_prep(text: Column | str) -> Column:

@@ -24,7 +24,7 @@ def model_only_by_set(df: DataFrame, thresholds: dict[str, float], group: str =
 
 
 def auc(df: DataFrame, p: str = "p", label: str = "label") -> DataFrame:
-    """One row, auc: the chance that a machine text scores above a human one, ties half.
+    """One row, auc: the chance that a machine text scores above a human one, ties half; null where a class is absent.
 
     Rows are first counted by score; running sums are made within ranges of scores and added up, so no task sees all scores.
     """
@@ -36,7 +36,7 @@ def auc(df: DataFrame, p: str = "p", label: str = "label") -> DataFrame:
     within = F.coalesce(F.sum("h").over(Window.partitionBy("range").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranked = ranged.withColumn("within", within).join(F.broadcast(starts), "range")
     won = F.sum(F.col("m") * (2 * (F.col("start") + F.col("within")) + F.col("h")))
-    return ranked.agg((won / (2 * F.sum("m") * F.sum("h"))).alias("auc"))
+    return ranked.agg(F.try_divide(won, 2 * F.sum("m") * F.sum("h")).alias("auc"))
 
 
 def misses(df: DataFrame, families: str, group: str = "set", verdict: str = "verdict", label: str = "label") -> DataFrame:

@@ -27,6 +27,7 @@ class Model:
     bits: int = BITS
     thresholds: dict[str, float] = field(default_factory=dict)
     counts: dict[str, int] = field(default_factory=dict)
+    trained: str = ""
 
     def __post_init__(self):
         if len(self.weights) != 1 << self.bits:
@@ -48,8 +49,8 @@ def quantize(coefficients: np.ndarray) -> tuple[np.ndarray, float]:
 
 
 def quantize_table(weights: DataFrame) -> DataFrame:
-    """bucket, q, scale from a table (bucket, weight)."""
-    scale = weights.agg((F.max(F.abs("weight")) / 127).alias("scale"))  # one row
+    """bucket, q, scale from a table (bucket, weight); scale 1 if all weights are zero."""
+    scale = weights.agg(F.coalesce(F.nullif(F.max(F.abs("weight")) / 127, F.lit(0.0)), F.lit(1.0)).alias("scale"))  # one row
     return weights.crossJoin(F.broadcast(scale)).select("bucket", F.greatest(F.least(F.rint(F.col("weight") / F.col("scale")), F.lit(127)), F.lit(-127)).cast("tinyint").alias("q"), "scale")
 
 
@@ -94,6 +95,17 @@ def score(df: DataFrame, model: Model, text: str = "text", into: str = "p") -> D
     return df.withColumn(into, probability(hash_features(text, model.bits), model, df.sparkSession))
 
 
+#: Fixed value: the text by which a saved model is checked.
+PROBE = "It's not just a tool — it's a game-changer. Let's dive in!\nHere's why."
+
+
+def probe(spark, model: Model, text: str = PROBE) -> dict:
+    """text, features and p of one text under a model: what another reader of its weights must find."""
+    row = spark.createDataFrame([(text,)], "text string").select(hash_features("text", model.bits).alias("features"))
+    found = row.withColumn("p", probability("features", model, spark)).first()
+    return {"text": text, "features": list(found["features"]), "p": found["p"]}
+
+
 def score_by_join(df: DataFrame, weights: DataFrame, scale: float, bias: float, key: str = "doc_id", features: str = "features") -> DataFrame:
     """key, p: the same with joins, for weights in a table (bucket, w)."""
     hit = df.select(key, F.explode_outer(features).alias("bucket")).join(weights, "bucket", "left")
@@ -107,6 +119,13 @@ def calibrate(scored: DataFrame, p: str = "p", budgets: dict[str, float] = BUDGE
     return scored.agg(*[F.percentile(p, F.lit(1 - share)).alias(name) for name, share in budgets.items()])
 
 
+def train(fitting: DataFrame, humans: DataFrame, budgets: dict[str, float] = BUDGETS, **options) -> Model:
+    """Fit, quantise, and take thresholds from the scores of human texts that weren't fitted."""
+    model = fit(fitting, **options)
+    model.thresholds = calibrate(score(humans, model), budgets=budgets).first().asDict()
+    return model
+
+
 def model_verdict(p: Column, words: Column, thresholds: dict[str, float], sensitivity: str = "balanced", least: int = LEAST_WORDS) -> Column:
     """The model's part: null where it abstains."""
     if sensitivity not in thresholds:

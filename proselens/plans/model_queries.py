@@ -157,6 +157,33 @@ add("e2_model_only", lambda s, d: E.model_only_by_set(judged(s, d), THRESHOLDS).
 add("e3_auc", lambda s, d: E.auc(labelled(s, d).withColumn("p", p_column())).select(F.round("auc", 9).alias("auc")),
     f"WITH {_L}, x AS (SELECT {_P} AS p, label FROM labelled), r AS (SELECT label, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS r FROM x) "
     "SELECT round(((sum(r) FILTER (label = 1) - count(*) FILTER (label = 1) * (count(*) FILTER (label = 1) + 1) / 2.0) / (count(*) FILTER (label = 1) * count(*) FILTER (label = 0)))::DOUBLE, 9) AS auc FROM r")
+
+
+def trained(s: SparkSession, d: str) -> tuple[M.Model, DataFrame]:
+    """A model of four fifths of the sources, and the documents of the others. A seventh of the human texts is left to calibrate it."""
+    rows = P.group_split(labelled(s, d), "source", part=5)
+    rest = P.fraction_split(rows.where("NOT is_test AND label = 0"), 0.85, "doc_id")
+    human, machine = rest.where("is_train"), rows.where("NOT is_test AND label = 1")
+    return M.train(P.weighted_union([(human, 0, 1.0), (machine, 1, 2.0)], ["doc_id", "text"]), rest.where("NOT is_train")), rows.where("is_test")
+
+
+def evaluate_model(s: SparkSession, rows: DataFrame, model: M.Model) -> DataFrame:
+    """doc_id, set, label, words, p, and the verdict at each sensitivity of the model's thresholds."""
+    from ..functions.tells import analyze, verdict
+
+    scored = analyze(M.score(rows, model)).withColumn("words", count_words("text"))
+    local = lambda k: verdict(F.col("analysis.exact_density"), F.size("analysis.tells"), k)
+    return scored.select("doc_id", F.col("source").alias("set"), "label", "words", "p", *[M.decide(local(k), F.col("p"), F.col("words"), model.thresholds, k).alias(k) for k in model.thresholds])
+
+
+def _train_evaluate(s: SparkSession, d: str) -> DataFrame:
+    model, rows = trained(s, d)
+    judged = materialise(evaluate_model(s, rows, model), "judged")
+    flagged = E.flagged_by_set(judged.withColumn("set", F.concat_ws(":", "set", "label")), {k: k for k in model.thresholds})
+    return flagged.join(F.broadcast(E.auc(judged))).select("set", "n", *[F.round(k, 4).alias(k) for k in model.thresholds], F.round("auc", 6).alias("auc"))  # one row
+
+
+add("e0_train_evaluate", _train_evaluate)
 _SETS = "^src1"
 add("e4_misses", lambda s, d: E.misses(judged(s, d), _SETS, verdict="balanced").select("doc_id", "set", "p", "n_tells"),
     f"WITH {_J} SELECT doc_id, \"set\", p, n_tells FROM judged WHERE label = 1 AND regexp_matches(\"set\", '{_SETS}') AND balanced <> 'slop'")

@@ -123,7 +123,7 @@ SELECT doc_id, CASE WHEN contains(s, 'compositeWithTrainedAlgorithmicMedia') THE
   WHEN c THEN 'content credentials' ELSE 'no label' END AS kind,
  CASE WHEN contains(s, 'rainedAlgorithmicMedia') THEN CASE WHEN c THEN 'c2pa' ELSE 'iptc' END WHEN a > 0 AND b BETWEEN a AND a + 4011 AND e BETWEEN b AND b + 410 THEN 'stable diffusion metadata' WHEN w > 0 AND k BETWEEN w AND w + 209 THEN 'comfyui metadata'
   WHEN c AND g IS NOT NULL THEN 'c2pa · ' || g WHEN c THEN 'c2pa' ELSE '' END AS source FROM m"""
-add("v1_scan", lambda s, d: _images(s, d).select("doc_id", V.scan("content").alias("x")).select("doc_id", "x.kind", "x.source"), _SCAN)
+add("v1_scan", lambda s, d: _images(s, d).select("doc_id", V.scan("content").alias("x")).select("doc_id", "x.ai", "x.kind", "x.source"), f"SELECT doc_id, kind IN ('partly generated', 'generated') AS ai, kind, source FROM ({_SCAN})")
 _W, _H = "(doc_id * 7 % 500)", "(doc_id * 11 % 500)"
 add("v2_size_gate", lambda s, d: V.size_gate(_images(s, d)).select("doc_id", "width", "height"), f"SELECT doc_id, {_W} AS width, {_H} AS height FROM documents WHERE {_W} >= 200 AND {_H} >= 200 AND doc_id % 9 <> 0")
 add("v3_once", lambda s, d: V.once(_images(s, d)).select("url"), "SELECT DISTINCT CASE WHEN doc_id % 9 = 0 THEN 'data:' ELSE 'https://h/' END || (doc_id % 300) AS url FROM documents")

@@ -82,6 +82,10 @@ PLANTED = [
 PLANTED_SQL = f"planted AS (SELECT doc_id, lang, source, coalesce(text, '') || ' ' || list_extract([{', '.join(q(p) for p in PLANTED)}], 1 + doc_id % {len(PLANTED)}) AS text FROM documents)"
 
 
+#: A quarter of the texts are the last planted one alone, so that their sentences are even.
+EVEN_SQL = PLANTED_SQL.replace("planted AS", "original AS", 1) + f", planted AS (SELECT doc_id, lang, source, CASE WHEN doc_id % 4 = 0 THEN {q(PLANTED[-1] + ' ')} || source ELSE text END AS text FROM original)"
+
+
 def _structural(pattern: str) -> str:
     return P.re2(pattern.replace(r"\S", T.NOT_SPACE), fold=False)
 

@@ -16,17 +16,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def _arriving(rows: DataFrame, name: str, files: int = 4) -> DataFrame:
-    """``rows`` as a stream of files."""
+def _arriving(rows: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """``rows`` as a stream of files: four, or as many as the rows were read from; ``files`` of them if given."""
+    s, path = rows.sparkSession, new_folder(rows.sparkSession, name)
+    rows.repartition(files or max(4, len(rows.inputFiles()))).write.parquet(path)
+    return _stream(rows, path)
+
+
+def _stream(rows: DataFrame, path: str) -> DataFrame:
     s = rows.sparkSession
-    rows.repartition(files).write.parquet(path := new_folder(s, name))
     return s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path)
 
 
-def _drained(stream: DataFrame, name: str) -> DataFrame:
-    """Run to the end of the input; what the sink then holds."""
+def _drained(stream: DataFrame, name: str, then: Callable[[], None] | None = None) -> DataFrame:
+    """Run to the end of the input, again after ``then`` has added to it; what the sink then holds."""
     s, path = stream.sparkSession, new_folder(stream.sparkSession, name)
-    stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).outputMode("append").start().awaitTermination()
+    writer = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).outputMode("append")
+    writer.start().awaitTermination()
+    if then is not None:
+        then()
+        writer.start().awaitTermination()
     return s.read.schema(stream.schema).parquet(path)
 
 
@@ -51,12 +60,19 @@ def rescored_blocks(s: SparkSession, d: str) -> DataFrame:
     return _drained(jobs.rescored_blocks(_arriving(_edits(s, d), "rescored", 1)), "rescored-out")
 
 
+TOLD = "We delve into the tapestry of this robust and vibrant realm, and it is a testament to progress for all."
+PLAIN = "We met at noon and talked for an hour about the plan, and then all of us went home by train."
+
+
 def latest_drafts(s: SparkSession, d: str) -> DataFrame:
-    """Users' events as edits of drafts; sessions of 300 ms hold one edit each unless events coincide."""
-    edits = table(s, d, "events").select(F.col("user_id").alias("draft_id"), F.col("ts").cast("timestamp").alias("ts"), F.lit("We delve into the tapestry of this robust and vibrant realm, and it is a testament to progress for all.").alias("text"))
+    """Seven events each as edits of a draft, in a burst of three and, five seconds later, one of four; every edit has its own text."""
+    no, second = F.col("event_id") % 7, F.col("event_id") % 7 >= 3
+    at = F.timestamp_millis(F.lit(1_000_000_000_000) + no * 100 + F.when(second, 5000).otherwise(0))
+    edits = table(s, d, "events").select(F.floor(F.col("event_id") / 7).alias("draft_id"), at.alias("ts"), F.concat(F.when(no % 2 == 0, TOLD).otherwise(PLAIN), F.lit(" Edit "), F.col("event_id").cast("string"), F.lit(".")).alias("text"))
     end = s.createDataFrame([(-1, "2100-01-01 00:00:00", "the end of the stream")], "draft_id long, ts string, text string").withColumn("ts", F.col("ts").cast("timestamp"))
-    stream = jobs.latest_drafts(_arriving(edits.unionByName(end), "edits"))
-    return _drained(stream.select("draft_id", "n_tells", "analysis.verdict"), "drafts").groupBy("draft_id", "verdict").agg(F.count("*").alias("n_bursts"), F.max("n_tells").cast("long").alias("n_tells"))
+    edits.repartition(4).write.parquet(path := new_folder(s, "edits"))
+    stream = jobs.latest_drafts(_stream(edits, path))
+    return _drained(stream.select("draft_id", "start", "text", (F.col("n_tells") > 0).alias("told")), "drafts", lambda: end.write.mode("append").parquet(path)).where("draft_id >= 0").select("draft_id", F.unix_millis("start").alias("start_ms"), "text", "told")
 
 
 def running_counts(s: SparkSession, d: str) -> DataFrame:
@@ -76,5 +92,7 @@ ORACLES |= {
     "r1_score_blocks": f"WITH {S.PLANTED_SQL}, {S.analysis_chain()} SELECT doc_id, density, verdict FROM analysis",
     "r2_changed_blocks": f"SELECT DISTINCT user_id AS block_id, ({_LENGTH})::INT AS length FROM events",
     "r2_rescored_blocks": f"WITH e AS (SELECT user_id AS block_id, ts::TIMESTAMP AS ts, ({_LENGTH})::BIGINT AS length FROM events), l AS (SELECT *, lag(length) OVER (PARTITION BY block_id ORDER BY ts, length) AS before FROM e) SELECT block_id, ts, length FROM l WHERE before IS NULL OR before <> length",
+    "r3_latest_drafts": f"WITH e AS (SELECT event_id, event_id // 7 AS draft_id, event_id % 7 AS no FROM events), b AS (SELECT draft_id, no >= 3 AS late, min(no) AS first, max(event_id) AS event_id, max(no) AS no FROM e GROUP BY ALL) "
+    f"SELECT draft_id, 1000000000000 + first * 100 + CASE WHEN late THEN 5000 ELSE 0 END AS start_ms, CASE WHEN no % 2 = 0 THEN '{TOLD}' ELSE '{PLAIN}' END || ' Edit ' || event_id || '.' AS text, no % 2 = 0 AS told FROM b",
     "r4_running_counts": "WITH c AS (SELECT source AS page_id, count(*) FILTER ((doc_id + 1) % 3 = 0) AS n FROM documents GROUP BY source) SELECT page_id, n, CASE WHEN n = 0 THEN '' WHEN n > 999 THEN '999+' ELSE n::VARCHAR END AS badge FROM c",
 }

@@ -21,6 +21,11 @@ def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents")).select("doc_id", "lang", "source", F.concat(F.coalesce("text", F.lit("")), F.lit(" "), added).alias("text"))
 
 
+def even(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``planted``, but a quarter of the texts are of even sentences alone."""
+    return planted(spark, sf_dir).withColumn("text", F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit(S.PLANTED[-1] + " "), "source")).otherwise(F.col("text")))
+
+
 def add(name: str, query: Callable[[SparkSession, str], DataFrame], oracle: str | None = None) -> None:
     QUERIES[name] = query
     if oracle:
@@ -75,14 +80,14 @@ add("t11_truncate", lambda s, d: table(s, d, "documents").select("doc_id", text.
     f"SELECT doc_id, substr(text, 1, {text.MODEL_CHARS}) AS for_model, length(substr(text, 1, {text.OPINION_CHARS})) AS opinion_chars FROM documents")
 
 
-def _tells(name: str, find, where: str) -> None:
+def _tells(name: str, find, where: str, source=planted, source_sql: str = S.PLANTED_SQL) -> None:
     """A row for each tell that one rule finds."""
 
     def query(s: SparkSession, d: str) -> DataFrame:
-        rows = planted(s, d).select("doc_id", text.normalize("text").alias("text")).withColumn("words", text.count_words("text"))
+        rows = source(s, d).select("doc_id", text.normalize("text").alias("text")).withColumn("words", text.count_words("text"))
         return rows.select("doc_id", F.explode(find(F.col("text"), F.col("words"))).alias("t")).select("doc_id", *[F.col(f"t.{c}").alias(c) for c in ("ord", "id", "label", "count", "weight", "sample", "fix")])
 
-    add(name, query, f"WITH {S.PLANTED_SQL}, {S.tells_chain()} SELECT doc_id, ord, id, label, count::INT AS count, weight, sample, fix FROM tells WHERE {where}")
+    add(name, query, f"WITH {source_sql}, {S.tells_chain()} SELECT doc_id, ord, id, label, count::INT AS count, weight, sample, fix FROM tells WHERE {where}")
 
 
 _tells("d1_on_sight", lambda t, w: tells.on_sight(t), "id LIKE 'w:%'")
@@ -96,7 +101,7 @@ _tells("d8_emoji_bullets", lambda t, w: tells.emoji_bullets(t), "id = 'emoji'")
 _tells("d9_bold", lambda t, w: tells.bold(t), "id = 'bold'")
 _tells("d10_headings", lambda t, w: tells.headings(t), "id = 'heading'")
 _tells("d11_one_line_paragraphs", lambda t, w: tells.one_line_paragraphs(t), "id = 'broetry'")
-_tells("d12_rhythm", lambda t, w: tells.rhythm(t), "id = 'rhythm'")
+_tells("d12_rhythm", lambda t, w: tells.rhythm(t), "id = 'rhythm'", even, S.EVEN_SQL)
 _tells("d13_triads", tells.triads, "id = 'triad'")
 
 

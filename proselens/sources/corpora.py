@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import WS, count_words, detokenize, strip_html, trim_all
-from ..operators.model import Model
+from ..operators.model import Model, probe
 from ..operators.provenance import HEAD_BYTES
 
 TEXTS = "genre string, text string"
@@ -97,18 +97,23 @@ def save_model(spark: SparkSession, model: Model, path: str) -> None:
     packed = spark.createDataFrame([(bytearray(model.weights.tobytes()),)], "packed binary")  # 2**bits bytes
     byte = F.conv(F.hex(F.substring(F.col("packed"), (F.col("id") + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     buckets.crossJoin(F.broadcast(packed)).select(F.col("id").cast("int").alias("bucket"), F.when(byte > 127, byte - 256).otherwise(byte).cast("tinyint").alias("w")).write.mode("overwrite").parquet(f"{path}/weights")
-    meta = {"version": 1, "bits": model.bits, "scale": model.scale, "bias": model.bias, "thresholds": model.thresholds, "data": model.counts}
+    meta = {"version": 1, "bits": model.bits, "scale": model.scale, "bias": model.bias, "thresholds": model.thresholds, "trained": model.trained, "data": model.counts, "probe": probe(spark, model)}
     spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
 
 def load_model(spark: SparkSession, path: str) -> Model:
-    """Fails if there are not 2**bits weights."""
+    """Fails if there are not 2**bits weights, or if the probe's features or score aren't those of the saved model."""
     meta = json.loads(spark.read.text(f"{path}/meta").first()["value"])
     rows = spark.read.schema("bucket int, w tinyint").parquet(f"{path}/weights").toPandas()  # 2**bits rows
     weights = np.zeros(len(rows), np.int8)
     if len(rows) == 1 << meta["bits"]:
         weights[rows["bucket"]] = rows["w"]
-    return Model(weights, meta["scale"], meta["bias"], meta["bits"], meta["thresholds"], meta["data"])
+    model = Model(weights, meta["scale"], meta["bias"], meta["bits"], meta["thresholds"], meta["data"], meta.get("trained", ""))
+    if told := meta.get("probe"):
+        own = probe(spark, model, told["text"])
+        if own["features"] != told["features"] or abs(own["p"] - told["p"]) > 1e-6:
+            raise ValueError("the model's probe doesn't hold: its tokens, hashes or weights differ from those it was saved with")
+    return model
 
 
 def source_counts(df: DataFrame, source: str = "src") -> DataFrame:
