@@ -17,17 +17,17 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def _large(edges: DataFrame) -> DataFrame:
+def _large(edges: DataFrame, total: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("least"), F.count_if(F.col("b") > F.col("a")).alias("n"))
-    least = stage(least.where("n > 0").select("a", F.least("a", "least").alias("least"), "n"), "least")
-    return join_each(both.where("b > a"), least, "a").select(F.col("b").alias("a"), F.col("least").alias("b")).where("a <> b")
+    least = least.where("n > 0").select("a", F.least("a", "least").alias("least"), "n")
+    return join_each(both.where("b > a"), least, "a", total).select(F.col("b").alias("a"), F.col("least").alias("b")).where("a <> b")
 
 
-def _small(edges: DataFrame) -> DataFrame:
-    least = stage(edges.groupBy("a").agg(F.min("b").alias("least"), F.count("*").alias("n")), "least")
+def _small(edges: DataFrame, total: int) -> DataFrame:
+    least = edges.groupBy("a").agg(F.min("b").alias("least"), F.count("*").alias("n"))
     # a node with one edge has nothing to move
-    moved = join_each(edges, least.where("n > 1"), "a").where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
+    moved = join_each(edges, least.where("n > 1"), "a", total).where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
     return least.select("a", F.col("least").alias("b")).unionByName(moved)
 
 
@@ -40,8 +40,9 @@ def components(edges: DataFrame) -> DataFrame:
     edges = stage(edges, "edges")
     state = _state(edges)
     while state[0]:
-        large = stage(_large(edges).distinct(), "edges")
-        edges = stage(_small(large).distinct(), "edges")
+        total = 2 * state[0]  # no step makes more edges
+        large = stage(_large(edges, total).distinct(), "edges")
+        edges = stage(_small(large, total).distinct(), "edges")
         before, state = state, _state(edges)
         if state == before:
             break

@@ -67,13 +67,15 @@ def small(df: DataFrame) -> DataFrame:
 HOT_ROWS, HOT_KEYS = 1_000, 100_000
 
 
-def join_each(rows: DataFrame, per_key: DataFrame, key: str) -> DataFrame:
+def join_each(rows: DataFrame, per_key: DataFrame, key: str, total: int | None = None) -> DataFrame:
     """Inner join of ``rows`` with ``per_key``: one row a key, whose column n tells how many of ``rows`` have it, and drops out.
 
     Rows of hot keys stay where they are and meet a broadcast of their keys, at most HOT_KEYS; only the others are shuffled, so
-    no task gets all rows of a hot key. ``per_key`` must be staged, and its columns of bounded width.
+    no task gets all rows of a hot key. ``total``: rows at most; if it isn't given, ``per_key`` must be staged, as it is counted.
+    Its columns must be of bounded width.
     """
-    total = per_key.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    if total is None:
+        total = per_key.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     limit = max(HOT_ROWS, total // HOT_KEYS)
     hot, cold = F.broadcast(per_key.where(F.col("n") > limit).drop("n")), per_key.where(F.col("n") <= limit).drop("n")
     return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
