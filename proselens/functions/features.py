@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import CountVectorizerModel, Normalizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,23 +27,32 @@ def tokens(text: Column | str, most: int = MOST_TOKENS) -> Column:
     return F.transform(found, lambda t: F.when(t.rlike(EMOJI), F.lit("EMO")).otherwise(t))
 
 
-def fnv1a(strings: list[str]) -> np.ndarray:
-    """32-bit FNV-1a over UTF-8, for many strings at once: one step a byte position."""
-    raw = [s.encode() for s in strings]
-    sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+def _run_on(state: np.ndarray, words: pa.Array, at: np.ndarray | None = None) -> np.ndarray:
+    """32-bit FNV-1a carried on from ``state`` over the UTF-8 bytes of words (or of those at ``at``): one step a byte position for all."""
+    begin, data = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64), np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    begin, sizes = begin[:-1], np.diff(begin)
+    if at is not None:
+        begin, sizes = begin[at], sizes[at]
     order = np.argsort(-sizes, kind="stable")
-    data = np.frombuffer(b"".join(raw), np.uint8)
-    begin = (np.cumsum(sizes) - sizes)[order]
-    hashes = np.full(len(raw), 0x811C9DC5, np.uint64)
-    left = len(raw)
-    for at in range(int(sizes.max(initial=0))):
-        left = int(np.searchsorted(-sizes[order][:left], -at, side="left"))  # those longer than ``at``
-        hashes[:left] = ((hashes[:left] ^ data[begin[:left] + at]) * np.uint64(0x01000193)) & np.uint64(0xFFFFFFFF)
+    begin, sizes, hashes = begin[order], sizes[order], np.broadcast_to(state, len(order)).astype(np.uint64)[order]
+    left = len(order)
+    for k in range(int(sizes.max(initial=0))):
+        left = int(np.searchsorted(-sizes[:left], -k, side="left"))  # those longer than k
+        hashes[:left] = ((hashes[:left] ^ data[begin[:left] + k]) * np.uint64(0x01000193)) & np.uint64(0xFFFFFFFF)
     out = np.empty_like(hashes)
     out[order] = hashes
     return out
 
 
+def _of(text: str) -> np.uint64:
+    return _run_on(np.uint64(0x811C9DC5), pa.array([text]))[0]
+
+
+def fnv1a(strings: list[str]) -> np.ndarray:
+    """32-bit FNV-1a over UTF-8, for many strings at once."""
+    return _run_on(np.uint64(0x811C9DC5), pa.array(strings, pa.string()))
+
+
 @F.pandas_udf(T.LongType())
 def fnv1a32(text: pd.Series) -> pd.Series:
     """FNV-1a of each string; each distinct one of a batch is hashed once."""
@@ -50,20 +61,30 @@ def fnv1a32(text: pd.Series) -> pd.Series:
     return found.mask(pd.Series(codes) < 0)
 
 
-def _features(token_lists: list, bits: int) -> list[np.ndarray]:
-    lists = [list(t) if t is not None else [] for t in token_lists]
-    keys = [[*["u" + x for x in t], *["b" + x + " " + y for x, y in zip(t, t[1:], strict=False)]] for t in lists]
-    kinds = list({k for own in keys for k in own})
-    known = dict(zip(kinds, (fnv1a(kinds) & np.uint64((1 << bits) - 1)).astype(np.int32).tolist(), strict=True))
-    return [np.array(sorted({known[k] for k in own}), np.int32) for own in keys]
+def _features(lists: pa.ListArray, bits: int) -> pa.ListArray:
+    """Buckets of each list's tokens and of its pairs of neighbours. Each distinct token, and each distinct pair, is hashed once."""
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+    coded = pc.list_flatten(lists).cast(pa.string()).dictionary_encode()
+    codes, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    paired = np.flatnonzero(row[1:] == row[:-1])  # tokens with a neighbour after them
+    pairs = pa.array(codes[paired] * len(words) + codes[paired + 1]).dictionary_encode()
+    which = pairs.indices.to_numpy()
+    first, second = np.divmod(pairs.dictionary.to_numpy(), max(1, len(words)))
+    space = ((_run_on(_of("b"), words) ^ np.uint64(0x20)) * np.uint64(0x01000193)) & np.uint64(0xFFFFFFFF)
+    mask = np.uint64((1 << bits) - 1)
+    single, double = _run_on(_of("u"), words) & mask, _run_on(space[first], words, second) & mask
+    keys = np.unique(np.concatenate((row << bits | single.astype(np.int64)[codes], row[paired] << bits | double.astype(np.int64)[which])))
+    bounds = np.concatenate(([0], np.cumsum(np.bincount(keys >> bits, minlength=len(sizes)))))
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(keys & ((1 << bits) - 1), pa.int32()))
 
 
 def hash_features(text: Column | str, bits: int = BITS) -> Column:
     """Sorted distinct buckets of the words and word pairs of a text."""
 
-    @F.pandas_udf("array<int>")
-    def hashed(lists: pd.Series) -> pd.Series:
-        return pd.Series(_features(lists.tolist(), bits))
+    @F.arrow_udf("array<int>")
+    def hashed(lists: pa.Array) -> pa.Array:
+        return _features(lists, bits)
 
     return hashed(tokens(text))
 
@@ -82,8 +103,8 @@ def register(spark: SparkSession) -> None:
     """fnv1a32(text) for SQL, and hash_features(tokens) at the default width."""
     ship(spark).udf.register("fnv1a32", fnv1a32)
 
-    @F.pandas_udf("array<int>")
-    def of_tokens(lists: pd.Series) -> pd.Series:
-        return pd.Series(_features(lists.tolist(), BITS))
+    @F.arrow_udf("array<int>")
+    def of_tokens(lists: pa.Array) -> pa.Array:
+        return _features(lists, BITS)
 
     spark.udf.register("hash_features", of_tokens)

@@ -5,9 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import LogisticRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.features import BITS, hash_features, to_vectors
@@ -77,16 +78,14 @@ def probability(features: Column | str, model: Model, spark) -> Column:
     """P(machine-written) of a feature array; 0.5 without features. The weights (2**bits bytes) are broadcast."""
     shared = spark.sparkContext.broadcast((model.weights, model.scale, model.bias))
 
-    @F.pandas_udf("double")
-    def scored(lists: pd.Series) -> pd.Series:
+    @F.arrow_udf("double")
+    def scored(lists: pa.Array) -> pa.Array:
         weights, scale, bias = shared.value
-        sizes = lists.map(lambda x: 0 if x is None else len(x)).to_numpy()
-        if not sizes.sum():
-            return pd.Series(np.full(len(lists), 0.5))
-        flat = weights[np.concatenate([x for x in lists if x is not None and len(x)])].astype(np.float64)
-        sums = np.bincount(np.repeat(np.arange(len(lists)), sizes), flat, len(lists))
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+        flat = weights[pc.list_flatten(lists).to_numpy()].astype(np.float64)
+        sums = np.bincount(np.repeat(np.arange(len(sizes)), sizes), flat, len(sizes))
         z = bias + sums * scale / np.sqrt(np.maximum(sizes, 1))
-        return pd.Series(np.where(sizes > 0, 1 / (1 + np.exp(-z)), 0.5))
+        return pa.array(np.where(sizes > 0, 1 / (1 + np.exp(-z)), 0.5))
 
     return scored(F.col(features) if isinstance(features, str) else features)
 
@@ -115,8 +114,23 @@ def score_by_join(df: DataFrame, weights: DataFrame, scale: float, bias: float,
 
 
 def calibrate(scored: DataFrame, p: str = "p", budgets: dict[str, float] = BUDGETS) -> DataFrame:
-    """One row: for each budget the quantile of human scores above which that share lies (linear interpolation)."""
-    return scored.agg(*[F.percentile(p, F.lit(1 - share)).alias(name) for name, share in budgets.items()])
+    """One row: for each budget the quantile of human scores above which that share lies (linear interpolation).
+
+    Scores are counted by value, and values by range, so that ranks are sums of ranges and of one range's values; no task sees
+    all values. Scores lie between 0 and 1.
+    """
+    by_score = scored.where(F.col(p).isNotNull()).groupBy(F.col(p).cast("double").alias("p")).agg(F.count("*").alias("n")).withColumn("range", F.floor(F.col("p") * 4096).cast("int"))
+    ranges = by_score.groupBy("range").agg(F.sum("n").alias("in_range"))  # 4,097 rows at most
+    before = F.coalesce(F.sum("in_range").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = ranges.select("range", before.alias("start"), F.sum("in_range").over(Window.partitionBy()).alias("total"))
+    within = F.coalesce(F.sum("n").over(Window.partitionBy("range").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = by_score.withColumn("within", within).join(F.broadcast(starts), "range").withColumn("first", F.col("start") + F.col("within"))
+    place = lambda share: (F.col("total") - 1) * F.lit(1 - share)
+    at = lambda k: F.max(F.when(k.between(F.col("first"), F.col("first") + F.col("n") - 1), F.col("p")))
+    low = [at(F.floor(place(share))).alias(f"{name}_low") for name, share in budgets.items()]
+    high = [at(F.ceil(place(share))).alias(f"{name}_high") for name, share in budgets.items()]
+    part = [F.max(place(share) - F.floor(place(share))).alias(f"{name}_part") for name, share in budgets.items()]
+    return ranked.agg(*low, *high, *part).select(*[(F.col(f"{k}_low") + F.col(f"{k}_part") * (F.col(f"{k}_high") - F.col(f"{k}_low"))).alias(k) for k in budgets])
 
 
 def train(fitting: DataFrame, humans: DataFrame, budgets: dict[str, float] = BUDGETS, **options) -> Model:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..scratch import materialise
+
 #: Bins in which rows are counted before only the bin at a cut is put in order.
 BINS = 4096
 
@@ -15,19 +17,21 @@ def ticket(*keys: str | Column, seed: int = 0) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *parts))
 
 
-def first_rows(df: DataFrame, n: Column | int, order: Column, *ties: str, total: int | None = None) -> DataFrame:
-    """The ``n`` first rows in the order of tickets (``order``), without sorting all rows in one task.
+def first_rows(df: DataFrame, n: Column | int, order: Column, *ties: str, group: str | None = None) -> DataFrame:
+    """The ``n`` first rows (of each ``group``) in the order of tickets (``order``), without sorting all rows in one task.
 
     Rows are counted by the first digits of their tickets; ranges wholly before the cut are taken, the one at the cut is sorted.
+    ``n``: a number, or what makes one of a column, the number of rows. Groups must be few: their ranges are broadcast.
     """
-    keyed = df.withColumn("__ticket", order).withColumn("__bin", F.conv(F.substring("__ticket", 1, 3), 16, 10).cast("int"))
-    counts = keyed.groupBy("__bin").agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    everything = F.sum("__n").over(Window.partitionBy())
+    own = F.col(group) if group else F.lit(0)
+    keyed = df.withColumns({"__ticket": order, "__group": own}).withColumn("__bin", F.conv(F.substring("__ticket", 1, 3), 16, 10).cast("int"))
+    counts = keyed.groupBy(F.col("__group").alias("__g"), F.col("__bin").alias("__b")).agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy("__g").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    everything = F.sum("__n").over(Window.partitionBy("__g"))
     wanted = n(everything) if callable(n) else F.lit(n)
-    starts = counts.select("__bin", before.alias("__before"), wanted.alias("__wanted"))  # BINS rows
-    placed = keyed.join(F.broadcast(starts), "__bin").where("__before < __wanted")
-    rank = F.row_number().over(Window.partitionBy("__bin").orderBy("__ticket", *ties))
+    starts = counts.select("__g", "__b", before.alias("__before"), wanted.alias("__wanted"))  # BINS rows a group
+    placed = keyed.join(F.broadcast(starts), F.col("__group").eqNullSafe(F.col("__g")) & (F.col("__bin") == F.col("__b"))).where("__before < __wanted")
+    rank = F.row_number().over(Window.partitionBy("__group", "__bin").orderBy("__ticket", *ties))
     edge = placed.withColumn("__rank", rank).where(F.col("__before") + F.col("__rank") <= F.col("__wanted"))
     return edge.select(*df.columns)
 
@@ -83,10 +87,10 @@ def family_split(df: DataFrame, family: str, unseen: list[str], key: str, final:
     if not final:
         return df.withColumn("side", F.when(held, "unseen").otherwise("train"))
     rest = df.where(~F.coalesce(held, F.lit(False))).withColumn("side", F.lit("train"))
-    for name in unseen:
-        part = fraction_split(df.where(F.col(family) == name), fraction, key, seed=seed)
-        rest = rest.unionByName(part.withColumn("side", F.when(F.col("is_train"), "train").otherwise("heldout")).drop("is_train"))
-    return rest
+    own = df.where(held)
+    train = first_rows(own.select(family, key), lambda n: F.floor(n * F.lit(fraction)), ticket(key, seed=seed), key, group=family).select(F.col(family).alias("__f"), F.col(key).alias("__k")).distinct()
+    taught = own.join(train.withColumn("__train", F.lit(True)), (F.col(family) == F.col("__f")) & F.col(key).eqNullSafe(F.col("__k")), "left")
+    return rest.unionByName(taught.withColumn("side", F.when(F.col("__train"), "train").otherwise("heldout")).select(*df.columns, "side"))
 
 
 def weighted_union(parts: list[tuple[DataFrame, int, float]], columns: list[str]) -> DataFrame:
@@ -100,12 +104,15 @@ def weighted_union(parts: list[tuple[DataFrame, int, float]], columns: list[str]
 
 def systematic(df: DataFrame, group: str, order: list[str], most: int = 25) -> DataFrame:
     """Of each group every floor(n / most)-th row (at least every one), at most ``most``."""
-    along = Window.partitionBy(group).orderBy(*order)
-    n = F.count("*").over(Window.partitionBy(group))
-    at = F.row_number().over(along) - 1
-    step = F.greatest(F.floor(n / most), F.lit(1))
-    placed = df.withColumns({"__at": at, "__step": step})
-    return placed.where((F.col("__at") % F.col("__step") == 0) & (F.col("__at") / F.col("__step") < most)).drop("__at", "__step")
+    # rows are sorted by ranges; a row's number is its place in its part, and the group's rows in the parts before
+    parts = df.repartitionByRange(group, *order).sortWithinPartitions(group, *order).withColumns({"__part": F.spark_partition_id(), "__no": F.monotonically_increasing_id()})
+    parts = materialise(parts, "ranges")
+    counts = parts.groupBy(F.col(group).alias("__g"), F.col("__part").alias("__p")).agg(F.count("*").alias("__n"), F.min("__no").alias("__least"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy("__g").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    step = F.greatest(F.floor(F.sum("__n").over(Window.partitionBy("__g")) / most), F.lit(1))
+    starts = counts.select("__g", "__p", "__least", before.alias("__before"), step.alias("__step"))
+    placed = parts.join(starts, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__part") == F.col("__p"))).withColumn("__at", F.col("__before") + F.col("__no") - F.col("__least"))
+    return placed.where((F.col("__at") % F.col("__step") == 0) & (F.col("__at") / F.col("__step") < most)).select(*df.columns)
 
 
 def page_sample(df: DataFrame, source: str, row_no: str, n: int, page: int = 100, pages: int | None = None, seed: int = 0) -> DataFrame:

@@ -13,7 +13,7 @@ from ..functions.text import count_words
 from ..operators import evaluation as E
 from ..operators import model as M
 from ..operators import sampling as P
-from ..scratch import materialise, table
+from ..scratch import materialise, spread, table
 from . import sql as S
 from .text_queries import _P, FEATURES_SQL, analyzed, p_column
 
@@ -64,7 +64,7 @@ add("m7_quantize", lambda s, d: M.quantize_table(table(s, d, "documents").groupB
     "WITH w AS (SELECT source AS bucket, (sum(n_chars)::BIGINT % 1001 - 500) / 7.0::DOUBLE AS weight FROM documents GROUP BY source), s AS (SELECT max(abs(weight)) / 127 AS scale FROM w) "
     "SELECT bucket, greatest(least(round_even(weight / scale, 0), 127), -127)::INT AS q, round(scale, 9) AS scale FROM w, s")
 _SCORE_SQL = f"{FEATURES_SQL}, z AS (SELECT doc_id, sum(bucket * 7919 % 255 - 127) AS s, count(*) AS n FROM f GROUP BY doc_id), p AS (SELECT d.doc_id, coalesce(1 / (1 + exp(-(-0.1::DOUBLE + s * 0.01::DOUBLE / sqrt(n)))), 0.5) AS p FROM documents d LEFT JOIN z USING (doc_id))"
-add("m8_probability", lambda s, d: M.score(table(s, d, "documents").select("doc_id", "text"), SYNTHETIC).select("doc_id", F.round("p", 9).alias("p")), f"WITH {_SCORE_SQL} SELECT doc_id, round(p, 9) AS p FROM p")
+add("m8_probability", lambda s, d: M.score(spread(table(s, d, "documents")).select("doc_id", "text"), SYNTHETIC).select("doc_id", F.round("p", 9).alias("p")), f"WITH {_SCORE_SQL} SELECT doc_id, round(p, 9) AS p FROM p")
 
 
 def _joined(s: SparkSession, d: str) -> DataFrame:

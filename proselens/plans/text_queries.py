@@ -21,6 +21,10 @@ def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents")).select("doc_id", "lang", "source", F.concat(F.coalesce("text", F.lit("")), F.lit(" "), added).alias("text"))
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def even(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``planted``, but a quarter of the texts are of even sentences alone."""
     return planted(spark, sf_dir).withColumn("text", F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit(S.PLANTED[-1] + " "), "source")).otherwise(F.col("text")))
@@ -33,7 +37,7 @@ def add(name: str, query: Callable[[SparkSession, str], DataFrame], oracle: str
 
 
 def _column(name: str, column, oracle: str, alias: str, source=None) -> None:
-    rows = source or (lambda s, d: table(s, d, "documents"))
+    rows = source or _documents
     add(name, lambda s, d: rows(s, d).select("doc_id", column().alias(alias)), oracle)
 
 
@@ -60,7 +64,7 @@ def _detok_sql(x: str) -> str:
 
 
 _last = rf"{S.WS}+'{S.WS}*({_letter})"
-add("t7_detokenize", lambda s, d: table(s, d, "documents").select("doc_id", text.detokenize(F.concat("text", F.lit(_SPLIT))).alias("joined")),
+add("t7_detokenize", lambda s, d: _documents(s, d).select("doc_id", text.detokenize(F.concat("text", F.lit(_SPLIT))).alias("joined")),
     f"WITH s AS (SELECT doc_id, {_detok_sql(f'text || {S.q(_SPLIT)}')} AS s FROM documents) "
     f"SELECT doc_id, {S.trim(f'''CASE WHEN contains(s, ' '' ') THEN regexp_replace(s, {S.q(_last)}, {S.q(chr(39) + chr(92) + '1')}, 'g') ELSE s END''')} AS joined FROM s")
 
@@ -137,12 +141,12 @@ add("d20_reason_line", lambda s, d: analyzed(s, d).withColumn("p", p_column()).s
 
 # ---- tokens and features -------------------------------------------------------------------------------------------------
 
-add("m1_tokens", lambda s, d: table(s, d, "documents").select("doc_id", F.array_join(features.tokens("text"), " ").alias("tokens")), f"SELECT doc_id, array_to_string({S.tokens('text')}, ' ') AS tokens FROM documents")
-add("m2_fnv1a32", lambda s, d: table(s, d, "documents").select(F.explode(features.tokens("text")).alias("token")).distinct().select("token", features.fnv1a32("token").alias("fnv")),
+add("m1_tokens", lambda s, d: _documents(s, d).select("doc_id", F.array_join(features.tokens("text"), " ").alias("tokens")), f"SELECT doc_id, array_to_string({S.tokens('text')}, ' ') AS tokens FROM documents")
+add("m2_fnv1a32", lambda s, d: _documents(s, d).select(F.explode(features.tokens("text")).alias("token")).distinct().select("token", features.fnv1a32("token").alias("fnv")),
     f"WITH t AS (SELECT DISTINCT unnest({S.tokens('text')}) AS token FROM documents) SELECT token, {S.fnv('token')} AS fnv FROM t")
 FEATURES_SQL = f"""t AS MATERIALIZED (SELECT doc_id, {S.tokens('text')} AS t FROM documents),
 k AS MATERIALIZED (SELECT doc_id, unnest(list_concat(list_transform(t, lambda x: 'u' || x), list_transform(range(1, len(t)), lambda i: 'b' || t[i] || ' ' || t[i + 1]))) AS key FROM t),
 h AS MATERIALIZED (SELECT key, {S.fnv('key')} & 131071 AS bucket FROM (SELECT DISTINCT key FROM k)),
 f AS MATERIALIZED (SELECT DISTINCT doc_id, bucket FROM k JOIN h USING (key))"""
-add("m3_hash_features", lambda s, d: table(s, d, "documents").select("doc_id", features.hash_features("text").alias("f")).select("doc_id", F.array_join(F.transform("f", lambda b: b.cast("string")), ",").alias("buckets")),
+add("m3_hash_features", lambda s, d: _documents(s, d).select("doc_id", features.hash_features("text").alias("f")).select("doc_id", F.array_join(F.transform("f", lambda b: b.cast("string")), ",").alias("buckets")),
     f"WITH {FEATURES_SQL} SELECT d.doc_id, coalesce(string_agg(bucket::VARCHAR, ',' ORDER BY bucket), '') AS buckets FROM documents d LEFT JOIN f USING (doc_id) GROUP BY d.doc_id")
