@@ -240,8 +240,8 @@ def classify(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFr
     roots = stage(components(links), "roots")
     classes = copies.select("sign", "first", "n", F.col("first.row").alias("node")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = stage(classes.select("sign", "first", "root", F.col("n").alias("copies")), "rooted")
-    best = stage(classes.groupBy("root").agg(F.min("first").alias("best"), F.count("*").alias("n")), "best")
-    by_sign = stage(join_each(classes, best, "root").select("sign", "best", F.col("copies").alias("n")), "classes")
+    best = classes.groupBy("root").agg(F.min("first").alias("best"), F.count("*").alias("n"))
+    by_sign = stage(join_each(classes, best, "root", classes.count()).select("sign", "best", F.col("copies").alias("n")), "classes")
     rows = sketched.select("row", "doc_id", "text_hash", "sign", F.col("n").alias("n_shingles"))
     linked = join_each(rows.where("sign IS NOT NULL"), by_sign, "sign").drop("sign")
     alone = rows.where("sign IS NULL").drop("sign").withColumn("best", F.struct("doc_id", "row"))  # no words, no links

@@ -136,8 +136,8 @@ def classify(vectors: DataFrame) -> DataFrame:
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     classes = nodes.join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = stage(classes.select(*key, "root", "least", "copies", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "rooted")
-    least = stage(classes.groupBy("root").agg(F.min("least").alias("best"), F.count("*").alias("n")), "best")
-    classes = join_each(classes, least, "root").select(*key, "n_links", F.col("best.vec_id").alias("component_id"))
+    least = classes.groupBy("root").agg(F.min("least").alias("best"), F.count("*").alias("n"))
+    classes = join_each(classes, least, "root", classes.count()).select(*key, "n_links", F.col("best.vec_id").alias("component_id"))
     linked = rows.where("vector IS NOT NULL").join(classes, key).select("vec_id", "n_links", "component_id")
     alone = rows.where("vector IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("component_id").eqNullSafe(F.col("vec_id")))

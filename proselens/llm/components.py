@@ -41,8 +41,7 @@ def components(edges: DataFrame) -> DataFrame:
     state = _state(edges)
     while state[0]:
         total = 2 * state[0]  # no step makes more edges
-        large = stage(_large(edges, total).distinct(), "edges")
-        edges = stage(_small(large, total).distinct(), "edges")
+        edges = stage(_small(_large(edges, total).distinct(), total).distinct(), "edges")  # Spark shuffles the inner one once
         before, state = state, _state(edges)
         if state == before:
             break
