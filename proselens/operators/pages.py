@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -76,38 +77,38 @@ class _Node:
     def rendered(self) -> str:
         """Text as a reader sees it: white space collapsed, lines broken at <br> and at blocks, hidden parts left out."""
         parts: list[str] = []
-
-        def walk(node: "_Node") -> None:
-            for c in node.children:
-                if isinstance(c, str):
-                    parts.append(re.sub(r"[ \t\r\n\f]+", " ", c))
-                elif c.tag == "br":
+        todo: list = [*reversed(self.children)]
+        while todo:
+            c = todo.pop()
+            if c is None:  # where a block ends
+                parts.append("\n")
+            elif isinstance(c, str):
+                parts.append(re.sub(r"[ \t\r\n\f]+", " ", c))
+            elif c.tag == "br":
+                parts.append("\n")
+            elif c.tag not in ("script", "style", "noscript"):
+                if c.tag in _BLOCKS:
                     parts.append("\n")
-                elif c.tag not in ("script", "style", "noscript"):
-                    edge = c.tag in _BLOCKS
-                    parts.extend(["\n"] * edge)
-                    walk(c)
-                    parts.extend(["\n"] * edge)
-
-        walk(self)
+                    todo.append(None)
+                todo += reversed(c.children)
         return re.sub(r" *\n[ \n]*", "\n", re.sub(r" {2,}", " ", "".join(parts))).strip()
 
 
 class _Tree(HTMLParser):
-    DEEPEST = 400
-
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = _Node("", {}, None, 0)
-        self.count = self.depth = 0
+        self.count, self.open = 0, Counter()
 
     def _close(self, tags: set[str], within: set[str]) -> None:
+        if not any(self.open[t] for t in tags):
+            return
         node = self.at
         while node.parent and node.tag not in within:
             if node.tag in tags:
-                while self.at is not node:
-                    self.at, self.depth = self.at.parent, self.depth - 1
-                self.at, self.depth = node.parent, self.depth - 1
+                while self.at is not node.parent:
+                    self.open[self.at.tag] -= 1
+                    self.at = self.at.parent
                 return
             node = node.parent
 
@@ -119,8 +120,9 @@ class _Tree(HTMLParser):
         self.count += 1
         node = _Node(tag, dict(attrs), self.at, self.count)
         self.at.children.append(node)
-        if tag not in _VOID and self.depth < self.DEEPEST:
-            self.at, self.depth = node, self.depth + 1
+        if tag not in _VOID:
+            self.at = node
+            self.open[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -196,8 +198,12 @@ def blocks_of(html: str | None, selector: str | None) -> list[tuple[int, int, st
     return found
 
 
+#: Pages whose trees a worker builds before it hands their blocks on.
+PAGES_AT_ONCE = 64
+
+
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (b.slice(a, PAGES_AT_ONCE) for b in batches for a in range(0, max(1, b.num_rows), PAGES_AT_ONCE)):
         rows = []
         for page, host, html, selector in zip(*[batch.column(c).to_pylist() for c in ("page_id", "host", "html", "selector")], strict=True):
             rows += [(page, host, *b) for b in blocks_of(html, selector)]

@@ -16,16 +16,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def _arriving(rows: DataFrame, name: str, files: int | None = None) -> DataFrame:
-    """``rows`` as a stream of files: four, or as many as the rows were read from; ``files`` of them if given."""
-    s, path = rows.sparkSession, new_folder(rows.sparkSession, name)
-    rows.repartition(files or max(4, len(rows.inputFiles()))).write.parquet(path)
-    return _stream(rows, path)
+def _arriving(rows: DataFrame, name: str, at_once: bool = False) -> DataFrame:
+    """``rows`` as a stream of files: four, or as many as the rows were read from; in several batches or in one."""
+    files, path = max(4, len(rows.inputFiles())), new_folder(rows.sparkSession, name)
+    rows.repartition(files).write.parquet(path)
+    return _stream(rows, path, None if at_once else files // 2)
 
 
-def _stream(rows: DataFrame, path: str) -> DataFrame:
-    s = rows.sparkSession
-    return s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path)
+def _stream(rows: DataFrame, path: str, per_batch: int | None = 2) -> DataFrame:
+    stream = rows.sparkSession.readStream.schema(rows.schema)
+    return (stream.option("maxFilesPerTrigger", per_batch) if per_batch else stream).parquet(path)
 
 
 def _drained(stream: DataFrame, name: str, then: Callable[[], None] | None = None) -> DataFrame:
@@ -56,8 +56,8 @@ def changed_blocks(s: SparkSession, d: str) -> DataFrame:
 
 
 def rescored_blocks(s: SparkSession, d: str) -> DataFrame:
-    """One file, as arrivals of one batch come in order of time."""
-    return _drained(jobs.rescored_blocks(_arriving(_edits(s, d), "rescored", 1)), "rescored-out")
+    """All files in one batch, within which arrivals are put in order of time."""
+    return _drained(jobs.rescored_blocks(_arriving(_edits(s, d), "rescored", at_once=True)), "rescored-out")
 
 
 TOLD = "We delve into the tapestry of this robust and vibrant realm, and it is a testament to progress for all."

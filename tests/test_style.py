@@ -285,3 +285,12 @@ def test_one_class_and_zero_weights(spark):
 @settings(max_examples=30, deadline=None)
 def test_trimming_is_the_pattern_s(value):
     assert value.strip(text._SPACE) == re.sub(rf"^[{text._SPACE}]+|[{text._SPACE}]+$", "", value)
+
+
+def test_deep_pages_keep_their_structure(spark):
+    """A block far down is a leaf, and what is within a skipped element is skipped, however deep."""
+    words = " ".join(f"word{k}" for k in range(60))
+    deep = "<div>" * 3000 + f"<p>{words}</p>" + "<div>" * 3000 + f"<nav>{'<div>' * 500}<p>{words} hidden</p></nav>"
+    rows = spark.createDataFrame([(1, "https://h.example/", deep), (2, "https://h.example/", None)], "page_id long, url string, html string")
+    found = pages.leaves(rows).collect()
+    assert [(r["page_id"], r["kind"], r["text"]) for r in found] == [(1, "block", words)]
