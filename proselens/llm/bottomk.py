@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import words
 from .components import components
-from .shared import in_slices, join_each, small, stage
+from .shared import in_slices, join_each, short_batches, small, stage
 
 SHINGLE = 5
 #: A link needs 100 * intersection >= percent * union; this is the percentage of ``result`` and its SQL.
@@ -231,7 +231,7 @@ def classify(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFr
 
     ``kept``: doc_id = component_id. ``representative``: true for exactly one row of each class (the first row of its smallest id).
     """
-    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    texts = short_batches(docs).select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     sketched = stage(texts.mapInArrow(_sketch, "doc_id long, text_hash long, n long, sign binary, sketch array<long>").withColumn("row", F.monotonically_increasing_id()), "sketches")
     first = F.min(F.struct(F.col("doc_id"), F.col("row"))).alias("first")
     copies = stage(sketched.where("n > 0").groupBy("sign").agg(first, F.count("*").alias("n")), "copies")

@@ -35,8 +35,8 @@ class ChunkEncoder:
     ``encode(chunks, leading)``: the ids of an array of chunks; ``leading`` chunks begin a text.
     """
 
-    def __init__(self, unsafe: str, cut: Callable[[str], list[str]], encode: Callable[[pa.Array, bool], Ids]):
-        self.unsafe, self.cut, self.encode = unsafe, cut, encode
+    def __init__(self, unsafe: str, cut: Callable[[str], list[str]], encode: Callable[[pa.Array, bool], Ids], remembered: int = REMEMBERED):
+        self.unsafe, self.cut, self.encode, self.remembered = unsafe, cut, encode, remembered
         self._forget()
 
     def _forget(self) -> None:
@@ -67,7 +67,7 @@ class ChunkEncoder:
         out = _gather(np.concatenate((self.ids, heads)), np.concatenate((self.sizes, head_sizes)), at)
         counts = np.concatenate((self.sizes, head_sizes))[at]
         ends = np.concatenate(([0], np.cumsum(counts)))[bounds]
-        if self.known.nbytes + self.ids.nbytes + self.sizes.nbytes > REMEMBERED:
+        if self.known.nbytes + self.ids.nbytes + self.sizes.nbytes > self.remembered:
             self._forget()
         return out, np.diff(ends)
 
@@ -138,7 +138,7 @@ def byte_level(model, encode_batch: Callable[[list[str]], list]) -> ChunkEncoder
     return ChunkEncoder(rf"^$|^{_WHITE}|{_WHITE}$", _SPACE_IN_TEXT.split, encode)
 
 
-def pieces(encode_all: Callable[[list[str]], list[list[int]]], mark: int) -> ChunkEncoder:
+def pieces(encode_all: Callable[[list[str]], list[list[int]]], mark: int, remembered: int = REMEMBERED) -> ChunkEncoder:
     """For sentencepiece models with a dummy prefix and no piece that holds a space mark after another character.
 
     Texts are cut at every space after a character that is neither a space nor U+2581, and that space is dropped: encoding
@@ -150,4 +150,4 @@ def pieces(encode_all: Callable[[list[str]], list[list[int]]], mark: int) -> Chu
         found = encode_all(own) if own else []
         return _of_lists([ids if c or leading else [mark] for c, ids in zip(own, found, strict=True)])
 
-    return ChunkEncoder("^$|▁$", _BEFORE_SPACE.split, encode)
+    return ChunkEncoder("^$|▁$", _BEFORE_SPACE.split, encode, remembered)

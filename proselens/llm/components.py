@@ -41,7 +41,8 @@ def components(edges: DataFrame) -> DataFrame:
     state = _state(edges)
     while state[0]:
         total = 2 * state[0]  # no step makes more edges
-        edges = stage(_small(_large(edges, total).distinct(), total).distinct(), "edges")  # Spark shuffles the inner one once
+        large = stage(_large(edges, total).distinct(), "edges")  # written, as plans of both steps together grow large
+        edges = stage(_small(large, total).distinct(), "edges")
         before, state = state, _state(edges)
         if state == before:
             break

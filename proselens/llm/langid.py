@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import crc_text, in_slices, stage
+from .shared import crc_text, in_slices, short_batches, stage
 from .words import mix
 
 UNDETERMINED = "und"
@@ -234,7 +234,7 @@ def train(docs: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[list[str], bytes |
     of_lang = lambda values: F.create_map(*[F.lit(x) for pair in values.items() for x in pair])[F.col("lang")]
     hashed = F.xxhash64(F.lit(5), "doc_id", "text")
     draw = F.pmod(hashed, F.lit(1 << 30)) / float(1 << 30)
-    frequencies = learned.select("text", "lang").mapInArrow(_frequencies(classes), "label int, feature int, n long").groupBy("label", "feature").agg(F.sum("n").alias("n"))
+    frequencies = short_batches(learned).select("text", "lang").mapInArrow(_frequencies(classes), "label int, feature int, n long").groupBy("label", "feature").agg(F.sum("n").alias("n"))
     drawn = learned.where(draw < of_lang({lang: min(1.0, fit_rows / len(classes) / n) for lang, n in sizes.items()}))
     drawn = drawn.select("text", of_lang({lang: k for k, lang in enumerate(classes)}).alias("label"), F.pmod(F.shiftright(hashed, 32), F.lit(5)).cast("int").alias("fold"), hashed.alias("hash"))
     taught = drawn.mapInArrow(_as_counts, "label int, fold int, hash long, at array<int>, times array<int>")
@@ -273,7 +273,7 @@ def annotate(docs: DataFrame, model: tuple[list[str], bytes | None]) -> DataFram
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.drop(*PREDICTED)
     kinds = (T.StringType(), T.DoubleType(), T.DoubleType())
-    return rows.mapInArrow(_predicted(shared), T.StructType([*rows.schema.fields, *map(T.StructField, PREDICTED, kinds)]))
+    return short_batches(rows).mapInArrow(_predicted(shared), T.StructType([*rows.schema.fields, *map(T.StructField, PREDICTED, kinds)]))
 
 
 _models: dict[int, Model] = {}
@@ -304,4 +304,4 @@ def keep_known(docs: DataFrame) -> DataFrame:
 
     Learned from their own labels; if no row is labelled, only texts without a letter go.
     """
-    return docs.mapInArrow(_known(docs.sparkSession.sparkContext.broadcast(train(docs))), docs.schema)
+    return short_batches(docs).mapInArrow(_known(docs.sparkSession.sparkContext.broadcast(train(docs))), docs.schema)

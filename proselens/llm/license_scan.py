@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import words
-from .shared import in_slices, small, stage
+from .shared import in_slices, short_batches, small, stage
 
 #: Words in a run: of templates shorter than LONG_RUN, SHORT_RUN.
 SHORT_RUN, LONG_RUN = 2, 4
@@ -191,7 +191,7 @@ def _verify(templates: list[Template]):
 
 def scan(docs: DataFrame, templates: list[Template] = BASE + LICENSES) -> DataFrame:
     """doc_id, n_words, finds: verified spans (template number, first and last word, score), for every document."""
-    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    texts = short_batches(docs).select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     spans = alignments(texts, templates).groupBy("text_hash").agg(F.sort_array(F.collect_set(F.struct("template", "first", "last"))).alias("spans"))
     joined = texts.join(small(stage(spans, "spans")), "text_hash", "left")
     return joined.select("doc_id", "text", "spans").mapInArrow(_verify(templates), "doc_id long, n_words long, finds array<struct<template:int,first:long,last:long,score:double>>")

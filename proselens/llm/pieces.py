@@ -22,11 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import chunks
-from .shared import in_slices
+from .shared import in_slices, short_batches
 from .token_files import slices
 
 #: Bytes of the texts that a worker encodes together; spans take many times the room of the texts.
 SLICE = 1_000_000
+#: Bytes of chunks and ids that a worker remembers; with small slices a small memory is looked up faster.
+REMEMBERED = 8 << 20
 
 SPACE_MARK = "▁"
 
@@ -155,7 +157,7 @@ class Model:
         split = not spec.precompiled_charsmap and not spec.remove_extra_whitespaces and spec.add_dummy_prefix and spec.escape_whitespaces
         split &= not proto.trainer_spec.treat_whitespace_as_suffix and not any(SPACE_MARK in p.piece.lstrip(SPACE_MARK) for p in proto.pieces)
         split &= proto.trainer_spec.byte_fallback and all(p.type in (1, 2, 3, 6) for p in proto.pieces) and proto.trainer_spec.model_type == 2
-        self.by_chunk = chunks.pieces(self._whole, self.processor.piece_to_id(SPACE_MARK)) if split else None
+        self.by_chunk = chunks.pieces(self._whole, self.processor.piece_to_id(SPACE_MARK), REMEMBERED) if split else None
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return self.processor.encode(texts, num_threads=1)
@@ -238,7 +240,7 @@ def encode(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), path: str | Non
     kept = [c for c in keep if c not in ENCODED]
     schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in kept)
     rows = docs.select(*kept, F.col("text").alias("__text"))
-    return rows.mapInArrow(_encoded(path or model_path(), kept), f"{schema}n_tokens long, ids array<int>, begins array<long>, ends array<long>")
+    return short_batches(rows).mapInArrow(_encoded(path or model_path(), kept), f"{schema}n_tokens long, ids array<int>, begins array<long>, ends array<long>")
 
 
 def _covered(spans: tuple[np.ndarray, np.ndarray] | None) -> int | None:
@@ -273,4 +275,4 @@ def _digested(path: str):
 
 def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, bytes_covered (source bytes that the pieces' spans cover)."""
-    return docs.select("doc_id", "text").mapInArrow(_digested(path or model_path()), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, bytes_covered long")
+    return short_batches(docs).select("doc_id", "text").mapInArrow(_digested(path or model_path()), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, bytes_covered long")

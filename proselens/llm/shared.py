@@ -86,6 +86,16 @@ def crc_text(col):
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary"))
 
 
+#: Rows of a batch that goes to a Python worker, where rows hold whole texts.
+BATCH_ROWS = 2_000
+
+
+def short_batches(rows: DataFrame) -> DataFrame:
+    """``rows``, for ``mapInArrow`` on whole texts: lets the session send fewer rows at once, as each is large."""
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return rows
+
+
 #: Rows that a Python worker looks at together.
 SLICE_ROWS = 512
 
