@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bottomk, bpe_automaton, collide, langid, license_scan, pieces, rendezvous, secret_forest, token_files, vptree, waterfill
+from . import bottomk, bpe_automaton, collide, langid, license_scan, pieces, rendezvous, secret_forest, token_files, vptree, waterfill, whitening
 from .shared import table
 
 
@@ -48,9 +48,13 @@ def op10_waterfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return waterfill.result(table(spark, sf_dir, "documents"))
 
 
+def op11_bidiagonal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op12_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_license_scan, op3_langid, op4_pieces, op5_bottomk, op6_rendezvous, op7_collide, op8_vptree, op9_secret_forest, op10_waterfill, op12_bpe_automaton)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_license_scan, op3_langid, op4_pieces, op5_bottomk, op6_rendezvous, op7_collide, op8_vptree, op9_secret_forest, op10_waterfill, op11_bidiagonal, op12_bpe_automaton)}
 ORACLES = {"op5_bottomk": bottomk.ORACLE, "op7_collide": collide.ORACLE, "op10_waterfill": waterfill.ORACLE}
