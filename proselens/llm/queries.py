@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bottomk, bpe_automaton, collide, langid, license_scan, pieces, rendezvous, secret_forest, token_files, vptree, waterfill, whitening
+from . import bottomk, bpe_automaton, collide, langid, license_scan, phrases, pieces, rendezvous, secret_forest, token_files, vptree, waterfill, whitening
 from .shared import table
 
 
@@ -56,5 +56,9 @@ def op12_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_license_scan, op3_langid, op4_pieces, op5_bottomk, op6_rendezvous, op7_collide, op8_vptree, op9_secret_forest, op10_waterfill, op11_bidiagonal, op12_bpe_automaton)}
-ORACLES = {"op5_bottomk": bottomk.ORACLE, "op7_collide": collide.ORACLE, "op10_waterfill": waterfill.ORACLE}
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_license_scan, op3_langid, op4_pieces, op5_bottomk, op6_rendezvous, op7_collide, op8_vptree, op9_secret_forest, op10_waterfill, op11_bidiagonal, op12_bpe_automaton, op13_phrases)}
+ORACLES = {"op5_bottomk": bottomk.ORACLE, "op7_collide": collide.ORACLE, "op10_waterfill": waterfill.ORACLE, "op13_phrases": phrases.ORACLE}
