@@ -77,7 +77,7 @@ class Words:
                 look = min(len(self.data), to + W.SEGMENT)
                 gap = np.flatnonzero(_GAP[self.data[to:look]])
                 text = np.searchsorted(starts, to)
-                ends = [to + int(gap[0])] * (len(gap) > 0) + [int(s) for s in starts[text : text + 1] if s < look]
+                ends = [to + int(g) for g in gap[:1]] + [int(s) for s in starts[text : text + 1] if s < look]
                 to = min(ends, default=look)
                 if ends:
                     break
