@@ -40,7 +40,7 @@ from .token_files import slices
 #: Least count of a candidate, most words of one, phrases given for a language.
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: Words, and pairs of words, up to which they are broadcast; bytes of texts looked at together; entries of a task's counts.
-MOST_KEPT, SLICE, ENTRIES = 2_000_000, 2_000_000, 400_000
+MOST_KEPT, SLICE, ENTRIES = 2_000_000, 500_000, 100_000
 #: Parts that a language's candidates are ranked in first, so that none is ranked by one task.
 PARTS = 64
 
