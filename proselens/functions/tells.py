@@ -1,8 +1,9 @@
 """Explainable signs of machine-written style, and the verdict on a text.
 
 Every rule gives a tell (ord, id, label, count, weight, sample, fix) if it counts; ``ord`` is the order of the rules. The rules
-of a tier are a literal array that an expression walks, so plans stay small; a rule's pattern runs only on texts that hold one
-of the plain strings without which it can't match.
+of a tier are a literal array that an expression walks, so plans stay small. Which rules a text may match is told by an inverted
+index from words to rules, in which the text's words are looked up once; of those, a rule's pattern runs only if the text also
+holds one of the plain strings without which it can't match.
 """
 
 from __future__ import annotations
@@ -30,10 +31,6 @@ def _with(value: Column, then) -> Column:
     return F.transform(F.array(value), then)[0]
 
 
-def _lowered(text: Column) -> Column:
-    return F.struct(text.alias("text"), F.lower(text).alias("lowered"))
-
-
 def hits(text: Column, pattern: Column | str, fold: bool = True) -> Column:
     """All matches, trimmed."""
     literal = F.lit(P.java(pattern, fold)) if isinstance(pattern, str) else pattern
@@ -57,42 +54,79 @@ def _may_match(stems: Column, lowered: Column) -> Column:
     return (F.size(stems) == 0) | F.exists(stems, lambda x: F.contains(lowered, x))
 
 
-def _ruled(text: Column, rules: list[P.Rule], first: int, sample_chars: int | None = None) -> Column:
-    listed = F.array(*[F.struct(F.lit(first + k).alias("ord"), F.lit(r.id).alias("id"), F.lit(r.label).alias("label"), F.lit(r.weight).alias("weight"), F.lit(r.cap).alias("cap"), F.lit(r.fix).alias("fix"), F.lit(P.java(r.pattern)).alias("pattern"), _stems(r.pattern).alias("stems")) for k, r in enumerate(rules)])
+#: The patterns of all rules that are looked up by words, and where each tier's begin.
+_LOOKED_UP = [*[r.pattern for r in P.ON_SIGHT], *P.IN_CLUSTERS, *[r.pattern for r in P.PHRASES]]
+_CLUSTER_FROM = len(P.ON_SIGHT)
+_PHRASES_FROM = _CLUSTER_FROM + len(P.IN_CLUSTERS)
 
-    def found(both: Column) -> Column:
-        likely = F.filter(listed, lambda r: _may_match(r["stems"], both["lowered"]))
-        return F.filter(F.transform(likely, lambda r: F.struct(r.alias("rule"), hits(both["text"], r["pattern"]).alias("hits"))), lambda x: F.size(x["hits"]) > 0)
 
-    def tell(x: Column) -> Column:
-        r, n = x["rule"], F.size(x["hits"])
-        sample = x["hits"][0] if sample_chars is None else F.substring(x["hits"][0], 1, sample_chars)
-        return _tell(r["ord"], r["id"], r["label"], n, r["weight"] * F.least(n, r["cap"]), sample, r["fix"])
+def rules_at(text: Column, first: int = 0, last: int = len(_LOOKED_UP)) -> Column:
+    """Places, in order, of the rules from ``first`` to before ``last`` that a text may match.
 
-    return _with(_lowered(text), lambda both: F.transform(found(both), tell))
+    The text's words are walked once, and each is looked up in the index of words without which rules can't match; rules without
+    such words are always among the places.
+    """
+    index, rest = P.index_of(_LOOKED_UP[first:last])
+    places = F.create_map(*[F.lit(x) for word, own in index.items() for x in (word, [first + k for k in own])])
+    known = F.filter(F.transform(F.split(text, "[^A-Za-z0-9_]+"), F.lower), lambda w: w.isin(list(index)))
+    found = F.flatten(F.transform(F.array_distinct(known), lambda w: F.element_at(places, w)))
+    return F.array_sort(F.array_distinct(F.concat(found, F.array(*[F.lit(first + k) for k in rest]).cast("array<int>"))))
 
 
-def on_sight(text: Column) -> Column:
-    return _ruled(text, P.ON_SIGHT, 0)
+def _looked_up(text: Column, first: int, n: int) -> Column:
+    """What rules of a tier need of a text: itself, in lower case, and the places of the rules that may match."""
+    return F.struct(text.alias("text"), F.lower(text).alias("lowered"), rules_at(text, first, first + n).alias("rules"))
 
 
-def phrases(text: Column) -> Column:
-    return _ruled(text, P.PHRASES, _PHRASE, 90)
+def _matches(both: Column, listed: Column, first: int, n: int, then) -> Column:
+    """``then(rule, its matches)`` of the rules that match."""
+    own = F.filter(both["rules"], lambda k: (k >= first) & (k < first + n))
+    likely = F.filter(F.transform(own, lambda k: F.get(listed, k - first)), lambda r: _may_match(r["stems"], both["lowered"]))
+    found = F.transform(likely, lambda r: F.struct(r.alias("rule"), hits(both["text"], r["pattern"]).alias("hits")))
+    return F.transform(F.filter(found, lambda x: F.size(x["hits"]) > 0), lambda x: then(x["rule"], x["hits"]))
 
 
-def cluster(text: Column) -> Column:
-    """Words that tell only together: two rules at least."""
-    listed = F.array(*[F.struct(F.lit(P.java(p)).alias("pattern"), _stems(p).alias("stems")) for p in P.IN_CLUSTERS])
+def _ruled(both: Column, rules: list[P.Rule], at: int, first: int, sample_chars: int | None = None) -> Column:
+    """The tells of ``rules``, which are looked up from place ``at`` on and ordered from ``first`` on."""
+    listed = F.array(*[F.struct(F.lit(first + k).alias("ord"), F.lit(r.id).alias("id"), F.lit(r.label).alias("label"), F.lit(r.weight).alias("weight"), F.lit(r.cap).alias("cap"), F.lit(r.fix).alias("fix"), F.lit(P.java(r.pattern)).alias("pattern"), _stems(r.pattern).alias("stems")) for k, r in enumerate(rules)])
+
+    def tell(r: Column, h: Column) -> Column:
+        n = F.size(h)
+        sample = h[0] if sample_chars is None else F.substring(h[0], 1, sample_chars)
+        return _tell(r["ord"], r["id"], r["label"], n, r["weight"] * F.least(n, r["cap"]), sample, r["fix"])
+
+    return _matches(both, listed, at, len(rules), tell)
+
 
-    def found(both: Column) -> Column:
-        likely = F.filter(listed, lambda r: _may_match(r["stems"], both["lowered"]))
-        return F.filter(F.transform(likely, lambda r: hits(both["text"], r["pattern"])), lambda h: F.size(h) > 0)
+def _on_sight(both: Column) -> Column:
+    return _ruled(both, P.ON_SIGHT, 0, 0)
 
+
+def _phrases(both: Column) -> Column:
+    return _ruled(both, P.PHRASES, _PHRASES_FROM, _PHRASE, 90)
+
+
+def _cluster(both: Column) -> Column:
+    listed = F.array(*[F.struct(F.lit(P.java(p)).alias("pattern"), _stems(p).alias("stems")) for p in P.IN_CLUSTERS])
+    found = _matches(both, listed, _CLUSTER_FROM, len(P.IN_CLUSTERS), lambda r, h: h)
     # the aggregate binds the matches once
     add = lambda acc, h: F.struct((acc["rules"] + 1).alias("rules"), (acc["n"] + F.least(F.size(h), F.lit(2))).alias("n"), F.when(acc["rules"] < 5, F.concat(acc["words"], F.array(F.lower(h[0])))).otherwise(acc["words"]).alias("words"))
     zero = F.struct(F.lit(0).alias("rules"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("words"))
     tell = lambda acc: _one(acc["rules"] >= 2, _CLUSTER, "cluster", "buzzword cluster", acc["rules"], F.least(acc["n"] * 1.5, F.lit(7.0)), F.array_join(acc["words"], ", "), "plain verbs: use, help, build, lead")
-    return _with(_lowered(text), lambda both: F.aggregate(found(both), zero, add, tell))
+    return F.aggregate(found, zero, add, tell)
+
+
+def on_sight(text: Column) -> Column:
+    return _with(_looked_up(text, 0, len(P.ON_SIGHT)), _on_sight)
+
+
+def phrases(text: Column) -> Column:
+    return _with(_looked_up(text, _PHRASES_FROM, len(P.PHRASES)), _phrases)
+
+
+def cluster(text: Column) -> Column:
+    """Words that tell only together: two rules at least."""
+    return _with(_looked_up(text, _CLUSTER_FROM, len(P.IN_CLUSTERS)), _cluster)
 
 
 def density(text: Column, words: Column) -> Column:
@@ -171,11 +205,12 @@ def all_tells(text: Column, words: Column) -> Column:
     def found(x: Column) -> Column:
         t, n = x["text"], x["words"]
         return F.concat(
-            on_sight(t), cluster(t), density(t, n), intensifiers(t, n), brochure(t), phrases(t), dashes(t, n),
+            _on_sight(x), _cluster(x), density(t, n), intensifiers(t, n), brochure(t), _phrases(x), dashes(t, n),
             emoji_bullets(t), bold(t), headings(t), one_line_paragraphs(t), rhythm(t), triads(t, n),
         )
 
-    return rank_tells(_with(F.struct(text.alias("text"), words.alias("words")), found))
+    each = F.struct(text.alias("text"), words.alias("words"), F.lower(text).alias("lowered"), rules_at(text).alias("rules"))
+    return rank_tells(_with(each, found))
 
 
 def rank_tells(found: Column, top: int | None = None) -> Column:
