@@ -1,9 +1,7 @@
 """Explainable signs of machine-written style, and the verdict on a text.
 
-Every rule gives a tell (ord, id, label, count, weight, sample, fix) if it counts; ``ord`` is the order of the rules. The rules
-of a tier are a literal array that an expression walks, so plans stay small. Which rules a text may match is told by an inverted
-index from words to rules, in which the text's words are looked up once; of those, a rule's pattern runs only if the text also
-holds one of the plain strings without which it can't match.
+Every rule gives a tell (ord, id, label, count, weight, sample, fix) if it counts; ``ord`` is the order of the rules. Rules of
+words and phrases are looked up in an index (``rule_index``), all of them in one pass over a text; the others are expressions.
 """
 
 from __future__ import annotations
@@ -12,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import patterns as P
+from .rule_index import rule_hits
 from .text import count_words, is_english, normalize, sentences, text_lines, trim_all
 
 TELL = "struct<ord:int,id:string,label:string,count:int,weight:double,sample:string,fix:string>"
@@ -46,87 +45,52 @@ def _one(when: Column, *tell) -> Column:
     return F.when(when, F.array(_tell(*tell))).otherwise(F.array().cast(NONE))
 
 
-def _stems(pattern: str) -> Column:
-    return F.array(*[F.lit(x) for x in P.stems(pattern)]).cast("array<string>")
+#: The patterns of all rules that are looked up in the index, and where each tier's begin.
+INDEXED = [*[r.pattern for r in P.ON_SIGHT], *P.IN_CLUSTERS, *[r.pattern for r in P.PHRASES]]
+_IN_CLUSTERS_FROM = len(P.ON_SIGHT)
+_PHRASES_FROM = _IN_CLUSTERS_FROM + len(P.IN_CLUSTERS)
 
 
-def _may_match(stems: Column, lowered: Column) -> Column:
-    return (F.size(stems) == 0) | F.exists(stems, lambda x: F.contains(lowered, x))
+def _ruled(found: Column, rules: list[P.Rule], at: int, first: int, sample_chars: int | None = None) -> Column:
+    """The tells of ``rules`` by their matches. They are at places from ``at`` on, and are ordered from ``first`` on."""
+    listed = F.array(*[F.struct(F.lit(first + k).alias("ord"), F.lit(r.id).alias("id"), F.lit(r.label).alias("label"), F.lit(r.weight).alias("weight"), F.lit(r.cap).alias("cap"), F.lit(r.fix).alias("fix")) for k, r in enumerate(rules)])
 
-
-#: The patterns of all rules that are looked up by words, and where each tier's begin.
-_LOOKED_UP = [*[r.pattern for r in P.ON_SIGHT], *P.IN_CLUSTERS, *[r.pattern for r in P.PHRASES]]
-_CLUSTER_FROM = len(P.ON_SIGHT)
-_PHRASES_FROM = _CLUSTER_FROM + len(P.IN_CLUSTERS)
-
-
-def rules_at(text: Column, first: int = 0, last: int = len(_LOOKED_UP)) -> Column:
-    """Places, in order, of the rules from ``first`` to before ``last`` that a text may match.
-
-    The text's words are walked once, and each is looked up in the index of words without which rules can't match; rules without
-    such words are always among the places.
-    """
-    index, rest = P.index_of(_LOOKED_UP[first:last])
-    places = F.create_map(*[F.lit(x) for word, own in index.items() for x in (word, [first + k for k in own])])
-    known = F.filter(F.transform(F.split(text, "[^A-Za-z0-9_]+"), F.lower), lambda w: w.isin(list(index)))
-    found = F.flatten(F.transform(F.array_distinct(known), lambda w: F.element_at(places, w)))
-    return F.array_sort(F.array_distinct(F.concat(found, F.array(*[F.lit(first + k) for k in rest]).cast("array<int>"))))
-
-
-def _looked_up(text: Column, first: int, n: int) -> Column:
-    """What rules of a tier need of a text: itself, in lower case, and the places of the rules that may match."""
-    return F.struct(text.alias("text"), F.lower(text).alias("lowered"), rules_at(text, first, first + n).alias("rules"))
-
-
-def _matches(both: Column, listed: Column, first: int, n: int, then) -> Column:
-    """``then(rule, its matches)`` of the rules that match."""
-    own = F.filter(both["rules"], lambda k: (k >= first) & (k < first + n))
-    likely = F.filter(F.transform(own, lambda k: F.get(listed, k - first)), lambda r: _may_match(r["stems"], both["lowered"]))
-    found = F.transform(likely, lambda r: F.struct(r.alias("rule"), hits(both["text"], r["pattern"]).alias("hits")))
-    return F.transform(F.filter(found, lambda x: F.size(x["hits"]) > 0), lambda x: then(x["rule"], x["hits"]))
-
-
-def _ruled(both: Column, rules: list[P.Rule], at: int, first: int, sample_chars: int | None = None) -> Column:
-    """The tells of ``rules``, which are looked up from place ``at`` on and ordered from ``first`` on."""
-    listed = F.array(*[F.struct(F.lit(first + k).alias("ord"), F.lit(r.id).alias("id"), F.lit(r.label).alias("label"), F.lit(r.weight).alias("weight"), F.lit(r.cap).alias("cap"), F.lit(r.fix).alias("fix"), F.lit(P.java(r.pattern)).alias("pattern"), _stems(r.pattern).alias("stems")) for k, r in enumerate(rules)])
-
-    def tell(r: Column, h: Column) -> Column:
-        n = F.size(h)
+    def tell(x: Column) -> Column:
+        r, h, n = F.get(listed, x["rule"] - at), x["hits"], F.size(x["hits"])
         sample = h[0] if sample_chars is None else F.substring(h[0], 1, sample_chars)
         return _tell(r["ord"], r["id"], r["label"], n, r["weight"] * F.least(n, r["cap"]), sample, r["fix"])
 
-    return _matches(both, listed, at, len(rules), tell)
+    return F.transform(F.filter(found, lambda x: x["rule"].between(at, at + len(rules) - 1)), tell)
 
 
-def _on_sight(both: Column) -> Column:
-    return _ruled(both, P.ON_SIGHT, 0, 0)
+def _on_sight(found: Column) -> Column:
+    return _ruled(found, P.ON_SIGHT, 0, 0)
 
 
-def _phrases(both: Column) -> Column:
-    return _ruled(both, P.PHRASES, _PHRASES_FROM, _PHRASE, 90)
+def _phrases(found: Column, at: int = _PHRASES_FROM) -> Column:
+    return _ruled(found, P.PHRASES, at, _PHRASE, 90)
 
 
-def _cluster(both: Column) -> Column:
-    listed = F.array(*[F.struct(F.lit(P.java(p)).alias("pattern"), _stems(p).alias("stems")) for p in P.IN_CLUSTERS])
-    found = _matches(both, listed, _CLUSTER_FROM, len(P.IN_CLUSTERS), lambda r, h: h)
+def _cluster(found: Column, at: int = _IN_CLUSTERS_FROM) -> Column:
+    own = F.transform(F.filter(found, lambda x: x["rule"].between(at, at + len(P.IN_CLUSTERS) - 1)), lambda x: x["hits"])
     # the aggregate binds the matches once
     add = lambda acc, h: F.struct((acc["rules"] + 1).alias("rules"), (acc["n"] + F.least(F.size(h), F.lit(2))).alias("n"), F.when(acc["rules"] < 5, F.concat(acc["words"], F.array(F.lower(h[0])))).otherwise(acc["words"]).alias("words"))
     zero = F.struct(F.lit(0).alias("rules"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("words"))
     tell = lambda acc: _one(acc["rules"] >= 2, _CLUSTER, "cluster", "buzzword cluster", acc["rules"], F.least(acc["n"] * 1.5, F.lit(7.0)), F.array_join(acc["words"], ", "), "plain verbs: use, help, build, lead")
-    return F.aggregate(found, zero, add, tell)
+    return F.aggregate(own, zero, add, tell)
 
 
 def on_sight(text: Column) -> Column:
-    return _with(_looked_up(text, 0, len(P.ON_SIGHT)), _on_sight)
+    return _on_sight(rule_hits(text, [r.pattern for r in P.ON_SIGHT]))
 
 
 def phrases(text: Column) -> Column:
-    return _with(_looked_up(text, _PHRASES_FROM, len(P.PHRASES)), _phrases)
+    return _phrases(rule_hits(text, [r.pattern for r in P.PHRASES]), 0)
 
 
 def cluster(text: Column) -> Column:
     """Words that tell only together: two rules at least."""
-    return _with(_looked_up(text, _CLUSTER_FROM, len(P.IN_CLUSTERS)), _cluster)
+    return _cluster(rule_hits(text, P.IN_CLUSTERS), 0)
 
 
 def density(text: Column, words: Column) -> Column:
@@ -199,17 +163,17 @@ def triads(text: Column, words: Column) -> Column:
     return _with(_structural(text, TRIAD), lambda n: _one((n >= 3) & (n / words >= 1 / 70), _TRIAD, "triad", "rule of three", n, 1.0, F.concat(n.cast("string"), F.lit(" triads")), "two or four"))
 
 
-def all_tells(text: Column, words: Column) -> Column:
-    """The tells of a normalised text, heaviest first, then in the order of the rules."""
+def all_tells(text: Column, words: Column, ruled: Column | None = None) -> Column:
+    """The tells of a normalised text, heaviest first, then in the order of the rules. ``ruled``: its matches, if they are there already."""
 
     def found(x: Column) -> Column:
-        t, n = x["text"], x["words"]
+        t, n, own = x["text"], x["words"], x["ruled"]
         return F.concat(
-            _on_sight(x), _cluster(x), density(t, n), intensifiers(t, n), brochure(t), _phrases(x), dashes(t, n),
+            _on_sight(own), _cluster(own), density(t, n), intensifiers(t, n), brochure(t), _phrases(own), dashes(t, n),
             emoji_bullets(t), bold(t), headings(t), one_line_paragraphs(t), rhythm(t), triads(t, n),
         )
 
-    each = F.struct(text.alias("text"), words.alias("words"), F.lower(text).alias("lowered"), rules_at(text).alias("rules"))
+    each = F.struct(text.alias("text"), words.alias("words"), (rule_hits(text, INDEXED) if ruled is None else ruled).alias("ruled"))
     return rank_tells(_with(each, found))
 
 
@@ -241,7 +205,9 @@ def analyze(df: DataFrame, text: str = "text", sensitivity: str = "balanced", mi
     steps = df.withColumn("__text", normalize(text)).withColumn("__words", count_words("__text"))
     enough = F.col("__words") >= max(LOWEST_WORDS, min_words)
     steps = steps.withColumn("__english", is_english("__text"))
-    steps = steps.withColumn("__tells", F.when(enough & F.col("__english"), all_tells(F.col("__text"), F.col("__words"))).otherwise(F.array().cast(NONE)))
+    told = enough & F.col("__english")
+    steps = steps.withColumn("__ruled", rule_hits(F.when(told, F.col("__text")), INDEXED))
+    steps = steps.withColumn("__tells", F.when(told, all_tells(F.col("__text"), F.col("__words"), F.col("__ruled"))).otherwise(F.array().cast(NONE)))
     steps = steps.withColumn("__raw", raw_score(F.col("__tells")))
     steps = steps.withColumn("__density", F.col("__raw") * 100 / F.greatest("__words", F.lit(DENSITY_WORDS)))
     analysis = F.struct(
@@ -253,7 +219,7 @@ def analyze(df: DataFrame, text: str = "text", sensitivity: str = "balanced", mi
         F.when(enough & ~F.col("__english"), F.lit("not english")).alias("skipped"),
         F.col("__tells").alias("tells"),
     )
-    return steps.withColumn("analysis", analysis).drop("__text", "__words", "__english", "__tells", "__raw", "__density")
+    return steps.withColumn("analysis", analysis).drop("__text", "__words", "__english", "__ruled", "__tells", "__raw", "__density")
 
 
 def draft_tells(df: DataFrame, text: str = "text") -> DataFrame:

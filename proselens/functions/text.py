@@ -23,12 +23,12 @@ def _characters(span: str) -> str:
     return re.sub("(.)-(.)", lambda m: "".join(map(chr, range(ord(m[1]), ord(m[2]) + 1))), found, flags=re.DOTALL)
 
 
-_SPACE = _characters(SPACES)
+SPACE_CHARACTERS = _characters(SPACES)
 
 
 def trim_all(text: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.btrim(text, F.lit(_SPACE))
+    return F.btrim(text, F.lit(SPACE_CHARACTERS))
 
 
 def straight_quotes(text: Column) -> Column:

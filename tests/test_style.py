@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from proselens.functions import features, patterns, tells, text
+from proselens.functions import features, patterns, rule_index, tells, text
 from proselens.operators import model as M
 from proselens.operators import pages, provenance, sampling
 from proselens.scratch import new_folder
@@ -294,3 +294,32 @@ def test_deep_pages_keep_their_structure(spark):
     rows = spark.createDataFrame([(1, "https://h.example/", deep), (2, "https://h.example/", None)], "page_id long, url string, html string")
     found = pages.leaves(rows).collect()
     assert [(r["page_id"], r["kind"], r["text"]) for r in found] == [(1, "block", words)]
+
+
+INDEXED = list(dict.fromkeys(tells.INDEXED))
+
+
+@pytest.mark.parametrize("pattern", INDEXED, ids=lambda p: p[:40])
+def test_triggers_are_needed(pattern):
+    """A match has one of its rule's words or pairs; a near miss, a letter put into that word, matches only if another is there."""
+    known = patterns.triggers(pattern)
+    rule = re.compile(patterns.python(pattern), re.IGNORECASE | re.ASCII)
+    index = rule_index.RuleIndex((pattern,))
+    example = _example(pattern)
+    for text_ in (example, f"Then {example} again, and {example}.", f"é{example}é", example.upper()):
+        want = [m[0].strip(text.SPACE_CHARACTERS) for m in rule.finditer(text_)]
+        assert dict(index(text_)).get(0, []) == want
+        tokens = re.findall("[a-z0-9_]+", text_.lower())
+        assert not want or not known or any(" ".join(tokens[i : i + t.count(" ") + 1]) == t for t in known for i in range(len(tokens)))
+    for trigger in known:
+        broken = re.sub(rf"\b{trigger.split()[0]}\b", lambda m: m[0][:1] + "q" + m[0][1:], example, flags=re.IGNORECASE)
+        assert dict(index(broken)).get(0, []) == [m[0].strip(text.SPACE_CHARACTERS) for m in rule.finditer(broken)]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from([*INDEXED, " ", ". ", "\n", "-", "é", "_", "İ", "x"]), max_size=12))
+def test_index_finds_what_patterns_find(parts):
+    found = "".join(_example(p) if p in INDEXED else p for p in parts)
+    rules = tuple(INDEXED)
+    each = [(k, hits) for k, p in enumerate(rules) if (hits := [m[0].strip(text.SPACE_CHARACTERS) for m in re.finditer(patterns.python(p), found, re.IGNORECASE | re.ASCII)])]
+    assert rule_index._index(rules)(found) == each
