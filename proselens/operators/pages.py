@@ -249,6 +249,10 @@ def action_state(verdict: Column | str, action: str = "blur") -> Column:
     return F.when(v == "slop", "blocked" if action == "blur" else "labelled").when(v == "suspect", "labelled")
 
 
+def badge(n: Column) -> Column:
+    return F.when(n == 0, "").when(n > 999, "999+").otherwise(n.cast("string"))
+
+
 def page_counts(units: DataFrame, paused: DataFrame | None = None) -> DataFrame:
     """page_id, n (units with verdict slop) and badge. units: page_id, verdict, and host if ``paused`` hosts are given."""
     keys = ["page_id"] if paused is None else ["page_id", "host"]
@@ -257,8 +261,7 @@ def page_counts(units: DataFrame, paused: DataFrame | None = None) -> DataFrame:
     if paused is not None:
         counts = counts.join(paused.select("host", F.lit(True).alias("__off")).distinct(), "host", "left")
         off = F.coalesce("__off", F.lit(False))
-    badge = F.when(off, "off").when(F.col("n") == 0, "").when(F.col("n") > 999, "999+").otherwise(F.col("n").cast("string"))
-    return counts.select(*keys, "n", badge.alias("badge"))
+    return counts.select(*keys, "n", F.when(off, "off").otherwise(badge(F.col("n"))).alias("badge"))
 
 
 def text_hash(text: Column | str) -> Column:

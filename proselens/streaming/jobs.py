@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.tells import analyze, draft_tells
-from ..operators.pages import page_counts
+from ..operators.pages import badge, page_counts
 
 
 def score_blocks(blocks: DataFrame, sensitivity: str = "balanced") -> DataFrame:
@@ -23,23 +22,73 @@ def changed_blocks(blocks: DataFrame, delay: str = "1 hour", time: str = "ts", k
     return blocks.withColumn("length", F.length("text")).withWatermark(time, delay).dropDuplicatesWithinWatermark([key, "length"])
 
 
-def rescored_blocks(blocks: DataFrame, delay: str = "1 hour", keep_ms: int = 3_600_000, key: str = "block_id") -> DataFrame:
-    """key, ts, length: arrivals whose length differs from that of the arrival before. State goes ``keep_ms`` after the last one."""
-
-    def differing(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
+class _InOrder(StatefulProcessor):
+    """Arrivals of a block put in order of time. They wait in buckets of time, each of which a timer ends when no earlier row can come any more."""
+
+    def __init__(self, name: str, bucket_ms: int, keep_ms: int):
+        self.name, self.bucket_ms, self.keep_ms = name, bucket_ms, keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "bucket long", "rows array<struct<us:long,length:long>>")
+        self.last = handle.getValueState("last", "us long, length long")
+
+    def _wait(self, fresh: dict[int, set]) -> None:
+        for bucket, rows in fresh.items():
+            there = self.waiting.containsKey((bucket,))
+            if there:
+                rows |= {(r[0], r[1]) for r in self.waiting.getValue((bucket,))[0]}
+            else:
+                self.handle.registerTimer((bucket + 1) * self.bucket_ms)
+            self.waiting.updateValue((bucket,), (sorted(rows),))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        fresh: dict[int, set] = {}
+        for n, row in enumerate(rows, 1):
+            fresh.setdefault(row.us // 1000 // self.bucket_ms, set()).add((row.us, row.length))
+            if n % HELD_ROWS == 0:
+                self._wait(fresh)
+                fresh = {}
+        self._wait(fresh)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        ended = expiredTimerInfo.getExpiryTimeInMs()
+        bucket = ended // self.bucket_ms - 1
+        last = tuple(self.last.get()) if self.last.exists() else None
+        if ended % self.bucket_ms or not self.waiting.containsKey((bucket,)):  # the timer of the last arrival
+            if last and last[0] // 1000 + self.keep_ms <= timerValues.getCurrentWatermarkInMs():
+                self.last.clear()
             return
-        last = state.get[0] if state.exists else -1
-        rows = pd.concat(list(batches)).sort_values(["ts", "length"], kind="stable")
-        before = rows["length"].shift(fill_value=last)
-        state.update((int(rows["length"].iloc[-1]),))
-        state.setTimeoutTimestamp(max(int(rows["ts"].iloc[-1].timestamp() * 1000) + keep_ms, state.getCurrentWatermarkMs() + 1))
-        yield rows[rows["length"] != before][[key, "ts", "length"]]
-
-    rows = blocks.select(key, "ts", F.length("text").cast("long").alias("length")).withWatermark("ts", delay)
+        for us, length in self.waiting.getValue((bucket,))[0]:
+            if last is None or length != last[1] or us - last[0] > self.keep_ms * 1000:
+                yield Row(**{self.name: key[0], "us": us, "length": length})
+            last = us, length
+        self.waiting.removeKey((bucket,))
+        self.last.update(last)
+        # one that is no bucket's end, and not before the state may go
+        gone = last[0] // 1000 + self.keep_ms
+        self.handle.registerTimer(gone + 1 + (not (gone + 1) % self.bucket_ms))
+
+
+#: The state store that keeps timers and maps of keys; ``transformWithState`` needs it when a stream starts.
+STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+#: Rows of a block that a task holds before it puts them into its state.
+HELD_ROWS = 10_000
+
+
+def rescored_blocks(blocks: DataFrame, delay: str = "1 hour", keep_ms: int = 3_600_000, bucket_ms: int = 600_000, key: str = "block_id") -> DataFrame:
+    """key, ts, length: arrivals whose length differs from that of the arrival before, in order of time (then of length), whatever batch they came in.
+
+    Rows up to ``delay`` late find their place; an arrival is given once the watermark has passed the bucket of ``bucket_ms`` that
+    it is in. An arrival more than ``keep_ms`` after the one before counts as new, and state goes when it is that old. A task holds
+    one bucket of one block at most. The stream must be started with the settings ``STORE``.
+    """
+    rows = blocks.select(key, "ts", F.length("text").cast("long").alias("length")).where("length IS NOT NULL").withWatermark("ts", delay)
+    rows = rows.withColumn("us", F.unix_micros("ts"))
     kind = blocks.schema[key].dataType.simpleString()
-    return rows.groupBy(key).applyInPandasWithState(differing, f"{key} {kind}, ts timestamp, length long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+    found = rows.groupBy(key).transformWithState(_InOrder(key, bucket_ms, keep_ms), f"{key} {kind}, us long, length long", "Append", "EventTime")
+    return found.select(key, F.timestamp_micros("us").alias("ts"), "length")
 
 
 def latest_drafts(edits: DataFrame, gap: str = "300 milliseconds", delay: str = "10 seconds", key: str = "draft_id") -> DataFrame:
@@ -53,16 +102,66 @@ def running_counts(units: DataFrame) -> DataFrame:
     return page_counts(units)
 
 
-def upsert_counts(path: str) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: appends scored blocks (page_id, block_id, ts, verdict) to ``path``, from which ``current_counts`` reads."""
+class _Changes(StatefulProcessor):
+    """What a block adds to its page's count, or takes back: its last verdict is kept, and only a change of it is given."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "us long, verdict string")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        before = tuple(self.last.get()) if self.last.exists() else None
+        now = before
+        for row in rows:
+            # the latest counts; of verdicts of one time the first by name
+            if now is None or (-row.us, row.verdict) < (-now[0], now[1]):
+                now = row.us, row.verdict
+        if now is not None and now != before:
+            self.last.update(now)
+            change = (now[1] == "slop") - (before is not None and before[1] == "slop")
+            if change or before is None:
+                yield Row(page_id=key[0], change=change)
+
+
+def count_changes(scored: DataFrame) -> DataFrame:
+    """page_id, change: +1 and -1 as blocks (page_id, block_id, ts, verdict) become slop and cease to be; 0 when a block is first seen and isn't.
+
+    State is one small row a block. The stream must be started with the settings ``STORE``.
+    """
+    rows = scored.select("page_id", "block_id", F.unix_micros("ts").alias("us"), F.coalesce("verdict", F.lit("clean")).alias("verdict")).where("us IS NOT NULL")
+    kind = scored.schema["page_id"].dataType.simpleString()
+    return rows.groupBy("page_id", "block_id").transformWithState(_Changes(), f"page_id {kind}, change long", "Append", "None")
+
+
+def add_changes(path: str) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: adds a batch of changes to the pages' counts, of which ``path`` keeps one version a batch; a retried batch replaces its own.
+
+    A batch reads the last version (a row a page) and its changes, and no blocks.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.select("page_id", "block_id", "ts", "verdict").write.mode("overwrite").parquet(f"{path}/batch={number}")  # a retried batch replaces itself
+        s = batch.sparkSession
+        before = [n for n in versions(s, path) if n < number]
+        counts = batch.select("page_id", F.col("change").alias("n"))
+        if before:
+            counts = counts.unionByName(s.read.schema(counts.schema).parquet(f"{path}/batch={before[-1]}"))
+        counts.groupBy("page_id").agg(F.sum("n").alias("n")).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return write
 
 
-def current_counts(scored: DataFrame) -> DataFrame:
-    """page_id, n, badge by the latest verdict of each block."""
-    newest = F.row_number().over(Window.partitionBy("page_id", "block_id").orderBy(F.desc("ts"), "verdict"))
-    return page_counts(scored.withColumn("__k", newest).where("__k = 1").drop("__k"))
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the batches whose counts are complete, in order."""
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return []
+    found = [x.getPath() for x in fs.listStatus(folder)]
+    return sorted(int(x.getName().partition("=")[2]) for x in found if x.getName().startswith("batch=") and fs.exists(jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS")))
+
+
+def current_counts(spark: SparkSession, path: str, schema: str = "page_id string, n long") -> DataFrame:
+    """page_id, n, badge after the last batch."""
+    known = versions(spark, path)
+    counts = spark.read.schema(schema).parquet(f"{path}/batch={known[-1]}") if known else spark.createDataFrame([], schema)
+    return counts.select("page_id", "n", badge(F.col("n")).alias("badge"))
