@@ -9,8 +9,9 @@ The draw orders a source's documents by hash and takes them up to the wanted wor
 bins wholly below the cut are taken, bins above are not, and only the bin at the cut is put in order, so no source, however
 large, is sorted in one task.
 
-Rows: a null text has size 0 and is taken 0 times. A null source is a source of its own, last in order. Repeated rows are
-drawn apart if their ids differ, and together by id, text and source if not. Empty tables give empty results.
+Rows: a null text has size 0 and is taken 0 times. A null source is a source of its own, last in order. Rows are
+drawn apart, those of one id in the order of their texts' hashes; of rows equal in id, text and source as many are drawn as bring
+the source nearest to its target. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .shared import small, stage
 
-#: Hash ranges that a source's draw is summed in.
-BINS = 4096
+#: Hash ranges that a source's draw is summed in, and parts that equal documents at a cut are numbered in.
+BINS, PARTS = 4096, 64
 
 
 def word_count(text: Column) -> Column:
@@ -80,24 +81,41 @@ def plan(docs: DataFrame, share: float = 1.5, max_epochs: float = 2.0, seed: int
     running = binned.withColumn("before", F.coalesce(before, F.lit(0))).join(aimed, F.col("__source").eqNullSafe(F.col("source")))
     edge = running.where((F.col("before") < F.col("wanted")) & (F.col("before") + F.col("words") >= F.col("wanted")))
     edge = small(stage(edge.select(F.col("source").alias("s"), F.col("__bin").alias("edge"), "before", "wanted"), "edges"))
-    # documents of the bin at the cut, in order, up to the words that come nearest
+    # documents of the bin at the cut, equal ones as one with their number, in order, up to the words that come nearest
     cut = rows.join(edge, F.col("__source").eqNullSafe(F.col("s")) & (F.col("__bin") == F.col("edge")))
+    places = cut.groupBy("s", "edge", "before", "wanted", *_ME).agg(F.count("*").alias("copies"))
     order = Window.partitionBy("s", "edge").orderBy(*_ME).rowsBetween(Window.unboundedPreceding, 0)
-    drawn = cut.withColumn("upto", F.col("before") + F.sum("__size").over(order)).where(F.col("upto") - F.col("__size") / 2 <= F.col("wanted"))
-    last = drawn.groupBy(F.col("s").alias("z")).agg(F.max(F.struct(*_ME)).alias("last"))
-    ends = edge.select("s", "edge").join(last, F.col("s").eqNullSafe(F.col("z")), "left").select("s", "edge", "last")
+    ahead = places.withColumn("ahead", F.col("before") + F.sum(F.col("__size") * F.col("copies")).over(order) - F.col("__size") * F.col("copies"))
+    one = (F.col("ahead") + F.col("__size") - F.col("__size") / 2 <= F.col("wanted")).cast("long")
+    some = F.least(F.col("copies"), F.greatest(F.lit(0), F.floor((F.col("wanted") - F.col("ahead")) / F.col("__size") + 0.5)))
+    drawn = ahead.withColumn("drawn", F.when((F.col("copies") == 1) | (F.col("__size") == 0), one * F.col("copies")).otherwise(some)).where("drawn > 0")
+    last = drawn.groupBy(F.col("s").alias("z")).agg(F.max(F.struct(F.struct(*_ME).alias("place"), (F.col("copies") - F.col("drawn")).alias("spare"))).alias("x"))
+    ends = edge.select("s", "edge").join(last.select("z", F.col("x.place").alias("last"), F.col("x.spare").alias("spare")), F.col("s").eqNullSafe(F.col("z")), "left").select("s", "edge", "last", "spare")
     ends = aimed.join(ends, F.col("source").eqNullSafe(F.col("s")), "left")
-    return small(stage(ends.select("source", "source_size", "target", "whole", "edge", "last"), "plan"))
+    return small(stage(ends.select("source", "source_size", "target", "whole", "edge", "last", "spare"), "plan"))
 
 
 def apply_plan(docs: DataFrame, plan: DataFrame, seed: int = 0) -> DataFrame:
-    """``docs`` with __size, __source_size, __target and __times (how often the mix takes the document). One pass, no shuffle."""
+    """``docs`` with __size, __source_size, __target and __times (how often the mix takes the document). One pass, no shuffle.
+
+    Only if a draw ends among equal documents are those numbered, in PARTS of their own, so that not all of them are taken.
+    """
     own = plan.select(*[F.col(c).alias(f"__plan_{c}") for c in plan.columns])
     placed = _with_ticket(docs, seed).join(own, F.col("__source").eqNullSafe(F.col("__plan_source")))
-    edge = F.col("__plan_edge")
-    extra = F.when(edge.isNull(), False).when(F.col("__bin") != edge, F.col("__bin") < edge).otherwise(F.coalesce(F.struct(*_ME) <= F.col("__plan_last"), F.lit(False)))
+    edge, place = F.col("__plan_edge"), F.struct(*_ME)
+    extra = F.when(edge.isNull(), False).when(F.col("__bin") != edge, F.col("__bin") < edge).otherwise(F.coalesce(place <= F.col("__plan_last"), F.lit(False)))
     kept = [*docs.columns, "__size", F.col("__plan_source_size").alias("__source_size"), F.col("__plan_target").alias("__target")]
-    return placed.select(*kept, (F.col("__plan_whole") + extra.cast("int")).alias("__times"))
+    times = lambda one_more: (F.col("__plan_whole") + one_more.cast("int")).alias("__times")
+    if plan.where("spare > 0").isEmpty():
+        return placed.select(*kept, times(extra))
+    tied = F.coalesce((F.col("__plan_spare") > 0) & (F.col("__bin") == edge) & (place == F.col("__plan_last")), F.lit(False))
+    same = stage(placed.where(tied).withColumn("__part", F.pmod(F.monotonically_increasing_id(), F.lit(PARTS))), "tied")
+    parts = same.groupBy(F.col("__plan_source").alias("__s"), F.col("__part").alias("__p")).agg(F.count("*").alias("__n"))
+    ahead = F.sum("__n").over(Window.partitionBy("__s").orderBy("__p")) - F.col("__n")
+    numbered = same.join(small(stage(parts.select("__s", "__p", ahead.alias("__ahead")), "parts")), F.col("__plan_source").eqNullSafe(F.col("__s")) & (F.col("__part") == F.col("__p")))
+    number = F.row_number().over(Window.partitionBy("__plan_source", "__part").orderBy(F.lit(0))) + F.col("__ahead")
+    numbered = numbered.withColumn("__number", number)
+    return placed.where(~tied).select(*kept, times(extra)).unionByName(numbered.select(*kept, times(F.col("__number") > F.col("__plan_spare"))))
 
 
 def repeat(docs: DataFrame, share: float = 1.5, max_epochs: float = 2.0, seed: int = 0) -> DataFrame:
