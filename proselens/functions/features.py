@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..shipping import ship
+from .patterns import WS
 from .text import model_prep
 
 BITS = 17
@@ -61,7 +62,7 @@ def fnv1a32(text: pd.Series) -> pd.Series:
     return found.mask(pd.Series(codes) < 0)
 
 
-def _features(lists: pa.ListArray, bits: int) -> pa.ListArray:
+def buckets(lists: pa.ListArray, bits: int) -> pa.ListArray:
     """Buckets of each list's tokens and of its pairs of neighbours. Each distinct token, and each distinct pair, is hashed once."""
     sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
     coded = pc.list_flatten(lists).cast(pa.string()).dictionary_encode()
@@ -84,11 +85,17 @@ def hash_features(text: Column | str, bits: int = BITS) -> Column:
 
     @F.arrow_udf("array<int>")
     def hashed(lists: pa.Array) -> pa.Array:
-        return _features(lists, bits)
+        return buckets(lists, bits)
 
     return hashed(tokens(text))
 
 
+def fold(features: Column | str, bits: int) -> Column:
+    """The buckets at a smaller width: those of a wider hash by their low bits, as a hash of that width gives them."""
+    wide = F.col(features) if isinstance(features, str) else features
+    return F.array_sort(F.array_distinct(F.transform(wide, lambda b: b.bitwiseAND(F.lit((1 << bits) - 1)))))
+
+
 def to_vectors(df: DataFrame, bits: int = BITS, features: str = "features", vector: str = "vector") -> DataFrame:
     """``df`` with a sparse vector of size 2**bits: 1 / sqrt(n) at each of its n buckets."""
     words = df.withColumn("__words", F.transform(features, lambda b: b.cast("string")))
@@ -99,12 +106,24 @@ def to_vectors(df: DataFrame, bits: int = BITS, features: str = "features", vect
     return Normalizer(p=2.0, inputCol="__counts", outputCol=vector).transform(counter.transform(words)).drop("__words", "__counts")
 
 
+#: ``tokens`` as SQL.
+_TOKENS_SQL = """transform(slice(regexp_extract_all(regexp_replace(regexp_replace(lower(translate(coalesce({text}, ''), '‘’ʼ“”' || char(160), {quotes})), '[0-9]+', '0'), {newlines}, ' ¶ '), {token}, 0), 1, {most}),
+  t -> CASE WHEN t RLIKE {emoji} THEN 'EMO' ELSE t END)"""
+
+
+def tokens_sql(text: str) -> str:
+    """A SQL expression with the value of ``tokens``."""
+    q = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return _TOKENS_SQL.format(text=text, quotes=q("'''\"\" "), newlines=q(rf"{WS}*\n+{WS}*"), token=q(TOKEN), most=MOST_TOKENS, emoji=q(EMOJI))
+
+
 def register(spark: SparkSession) -> None:
-    """fnv1a32(text) for SQL, and hash_features(tokens) at the default width."""
+    """For SQL: fnv1a32(text), hash_tokens(tokens) and hash_features(text) at the default width."""
     ship(spark).udf.register("fnv1a32", fnv1a32)
 
     @F.arrow_udf("array<int>")
     def of_tokens(lists: pa.Array) -> pa.Array:
-        return _features(lists, BITS)
+        return buckets(lists, BITS)
 
-    spark.udf.register("hash_features", of_tokens)
+    spark.udf.register("hash_tokens", of_tokens)
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION hash_features(t STRING) RETURNS ARRAY<INT> RETURN hash_tokens({tokens_sql('t')})")

@@ -11,7 +11,9 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.features import BITS, hash_features, to_vectors
+from ..functions import features as tokens_
+from ..functions.features import BITS, fold, hash_features, to_vectors
+from ..scratch import materialise
 
 #: Tolerated shares of human texts flagged, and the fewest words that the model judges.
 BUDGETS = {"gentle": 0.003, "balanced": 0.01, "strict": 0.03}
@@ -55,12 +57,14 @@ def quantize_table(weights: DataFrame) -> DataFrame:
     return weights.crossJoin(F.broadcast(scale)).select("bucket", F.greatest(F.least(F.rint(F.col("weight") / F.col("scale")), F.lit(127)), F.lit(-127)).cast("tinyint").alias("q"), "scale")
 
 
-def fit(df: DataFrame, label: str = "label", weight: str = "weight", c: float = 4.0, bits: int = BITS, text: str = "text", most_steps: int = 100) -> Model:
+def fit(df: DataFrame, label: str = "label", weight: str = "weight", c: float = 4.0, bits: int = BITS, text: str = "text", most_steps: int = 100, hashed: str | None = None) -> Model:
     """A class-balanced L2 logistic regression on the presence of hashed words, quantised.
 
-    Each step sums a gradient of 2**bits numbers over partitions as a tree; rows are kept where they are.
+    Each step sums a gradient of 2**bits numbers over partitions as a tree; rows are kept where they are. ``hashed``: a column of
+    buckets at this width or a wider one, which is folded, instead of the text.
     """
-    rows = balance(df.select(F.col(label).cast("double").alias("label"), F.col(weight).cast("double").alias("weight"), hash_features(text, bits).alias("features")).where(F.size("features") > 0))
+    own = fold(hashed, bits) if hashed else hash_features(text, bits)
+    rows = balance(df.select(F.col(label).cast("double").alias("label"), F.col(weight).cast("double").alias("weight"), own.alias("features")).where(F.size("features") > 0))
     rows = to_vectors(rows, bits).select("label", "weight", "vector").persist()
     try:
         total, human, machine = rows.agg(F.sum("weight"), F.count_if(F.col("label") == 0), F.count_if(F.col("label") == 1)).first()
@@ -74,18 +78,21 @@ def fit(df: DataFrame, label: str = "label", weight: str = "weight", c: float =
     return Model(weights, scale, float(fitted.intercept), bits, counts={"human": human, "machine": machine})
 
 
+def _scored(lists: pa.ListArray, weights: np.ndarray, scale: float, bias: float) -> pa.Array:
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+    flat = weights[pc.list_flatten(lists).to_numpy()].astype(np.float64)
+    sums = np.bincount(np.repeat(np.arange(len(sizes)), sizes), flat, len(sizes))
+    z = bias + sums * scale / np.sqrt(np.maximum(sizes, 1))
+    return pa.array(np.where(sizes > 0, 1 / (1 + np.exp(-z)), 0.5))
+
+
 def probability(features: Column | str, model: Model, spark) -> Column:
     """P(machine-written) of a feature array; 0.5 without features. The weights (2**bits bytes) are broadcast."""
     shared = spark.sparkContext.broadcast((model.weights, model.scale, model.bias))
 
     @F.arrow_udf("double")
     def scored(lists: pa.Array) -> pa.Array:
-        weights, scale, bias = shared.value
-        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
-        flat = weights[pc.list_flatten(lists).to_numpy()].astype(np.float64)
-        sums = np.bincount(np.repeat(np.arange(len(sizes)), sizes), flat, len(sizes))
-        z = bias + sums * scale / np.sqrt(np.maximum(sizes, 1))
-        return pa.array(np.where(sizes > 0, 1 / (1 + np.exp(-z)), 0.5))
+        return _scored(lists, *shared.value)
 
     return scored(F.col(features) if isinstance(features, str) else features)
 
@@ -157,10 +164,36 @@ def decide(tells_verdict: Column, p: Column, words: Column, thresholds: dict[str
     return F.when(worst("slop"), "slop").when(worst("suspect"), "suspect").otherwise("clean")
 
 
-def compare_bits(train: DataFrame, test: DataFrame, widths: list[int], **options) -> DataFrame:
-    """Test rows scored by models of several widths, one after the other: the columns of ``test``, bits, p."""
-    parts = [score(test, fit(train, bits=bits, **options)).withColumn("bits", F.lit(bits)) for bits in widths]
-    found = parts[0]
-    for more in parts[1:]:
-        found = found.unionByName(more)
+def compare_bits(train: DataFrame, test: DataFrame, widths: list[int], label: str = "label", weight: str = "weight", text: str = "text", **options) -> DataFrame:
+    """Test rows scored by models of several widths, one after the other: the columns of ``test``, bits, p.
+
+    Texts are hashed once, at the largest width, and their buckets kept; every width folds those.
+    """
+    hashed = hash_features(text, max(widths)).alias("__hashed")
+    fitting = materialise(train.select(label, weight, hashed), "hashed")
+    judged = materialise(test.select(*test.columns, hashed), "hashed")
+    found = None
+    for bits in widths:
+        model = fit(fitting, bits=bits, label=label, weight=weight, hashed="__hashed", **options)
+        one = judged.withColumn("p", probability(fold("__hashed", bits), model, test.sparkSession)).withColumn("bits", F.lit(bits)).drop("__hashed")
+        found = one if found is None else found.unionByName(one)
     return found
+
+
+def register(spark, model: Model, name: str = "probability") -> None:
+    """``name``(text) for SQL: P(machine-written) under a model, which is checked by its probe first; and the functions of ``features.register``.
+
+    The weights are broadcast once and go with the function.
+    """
+    if not 0 <= probe(spark, model)["p"] <= 1:
+        raise ValueError("the model gives no probability")
+    tokens_.register(spark)
+    shared = spark.sparkContext.broadcast((model.weights, model.scale, model.bias))
+    bits = model.bits
+
+    @F.arrow_udf("double")
+    def of_tokens(lists: pa.Array) -> pa.Array:
+        return _scored(tokens_.buckets(lists, bits), *shared.value)
+
+    spark.udf.register(f"{name}_of_tokens", of_tokens)
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(t STRING) RETURNS DOUBLE RETURN {name}_of_tokens({tokens_.tokens_sql('t')})")

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.features import hash_features, to_vectors
+from ..functions.features import fold, hash_features, to_vectors
 from ..functions.text import count_words
 from ..operators import evaluation as E
 from ..operators import model as M
@@ -107,6 +107,26 @@ def _widths(s: SparkSession, d: str) -> DataFrame:
 
 add("m11_compare_bits", _widths)
 
+
+def _folded(s: SparkSession, d: str) -> DataFrame:
+    hashed = spread(table(s, d, "documents")).select("doc_id", hash_features("text", 18).alias("wide"))
+    each = F.array(*[F.struct(F.lit(bits).alias("bits"), fold("wide", bits).alias("f")) for bits in (16, 17, 18)])
+    return hashed.select("doc_id", F.explode(each).alias("x")).select("doc_id", "x.bits", F.size("x.f").cast("long").alias("n"), F.aggregate("x.f", F.lit(0).cast("long"), lambda a, b: a + b).alias("total"))
+
+
+_WIDE_SQL = FEATURES_SQL.replace("& 131071", "& 262143")
+add("m11_folded_widths", _folded,
+    f"WITH {_WIDE_SQL}, w AS (SELECT doc_id, bits, bucket & ((1 << bits) - 1) AS bucket FROM f, (VALUES (16), (17), (18)) AS x(bits)), c AS (SELECT doc_id, bits, count(DISTINCT bucket) AS n, sum(DISTINCT bucket)::BIGINT AS total FROM w GROUP BY ALL) "
+    "SELECT d.doc_id, x.bits, coalesce(n, 0)::BIGINT AS n, coalesce(total, 0)::BIGINT AS total FROM documents d CROSS JOIN (VALUES (16), (17), (18)) AS x(bits) LEFT JOIN c ON c.doc_id = d.doc_id AND c.bits = x.bits")
+
+
+def _sql_probability(s: SparkSession, d: str) -> DataFrame:
+    M.register(s, SYNTHETIC)
+    return spread(table(s, d, "documents")).select("doc_id", F.round(F.expr("probability(text)"), 9).alias("p"), F.size(F.expr("hash_features(text)")).cast("long").alias("n_features"))
+
+
+add("m8_sql_probability", _sql_probability, f"WITH {_SCORE_SQL} SELECT p.doc_id, round(p, 9) AS p, coalesce(n, 0)::BIGINT AS n_features FROM p LEFT JOIN z USING (doc_id)")
+
 # ---- splits and samples ------------------------------------------------------------------------------------------------------
 
 

@@ -77,7 +77,7 @@ PLANTED = [
     "Great question! I hope this helps.\nShort line here.\nAnother one.\nAnd more.\nStill going.\nThe end.\nThe result? Nobody is talking about it.",
     "Plain words that say what happened on the day and nothing else.",
     "I'm thrilled to announce a significant step forward. Experts believe the future is bright. In today's fast-paced world we move on -- and on -- and everything in between.",
-    "We met at noon and talked for an hour about the plan. She said the work would take two weeks at the most. He thought it might take three weeks if it rained. They agreed to start on Monday morning before the rain. Nobody asked what would happen if it snowed then. The meeting ended when the coffee ran out at last.",
+    "We met at noon and talked for more than an hour about the plan. She said the whole of the work would take two weeks at the most. He thought it might well take all of three weeks if it rained. They agreed to start on Monday morning well before the first rain came. Nobody asked what would happen to them if it snowed instead of that. The meeting ended when the last of the coffee ran out at four by",
 ]
 PLANTED_SQL = f"planted AS (SELECT doc_id, lang, source, coalesce(text, '') || ' ' || list_extract([{', '.join(q(p) for p in PLANTED)}], 1 + doc_id % {len(PLANTED)}) AS text FROM documents)"
 

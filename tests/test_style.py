@@ -206,7 +206,7 @@ def test_models_are_fitted_at_the_reference_s_widths(spark, monkeypatch):
 
     asked = []
 
-    def fit(df, bits=model.BITS, most_steps=100):
+    def fit(df, bits=model.BITS, most_steps=100, **columns):
         asked.append((bits, most_steps))
         return model.Model(np.zeros(1 << bits, np.int8), 1.0, 0.0, bits)
 
@@ -219,6 +219,25 @@ def test_models_are_fitted_at_the_reference_s_widths(spark, monkeypatch):
     assert {r["bits"] for r in found.collect()} == {16, 17, 18}
 
 
+def test_folded_buckets_are_those_of_the_smaller_hash(spark):
+    df = spark.createDataFrame([("Some words, some more words here — and a few.",), ("",), (None,), ("w " * 900,)], "text string")
+    row = df.select(features.hash_features("text", 18).alias("wide"), *[features.hash_features("text", b).alias(f"b{b}") for b in (4, 16, 17)])
+    for r in row.select("*", *[features.fold("wide", b).alias(f"f{b}") for b in (4, 16, 17)]).collect():
+        assert all(r[f"f{b}"] == r[f"b{b}"] for b in (4, 16, 17))
+
+
+def test_functions_in_sql(spark):
+    model = M.Model((np.arange(1 << 17) * 7919 % 255 - 127).astype(np.int8), 0.01, -0.1)
+    M.register(spark, model)
+    rows = [("It's a ‘test’ of 12 things\n\nnext “line” 🚀",), ("",), (None,), ("a\u00a0b — c!",)]
+    df = spark.createDataFrame(rows, "text string")
+    df.createOrReplaceTempView("some_texts")
+    found = spark.sql("SELECT text, probability(text) AS p, hash_features(text) AS f, fnv1a32(text) AS h FROM some_texts").collect()
+    want = M.score(df, model).withColumn("f", features.hash_features("text")).collect()
+    key = lambda r: r.text or ""
+    assert [(r.p, r.f) for r in sorted(found, key=key)] == [(r.p, r.f) for r in sorted(want, key=key)]
+
+
 # ---- the path from labelled texts to figures --------------------------------------------------------------------------------
 
 
