@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
+from urllib.parse import quote
 
 import numpy as np
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +16,7 @@ from pyspark.sql import types as T
 from ..functions.text import WS, count_words, detokenize, strip_html, trim_all
 from ..operators.model import Model, probe
 from ..operators.provenance import HEAD_BYTES
+from ..shipping import ship
 
 TEXTS = "genre string, text string"
 RAID_IN = "source_id string, model string, domain string, attack string, generation string"
@@ -77,9 +82,43 @@ def book_paragraphs(df: DataFrame, key: str = "title", text: str = "text") -> Da
     return clean.where(count_words("text", curly=False).between(60, 400) & ~F.col("text").rlike(BOOK_JUNK))
 
 
+#: Kinds of stores that parts of files can be read from without Spark's whole-file reader.
+RANGED = {"file", "s3", "s3a", "gs", "hdfs", "abfs", "abfss"}
+
+
+def _store(uri: str) -> tuple[fs.FileSystem, str]:
+    """The store and the path within it of a file as Spark names it."""
+    scheme, _, rest = uri.partition(":")
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return fs.FileSystem.from_uri(f"{'s3' if scheme == 's3a' else scheme}:{quote(rest)}")
+
+
+def head(store: fs.FileSystem, path: str, most: int = HEAD_BYTES) -> bytes:
+    """The first bytes of a file; no more are asked for."""
+    with store.open_input_file(path) as f:
+        return f.read(most)
+
+
+def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 64):  # so many heads are held at once
+            part = batch.slice(at, 64)
+            yield pa.RecordBatch.from_arrays([part.column("path"), pa.array([head(*_store(uri)) for uri in part.column("path").to_pylist()], pa.binary())], names=["path", "content"])
+
+
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """path, content: the first 192 KiB of each file."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.substring("content", 1, HEAD_BYTES).alias("content"))
+    """path, content: the first 192 KiB of each file.
+
+    Files are listed by Spark, which opens none for their names; tasks then read the heads, by ranges, where the kind of store
+    allows it (RANGED). Files of other stores are read whole and cut. Empty files are left out.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    store = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if store.getUri().getScheme() not in RANGED:
+        return files.select("path", F.substring("content", 1, HEAD_BYTES).alias("content"))
+    ship(spark)
+    return files.select("path").mapInArrow(_heads, "path string, content binary")
 
 
 def write_heldout(df: DataFrame, path: str, form: str = "json") -> None:
