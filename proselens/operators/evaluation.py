@@ -39,14 +39,24 @@ def auc(df: DataFrame, p: str = "p", label: str = "label") -> DataFrame:
     return ranked.agg(F.try_divide(won, 2 * F.sum("m") * F.sum("h")).alias("auc"))
 
 
-def misses(df: DataFrame, families: str, group: str = "set", verdict: str = "verdict", label: str = "label") -> DataFrame:
-    """Machine texts of sets whose names match that aren't flagged."""
-    return df.where((F.col(label) == 1) & F.col(group).rlike(families) & (F.col(verdict) != "slop"))
+#: Characters of a text that are shown beside a miss, and beside a wrong flag.
+MISS_CHARS, FLAG_CHARS = 110, 140
 
 
-def wrong_flags(df: DataFrame, verdict: str = "verdict", label: str = "label") -> DataFrame:
-    """Human texts that are flagged."""
-    return df.where((F.col(label) == 0) & (F.col(verdict) == "slop"))
+def _shown(df: DataFrame, chars: int, text: str, tells: str) -> DataFrame:
+    """``df`` with why: the labels of its tells, heaviest first; and excerpt: how the text begins, on one line."""
+    why = F.array_join(F.transform(tells, lambda t: t["label"]), " · ")
+    return df.withColumns({"why": F.coalesce(why, F.lit("")), "excerpt": F.translate(F.substring(text, 1, chars), "\n", " ")})
+
+
+def misses(df: DataFrame, families: str, group: str = "set", verdict: str = "verdict", label: str = "label", text: str = "text", tells: str = "tells") -> DataFrame:
+    """Machine texts of sets whose names match that aren't flagged, with why and excerpt."""
+    return _shown(df.where((F.col(label) == 1) & F.col(group).rlike(families) & (F.col(verdict) != "slop")), MISS_CHARS, text, tells)
+
+
+def wrong_flags(df: DataFrame, verdict: str = "verdict", label: str = "label", text: str = "text", tells: str = "tells") -> DataFrame:
+    """Human texts that are flagged, with why and excerpt."""
+    return _shown(df.where((F.col(label) == 0) & (F.col(verdict) == "slop")), FLAG_CHARS, text, tells)
 
 
 def corpus_sizes(df: DataFrame, label: str = "label") -> DataFrame:

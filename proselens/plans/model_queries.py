@@ -83,7 +83,7 @@ def decided(s: SparkSession, d: str, rows: Callable = None) -> DataFrame:
 
     scored = analyzed(s, d).withColumn("p", p_column()).withColumn("words", count_words("text"))
     kinds = F.size("analysis.tells")
-    return scored.select("doc_id", "lang", "source", "words", "p", "analysis", *[M.decide(verdict(F.col("analysis.exact_density"), kinds, k), F.col("p"), F.col("words"), THRESHOLDS, k).alias(k) for k in THRESHOLDS])
+    return scored.select("doc_id", "lang", "source", "text", "words", "p", "analysis", *[M.decide(verdict(F.col("analysis.exact_density"), kinds, k), F.col("p"), F.col("words"), THRESHOLDS, k).alias(k) for k in THRESHOLDS])
 
 
 def _verdict_sql(k: str) -> str:
@@ -165,7 +165,9 @@ add("p9_prompt_grid", lambda s, d: P.prompt_grid(s, table(s, d, "region").select
 
 
 def judged(s: SparkSession, d: str) -> DataFrame:
-    scored = materialise(decided(s, d).withColumn("n_tells", F.size("analysis.tells").cast("long")).drop("analysis"), "decided")
+    tells = F.transform("analysis.tells", lambda t: F.struct(t["label"].alias("label")))
+    scored = decided(s, d).withColumns({"n_tells": F.size("analysis.tells").cast("long"), "tells": tells, "text": F.substring("text", 1, E.FLAG_CHARS)})
+    scored = materialise(scored.drop("analysis"), "decided")
     return scored.join(table(s, d, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id").withColumnRenamed("source", "set")
 
 
@@ -205,7 +207,9 @@ def _train_evaluate(s: SparkSession, d: str) -> DataFrame:
 
 add("e0_train_evaluate", _train_evaluate)
 _SETS = "^src1"
-add("e4_misses", lambda s, d: E.misses(judged(s, d), _SETS, verdict="balanced").select("doc_id", "set", "p", "n_tells"),
-    f"WITH {_J} SELECT doc_id, \"set\", p, n_tells FROM judged WHERE label = 1 AND regexp_matches(\"set\", '{_SETS}') AND balanced <> 'slop'")
-add("e5_wrong_flags", lambda s, d: E.wrong_flags(judged(s, d), verdict="balanced").select("doc_id", "set", "p"), f"WITH {_J} SELECT doc_id, \"set\", p FROM judged WHERE label = 0 AND balanced = 'slop'")
+_SHOWN = f"{_J}, reasons AS (SELECT doc_id, string_agg(label, ' · ' ORDER BY weight DESC, ord) AS why FROM kept GROUP BY doc_id)"
+_SHOWN_COLUMNS = "j.doc_id, \"set\", p, coalesce(why, '') AS why, replace(substr(t.text, 1, {}), chr(10), ' ') AS excerpt FROM judged j JOIN planted t ON t.doc_id = j.doc_id LEFT JOIN reasons r ON r.doc_id = j.doc_id"
+add("e4_misses", lambda s, d: E.misses(judged(s, d), _SETS, verdict="balanced").select("doc_id", "set", "p", "n_tells", "why", "excerpt"),
+    f"WITH {_SHOWN} SELECT n_tells, {_SHOWN_COLUMNS.format(E.MISS_CHARS)} WHERE label = 1 AND regexp_matches(\"set\", '{_SETS}') AND balanced <> 'slop'")
+add("e5_wrong_flags", lambda s, d: E.wrong_flags(judged(s, d), verdict="balanced").select("doc_id", "set", "p", "why", "excerpt"), f"WITH {_SHOWN} SELECT {_SHOWN_COLUMNS.format(E.FLAG_CHARS)} WHERE label = 0 AND balanced = 'slop'")
 add("e6_corpus_sizes", lambda s, d: E.corpus_sizes(labelled(s, d)), f"WITH {_L} SELECT label, count(*) AS n FROM labelled GROUP BY label")
