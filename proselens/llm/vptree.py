@@ -2,16 +2,19 @@
 
 Candidates get one more component that gives all of them the same length, and queries are scaled to that length; the largest
 inner product is then the smallest distance, for which the triangle inequality holds. A vantage point is the one of a few rows
-whose distances to a sample of its node spread most; the child nearer to a query is visited first. A branch is left out if the
-inequality XX
+whose distances to a sample of its node spread most; the child nearer to a query is visited first. A vantage point's children
+are the rows within its middle distance m and those beyond. By the triangle inequality, of a query at distance d from the point
+no row of the other child is nearer than |d - m|: that child is left out if ``factor`` times |d - m| is more than the distance of
+the k-th neighbour found so far. Factor one leaves out only what can't hold a neighbour, and is exact.
+
 Vectors of each length are searched among their like. They are dealt to shards by hash, each about SHARD rows. The queries
 go to every shard of their length: a task reads the rows of its shard, builds the tree, and answers queries as they stream by,
 so it holds one tree and one batch of queries. Shards' neighbours are then merged for each query.
 
 Scores are sums over the original vectors, in the same order for every pair, so equal vectors tie exactly.
 
-Rows: vectors that are null, empty, zero or hold null or non-finite components, and rows without id take no part. Rows with
-the query's id count as its own. Of several rows with one query id the smallest vector of each length is searched; a repeated
+Rows: vectors that are null, empty, zero or hold null or non-finite components take no part. A row without id is no query, but a
+candidate, of the smallest id (the number -2**63 is read as no id). Rows with the query's id count as its own. Of several rows with one query id the smallest vector of each length is searched; a repeated
 candidate stands as often as it is repeated.
 """
 
@@ -28,6 +31,8 @@ from .shared import small, stage
 from .vectors import rows_of, usable
 
 SHARD = 8192
+#: What a missing id is within a task.
+NO_ID = -(1 << 63)
 LEAF = 64
 #: Rows of a node that are tried as its vantage point, and rows to which their distances are looked at.
 TRIED, LOOKED_AT = 16, 128
@@ -170,14 +175,14 @@ def _answer(k: int, factor: float | None):
 
 def search(vectors: DataFrame, every: int = 20, k: int = 20, factor: float | None = None, shard_rows: int = SHARD) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of each row whose vec_id is divisible by ``every``, among all other rows."""
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("vector")).where(F.col("vec_id").isNotNull() & usable(F.col("vector")))
+    rows = vectors.select(F.coalesce(F.col("vec_id").cast("long"), F.lit(NO_ID)).alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector")).where(usable(F.col("vector")))
     rows = stage(rows.withColumn("length", F.size("vector")), "vectors")
     squares = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
     shards = F.ceil(F.count("*") / shard_rows).cast("int").alias("shards")
     lengths = stage(rows.groupBy("length").agg(shards, (F.sqrt(F.max(squares)) * (1 + 1e-12)).alias("reach")), "lengths")
     rows = rows.join(small(lengths), "length")
     held = rows.withColumns({"shard": F.pmod(F.xxhash64("vec_id", "vector"), F.col("shards")).cast("int"), "asks": F.lit(False)})
-    queries = rows.where(F.col("vec_id") % every == 0).groupBy("length", "vec_id", "shards", "reach").agg(F.min("vector").alias("vector"))
+    queries = rows.where((F.col("vec_id") % every == 0) & (F.col("vec_id") != NO_ID)).groupBy("length", "vec_id", "shards", "reach").agg(F.min("vector").alias("vector"))
     asking = queries.withColumns({"shard": F.explode(F.sequence(F.lit(0), F.col("shards") - 1)), "asks": F.lit(True)})
     task = ["length", "shard"]
     parts = lengths.agg(F.coalesce(F.sum("shards"), F.lit(1))).first()[0]
@@ -185,4 +190,4 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, factor: float | Non
     dealt = both.repartitionByRange(parts, *task).sortWithinPartitions(*task, "asks", "vec_id")
     found = dealt.mapInArrow(_answer(k, factor), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", F.nullif("vec_id", F.lit(NO_ID)).alias("vec_id"), "score")

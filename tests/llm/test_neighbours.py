@@ -13,12 +13,12 @@ VECTORS = "vec_id long, embedding array<float>, label int"
 
 def brute(data, k=20, every=20):
     """query -> [(score, id)] best first, among rows of the query's length."""
-    good = [(i, np.array(v, np.float64)) for i, v, *_ in data if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    good = [(i, np.array(v, np.float64)) for i, v, *_ in data if v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     wanted = {}
     for i, q in good:
-        if i % every == 0:
-            ranked = sorted((-float((q * v).sum()), j) for j, v in good if j != i and len(v) == len(q))
-            wanted[i] = [(-s, j) for s, j in ranked[:k]]
+        if i is not None and i % every == 0:
+            ranked = sorted((-float((q * v).sum()), vptree.NO_ID if j is None else j) for j, v in good if j != i and len(v) == len(q))
+            wanted[i] = [(-s, None if j == vptree.NO_ID else j) for s, j in ranked[:k]]
     return wanted
 
 
@@ -41,8 +41,10 @@ ODD = [None, [0.0] * 16, [float("nan")] + [1.0] * 15, [float("inf")] + [1.0] * 1
 
 
 def test_factor_one_is_exact(spark):
-    data = rows() + [(1000 + 20 * k, v, 0) for k, v in enumerate(ODD)] + [(None, [1.0] * 16, 0)]
-    assert searched(spark, data, factor=1.0, shard_rows=100) == brute(data)
+    data = rows() + [(1000 + 20 * k, v, 0) for k, v in enumerate(ODD)] + [(None, [3.0] * 16, 0), (None, [3.0] * 16, 1)]
+    wanted = brute(data)
+    assert any(j is None for near in wanted.values() for _, j in near)
+    assert searched(spark, data, factor=1.0, shard_rows=100) == wanted
 
 
 @pytest.mark.parametrize("length,unit", [(4, False), (24, False), (24, True)])

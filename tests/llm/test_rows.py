@@ -162,7 +162,8 @@ def test_vectors(spark):
         df = df.withColumn(name, F.lit("clash"))
     found = Counter((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in collide.classify(df).collect())
     assert found == Counter([(None, 3, None, True), (3, 3, None, False), (3, 3, None, False), (4, 3, None, False), (5, 0, 5, True), (6, 0, 6, True), (7, 0, 7, True), (None, 0, None, True), (8, 0, 8, True)])
-    assert vptree.search(df, every=1).where("query_id = 3").count() == 4  # ids 4, 5, 7 and 8; none without id
+    assert vptree.search(df, every=1).where("query_id = 3").count() == 5  # ids 4, 5, 7 and 8, and the row without id
+    assert not vptree.search(df, every=1).where("query_id IS NULL").count()
     assert vptree.search(df, every=1).count() > 0
 
 
