@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from . import patterns as P
 from .rule_index import rule_hits
 from .text import count_words, is_english, normalize, sentences, text_lines, trim_all
@@ -202,6 +203,7 @@ def analyze(df: DataFrame, text: str = "text", sensitivity: str = "balanced", mi
 
     Texts below max(8, min_words) words, and texts that aren't English, have no tells and are clean.
     """
+    ship(df.sparkSession)  # the rule index runs in Python workers
     steps = df.withColumn("__text", normalize(text)).withColumn("__words", count_words("__text"))
     enough = F.col("__words") >= max(LOWEST_WORDS, min_words)
     steps = steps.withColumn("__english", is_english("__text"))
