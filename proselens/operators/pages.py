@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import count_words
+from ..scratch import materialise
 
 LEAST_WORDS, ADAPTED_WORDS, LEAST_RUN, OPINION_WORDS = 40, 12, 3, 50
 
@@ -268,17 +269,39 @@ def text_hash(text: Column | str) -> Column:
     return F.sha2(F.col(text) if isinstance(text, str) else text, 256)
 
 
+#: Hashes of texts up to which they are broadcast: 64 characters each.
+MOST_BROADCAST = 200_000
+
+
+def _few(hashes: DataFrame) -> DataFrame:
+    """A table of hashes, written once; broadcast if it is counted and small, else Spark joins by shuffle."""
+    kept = materialise(hashes, "hashes")
+    return F.broadcast(kept) if kept.count() <= MOST_BROADCAST else kept
+
+
 def to_ask(blocks: DataFrame, opinions: DataFrame) -> DataFrame:
-    """text_hash, text: each text that has no opinion yet, once."""
-    return blocks.select(text_hash("text").alias("text_hash"), "text").dropDuplicates(["text_hash"]).join(opinions.select("text_hash"), "text_hash", "left_anti")
+    """text_hash, text: each text that has no opinion yet, once.
+
+    Hashes alone are shuffled to find which texts these are. The texts that have an opinion stay where they are; of the others
+    each task sends one copy.
+    """
+    hashed = blocks.select(text_hash("text").alias("text_hash"), "text")
+    known = _few(hashed.select("text_hash").distinct().join(opinions.select("text_hash"), "text_hash", "left_semi"))
+    return hashed.join(known, "text_hash", "left_anti").groupBy("text_hash").agg(F.first("text").alias("text"))
 
 
 def apply_opinions(blocks: DataFrame, opinions: DataFrame, action: str = "blur") -> DataFrame:
-    """blocks (text, verdict, words) with state; slop of 50 words that an opinion calls human becomes suspect, and labelled."""
-    asked = opinions.select("text_hash", "label").dropDuplicates(["text_hash"])
-    joined = blocks.withColumn("text_hash", text_hash("text")).join(asked, "text_hash", "left")
-    spared = (F.col("verdict") == "slop") & (F.col("words") >= OPINION_WORDS) & F.coalesce(F.col("label").rlike("(?i)human"), F.lit(False))
-    return joined.select(*blocks.columns, F.when(spared, "suspect").otherwise(F.col("verdict")).alias("final"), F.when(spared, "labelled").otherwise(action_state("verdict", action)).alias("state"))
+    """blocks (text, verdict, words) with state; slop of 50 words that an opinion calls human becomes suspect, and labelled.
+
+    Of a text with several opinions one that says so is enough. Hashes of texts that can change are joined with the opinions;
+    only those that do change, mostly few, come back to the blocks, whose texts aren't shuffled.
+    """
+    may_change = (F.col("verdict") == "slop") & (F.col("words") >= OPINION_WORDS)
+    human = opinions.where(F.col("label").rlike("(?i)human")).select("text_hash")
+    spared = _few(blocks.where(may_change).select(text_hash("text").alias("text_hash")).distinct().join(human, "text_hash", "left_semi"))
+    marked = blocks.withColumn("__hash", F.when(may_change, text_hash("text"))).join(spared.select(F.col("text_hash").alias("__hash"), F.lit(True).alias("__spared")), "__hash", "left")
+    spare = F.coalesce("__spared", F.lit(False))
+    return marked.select(*blocks.columns, F.when(spare, "suspect").otherwise(F.col("verdict")).alias("final"), F.when(spare, "labelled").otherwise(action_state("verdict", action)).alias("state"))
 
 
 def map_opinions(answers: DataFrame) -> DataFrame:

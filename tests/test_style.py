@@ -342,3 +342,20 @@ def test_index_finds_what_patterns_find(parts):
     rules = tuple(INDEXED)
     each = [(k, hits) for k, p in enumerate(rules) if (hits := [m[0].strip(text.SPACE_CHARACTERS) for m in re.finditer(patterns.python(p), found, re.IGNORECASE | re.ASCII)])]
     assert rule_index._index(rules)(found) == each
+
+
+def test_opinions_meet_hashes_not_texts(spark):
+    from pyspark.sql import types as T
+
+    texts = [("the same text " * 30, "slop", 90)] * 50 + [(f"text {k} " * 30, "slop" if k % 2 else "suspect", 60) for k in range(20)] + [(None, "slop", 60), ("short", "slop", 2)]
+    blocks = spark.createDataFrame([(k, *t) for k, t in enumerate(texts)], "block int, text string, verdict string, words int")
+    hashed = blocks.select("block", pages.text_hash("text").alias("text_hash"))
+    opinions = hashed.where("block IN (0, 51, 52, 53, 71)").select("text_hash", F.when(F.col("block") == 53, "AI").otherwise("Human, mostly").alias("label"))
+    found = {r.block: (r.final, r.state) for r in pages.apply_opinions(blocks, opinions).collect()}
+    spared = {*range(50), 51}
+    assert found == {k: ("suspect", "labelled") if k in spared or t[1] == "suspect" else ("slop", "blocked") for k, t in enumerate(texts)}
+    plan = pages.apply_opinions(blocks, opinions)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+    asked = pages.to_ask(blocks, opinions)
+    assert isinstance(asked.schema["text"].dataType, T.StringType)
+    assert sorted(r.text or "" for r in asked.collect()) == sorted({t[0] or "" for k, t in enumerate(texts) if k > 49 and k not in (51, 52, 53, 71)})
