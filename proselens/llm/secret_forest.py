@@ -189,11 +189,12 @@ class Corpus:
         n = F.length("value").cast("double")
         per_word = findings.select("value").distinct().select("value", F.explode(_words_of(F.col("value"))).alias("word")).where("length(word) >= 3")
         covered = per_word.join(self.known, "word").groupBy("value").agg(F.sum(F.length("word")).alias("covered_letters"))
-        low, table = F.lower("value"), F.split(F.lit(",".join(f"{x:.4f}" for x in self.table)), ",").cast("array<double>")
-        pair = lambda k: F.element_at(table, _kind(low, k) * _KINDS + _kind(low, k + 1) + 1)
-        logs = F.transform(F.sequence(F.lit(1), F.least(F.length("value") - 1, F.lit(2000))), pair)
+        table = F.split(F.lit(",".join(f"{x:.4f}" for x in self.table)), ",").cast("array<double>")
+        kinds = F.transform(F.split(F.lower("value"), ""), lambda c: F.position(c, F.lit(_ALPHABET)))
+        pair = lambda first, second: F.element_at(table, first * _KINDS + second + 1)
+        logs = F.zip_with("kinds", F.slice("kinds", F.lit(2), F.size("kinds")), pair)  # null for the last, which nothing follows
         longest = F.array_max(F.transform(F.regexp_extract_all("value", F.lit("[A-Za-z]+"), F.lit(0)), F.length))
-        return findings.join(covered, "value", "left").withColumns({
+        return findings.join(covered, "value", "left").withColumn("kinds", kinds).withColumns({
             "length": F.log(n),
             "digits": _count("[0-9]") / n,
             "uppers": _count("[A-Z]") / n,
@@ -205,7 +206,7 @@ class Corpus:
             "to_letter": _count("[0-9](?=[A-Za-z])") / n,
             "case_changes": _count("[a-z](?=[A-Z])|[A-Z](?=[a-z])") / n,
             "longest_letters": F.coalesce(longest, F.lit(0)) / n,
-            "transitions": F.aggregate(logs, F.lit(0.0), lambda s, x: s + x) / (n - 1),
+            "transitions": F.aggregate(logs, F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0))) / F.greatest(F.size("kinds") - 1, F.lit(1)),
             "covered": F.coalesce("covered_letters", F.lit(0)) / n,
             "issued": F.col("value").rlike(ISSUED).cast("double"),
             "slashes": _count("/") / n,
@@ -214,7 +215,7 @@ class Corpus:
             "benign_name": F.col("before").rlike(BENIGN_NAME).cast("double"),
             "assigned": F.col("before").rlike("[=:]").cast("double"),
             "quoted": F.col("before").rlike("[\"']$").cast("double"),
-        }).drop("covered_letters")
+        }).drop("covered_letters", "kinds")
 
 
 def _near_words() -> Column:

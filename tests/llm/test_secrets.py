@@ -114,3 +114,16 @@ def test_labelled_findings_are_learned(spark, corpus):
     assert scores[a] > 0.5 > scores[b]
     of_one_kind = secret_forest.Judge(known, spark.createDataFrame(labelled[:60], columns))
     assert [r["score"] for r in of_one_kind.score(findings).collect()] == [0.0, 0.0]
+
+
+def test_transitions_are_those_of_the_whole_value(spark, corpus):
+    rnd = random.Random(9)
+    known = secret_forest.Corpus(spark.createDataFrame(list(enumerate(corpus)), "doc_id long, text string"))
+    kinds, alphabet = 37, "abcdefghijklmnopqrstuvwxyz0123456789"
+    values = ["a", "Ab9", "-é🚀x/" * 3, *[mixed(rnd, n) for n in (16, 2000, 2001, 2002, 9000)], "theandriver" * 200 + mixed(rnd, 6000)]
+    findings = spark.createDataFrame([(v, "token = ", "near") for v in values], "value string, before string, near string")
+    found = {r["value"]: r["transitions"] for r in known.features(findings).collect()}
+    for v in values:
+        at = [alphabet.find(c) + 1 for c in v.lower()]
+        logs = [float(f"{known.table[a * kinds + b]:.4f}") for a, b in zip(at, at[1:], strict=False)]
+        assert found[v] == pytest.approx(sum(logs) / max(1, len(logs)), abs=1e-9), len(v)
