@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next one's
 ``docs``. All but the last keep the columns of ``documents``; an empty table stays empty.
 
-1. language: texts whose language can't be told go.
+1. language: texts whose language can't be told go; missing and contradicted labels become the language told.
 2. near_duplicates: one document of each group of near-duplicates stays.
 3. secrets: secrets are masked in the texts; no document goes.
 4. mixture: sources are mixed to target weights; documents are left out, kept or repeated.
@@ -19,7 +19,10 @@ from proselens.llm.shared import stage, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``docs`` without the texts that have no letter or whose n-grams are those of no language of the corpus (noise, keys, markup)."""
+    """``docs`` without the texts that have no letter or whose n-grams are those of no language of the corpus (noise, keys, markup).
+
+    ``lang`` becomes the language told where it was missing, or where the text clearly is of another.
+    """
     return langid.keep_known(docs)
 
 

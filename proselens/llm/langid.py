@@ -8,7 +8,8 @@ language, drawn by a hash of id and text; a fifth of them is left out to fit the
 A text's language can be told only if its n-grams are those of a language: ``familiar`` is the share of them that COMMON of some
 language's training rows hold. Random characters, keys, markup and languages that were not learned share few. ``keep_known``
 rejects texts below a bar that is calibrated on the rows left out: MARGIN times what all but one in 200 of them reach, LEAST_BAR
-at the most.
+at the most. The rows that stay go on with the language told: a missing label is filled from a score of LIKELY on, and a learned
+label that the text contradicts is replaced from CERTAIN on. Labels that weren't learned stay, as do all where there is but one.
 
 Rows: null texts and texts without a letter are ``und`` with score and familiar 0; without any labelled row every text is
 ``und``, and familiar is null. Equal scores go to the language first in order. Repeated rows get equal results; extra columns
@@ -37,6 +38,8 @@ DIMENSIONS = 1 << 15
 FIT_ROWS, MOST_LANGUAGES = 3_000, 200
 #: An n-gram is familiar if this share of a language's rows holds it; how the bar on the familiar share follows from rows left out.
 COMMON, MARGIN, LEAST_BAR = 0.01, 0.9, 0.8
+#: Calibrated scores from which a prediction fills a missing label, and from which it replaces another one.
+LIKELY, CERTAIN = 0.5, 0.99
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 1e-3, 1e-3, 3
 #: Characters of a text that are looked at together; longer texts are counted in parts.
 PART = 1 << 20
@@ -216,10 +219,11 @@ class Model:
         best = int(np.argmax(p))
         return self.classes[best], float(p[best]), familiar(at, n, self.common)
 
-    def knows(self, text: str | None) -> bool:
-        """Whether the text's language can be told."""
-        share = self.predict(text)[2]
-        return share is None or (has_letter(text) and share >= self.bar)
+    def tell(self, text: str | None, label: str | None) -> tuple[bool, str | None]:
+        """Whether the text's language can be told, and the language to go on with."""
+        lang, score, share = self.predict(text)
+        sure = score >= LIKELY if label is None else label in self.classes and score >= CERTAIN
+        return share is None or (has_letter(text) and share >= self.bar), lang if sure and len(self.classes) > 1 else label
 
 
 def train(docs: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[list[str], bytes | None]:
@@ -260,7 +264,10 @@ def _known(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _loaded(shared)
         for batch in in_slices(batches):
-            yield batch.filter(pa.array([model.knows(t) for t in batch.column("text").to_pylist()], pa.bool_()))
+            told = [model.tell(text, label) for text, label in zip(*[batch.column(c).to_pylist() for c in ("text", "lang")], strict=True)]
+            at = batch.schema.get_field_index("lang")
+            field = batch.schema.field(at)
+            yield batch.set_column(at, field, pa.array([lang for _, lang in told], field.type)).filter(pa.array([known for known, _ in told], pa.bool_()))
 
     return run
 
@@ -300,8 +307,8 @@ def result(docs: DataFrame) -> DataFrame:
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose language can't be told: no letter, or a familiar share below the calibrated bar.
+    """``docs`` without the rows whose language can't be told (no letter, or a familiar share below the calibrated bar), ``lang`` as told.
 
-    Learned from their own labels; if no row is labelled, only texts without a letter go.
+    Learned from their own labels; if no row is labelled, only texts without a letter go, and ``lang`` stays.
     """
     return short_batches(docs).mapInArrow(_known(docs.sparkSession.sparkContext.broadcast(train(docs))), docs.schema)

@@ -132,3 +132,28 @@ def test_many_languages_and_none(spark):
     assert [r["doc_id"] for r in langid.keep_known(unlabelled).collect()] == [1]
     one = spark.createDataFrame([(k, tongue(random.Random(k), "en", 20), "en", "s", 1) for k in range(50)], DOCS)
     assert langid.keep_known(one).count() == 50
+
+
+def test_what_the_stage_tells_goes_on(spark):
+    """Missing labels are filled and contradicted ones replaced, and that is what the last stage writes."""
+    rnd = random.Random(12)
+    langs = list(TONGUES)
+    right = {k: langs[k % 3] for k in range(3000)}  # with few rows no score is near 1
+    texts = {k: tongue(rnd, lang, 60) for k, lang in right.items()}
+    label = dict(right) | dict.fromkeys(range(0, 60)) | {k: langs[(k + 1) % 3] for k in range(60, 64)}
+    texts |= {3700: f"{tongue(rnd, 'de', 20)} {tongue(rnd, 'fr', 20)}", 3701: tongue(rnd, "en", 60)}
+    label |= {3700: "de", 3701: "rare"}
+    rows = [(k, texts[k], label[k], "s", len(texts[k])) for k in texts]
+    docs = spark.createDataFrame([*rows, *rows[:3], (3800, None, None, "s", None), (3801, noise(rnd, 0), None, "s", 1)], DOCS).repartition(3)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(langid, "MOST_LANGUAGES", 3)  # the fourth label is not learned, so it is not judged either
+        out = corpus_pipeline.language(spark, docs, "").cache()
+        found = sorted((r["doc_id"], r["lang"]) for r in out.collect())
+    assert found == sorted([*(right | {3700: "de", 3701: "rare"}).items(), *[(k, right[k]) for k in range(3)]])
+    last = {r["doc_id"]: r["lang"] for r in corpus_pipeline.tokens(spark, corpus_pipeline.near_duplicates(spark, out, ""), "").collect()}
+    assert last == right | {3700: "de", 3701: "rare"}
+
+
+def test_one_language_is_no_choice(spark):
+    rows = [(k, tongue(random.Random(k), "en", 20), "en" if k else None, "s", 1) for k in range(50)]
+    assert {r["doc_id"]: r["lang"] for r in corpus_pipeline.language(spark, spark.createDataFrame(rows, DOCS), "").collect()} == {k: lang for k, _, lang, *_ in rows}
