@@ -26,9 +26,9 @@ from .shared import in_slices, short_batches
 from .token_files import slices
 
 #: Bytes of the texts that a worker encodes together; spans take many times the room of the texts.
-SLICE = 1_000_000
+SLICE = 250_000
 #: Bytes of chunks and ids that a worker remembers; with small slices a small memory is looked up faster.
-REMEMBERED = 8 << 20
+REMEMBERED = 4 << 20
 
 SPACE_MARK = "▁"
 
