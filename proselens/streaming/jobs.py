@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -23,72 +26,114 @@ def changed_blocks(blocks: DataFrame, delay: str = "1 hour", time: str = "ts", k
 
 
 class _InOrder(StatefulProcessor):
-    """Arrivals of a block put in order of time. They wait in buckets of time, each of which a timer ends when no earlier row can come any more."""
+    """Arrivals of many blocks (a slot of them) put in order of time. They wait in buckets of time until no earlier row can come any more.
 
-    def __init__(self, name: str, bucket_ms: int, keep_ms: int):
-        self.name, self.bucket_ms, self.keep_ms = name, bucket_ms, keep_ms
+    State is read and written by the bucket, packed, and not by the row: a call to it costs far more than a row does.
+    """
+
+    def __init__(self, bucket_ms: int, keep_ms: int):
+        self.bucket_ms, self.keep_ms = bucket_ms, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "bucket long", "rows array<struct<us:long,length:long>>")
-        self.last = handle.getValueState("last", "us long, length long")
-
-    def _wait(self, fresh: dict[int, set]) -> None:
-        for bucket, rows in fresh.items():
-            there = self.waiting.containsKey((bucket,))
-            if there:
-                rows |= {(r[0], r[1]) for r in self.waiting.getValue((bucket,))[0]}
-            else:
-                self.handle.registerTimer((bucket + 1) * self.bucket_ms)
-            self.waiting.updateValue((bucket,), (sorted(rows),))
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        fresh: dict[int, set] = {}
-        for n, row in enumerate(rows, 1):
-            fresh.setdefault(row.us // 1000 // self.bucket_ms, set()).add((row.us, row.length))
-            if n % HELD_ROWS == 0:
-                self._wait(fresh)
-                fresh = {}
-        self._wait(fresh)
+        self.waiting = handle.getMapState("waiting", "bucket long", "rows binary")
+        self.last = handle.getValueState("last", "rows binary")
+
+    def _wait(self, fresh: list[pd.DataFrame], known: set[int]) -> None:
+        rows = pd.concat(fresh)
+        for bucket, more in rows.groupby(rows["us"] // (self.bucket_ms * 1000)):
+            if bucket in known:
+                more = pd.concat([_unpacked(self.waiting.getValue((bucket,))[0]), more])
+            self.waiting.updateValue((bucket,), (_packed(more.drop_duplicates()),))
+            known.add(bucket)
+
+    def _wake(self, bucket: int | None, last: pd.DataFrame) -> None:
+        """One timer a slot: the end of its first bucket, or the time when the last arrivals may go."""
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        if bucket is not None:
+            self.handle.registerTimer((bucket + 1) * self.bucket_ms)
+        elif len(last):
+            self.handle.registerTimer(int(last["us"].max()) // 1000 + self.keep_ms + self.bucket_ms + 1)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        fresh, known = [], {b for (b,) in self.waiting.keys()}
+        for some in rows:
+            fresh.append(some[["block", "us", "length"]])
+            if sum(map(len, fresh)) >= HELD_ROWS:
+                self._wait(fresh, known)
+                fresh = []
+        if fresh:
+            self._wait(fresh, known)
+        self._wake(min(known), _NONE)
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        ended = expiredTimerInfo.getExpiryTimeInMs()
-        bucket = ended // self.bucket_ms - 1
-        last = tuple(self.last.get()) if self.last.exists() else None
-        if ended % self.bucket_ms or not self.waiting.containsKey((bucket,)):  # the timer of the last arrival
-            if last and last[0] // 1000 + self.keep_ms <= timerValues.getCurrentWatermarkInMs():
-                self.last.clear()
-            return
-        for us, length in self.waiting.getValue((bucket,))[0]:
-            if last is None or length != last[1] or us - last[0] > self.keep_ms * 1000:
-                yield Row(**{self.name: key[0], "us": us, "length": length})
-            last = us, length
-        self.waiting.removeKey((bucket,))
-        self.last.update(last)
-        # one that is no bucket's end, and not before the state may go
-        gone = last[0] // 1000 + self.keep_ms
-        self.handle.registerTimer(gone + 1 + (not (gone + 1) % self.bucket_ms))
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        buckets = sorted(b for (b,) in self.waiting.keys())
+        due = [b for b in buckets if (b + 1) * self.bucket_ms <= now]
+        last = _unpacked(self.last.get()[0]) if self.last.exists() else _NONE
+        run: list[pd.DataFrame] = []
+        for n, bucket in enumerate(due, 1):
+            run.append(_unpacked(self.waiting.getValue((bucket,))[0]))
+            self.waiting.removeKey((bucket,))
+            if n == len(due) or sum(map(len, run)) >= HELD_ROWS:
+                found, last = _changed(last, pd.concat(run), self.keep_ms * 1000)
+                yield found
+                run = []
+        last = last[last["us"] // 1000 + self.keep_ms + self.bucket_ms >= now]  # what waits is of the bucket of ``now`` or later
+        if len(last):
+            self.last.update((_packed(last),))
+        else:
+            self.last.clear()
+        self._wake(buckets[len(due)] if len(due) < len(buckets) else None, last)
+
+
+_NONE = pd.DataFrame({"block": pd.Series(dtype=object), "us": pd.Series(dtype="int64"), "length": pd.Series(dtype="int64")})
+
+
+def _packed(rows: pd.DataFrame) -> bytes:
+    return pickle.dumps((rows["block"].tolist(), rows["us"].to_numpy(), rows["length"].to_numpy()), 5)
+
+
+def _unpacked(packed: bytes) -> pd.DataFrame:
+    block, us, length = pickle.loads(packed)
+    return pd.DataFrame({"block": pd.Series(block, dtype=object), "us": us, "length": length})
+
+
+def _changed(last: pd.DataFrame, rows: pd.DataFrame, keep_us: int) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """Of ``rows`` those whose length isn't that of the block's row before; and each block's last row. ``last``: a row a block, before all of ``rows``."""
+    both = pd.concat([last.assign(old=True), rows.assign(old=False)], ignore_index=True)
+    both["code"] = pd.factorize(both["block"], use_na_sentinel=False)[0]
+    both = both.sort_values(["code", "us", "length"], ignore_index=True)
+    code, us, length = (both[c].to_numpy() for c in ("code", "us", "length"))
+    new = np.ones(len(both), bool)
+    new[1:] = (code[1:] != code[:-1]) | (length[1:] != length[:-1]) | (us[1:] - us[:-1] > keep_us)
+    end = np.ones(len(both), bool)
+    end[:-1] = code[1:] != code[:-1]
+    columns = ["block", "us", "length"]
+    return both.loc[new & ~both["old"].to_numpy(bool), columns], both.loc[end, columns]
 
 
 #: The state store that keeps timers and maps of keys; ``transformWithState`` needs it when a stream starts.
 STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
-#: Rows of a block that a task holds before it puts them into its state.
-HELD_ROWS = 10_000
+#: Rows that a task holds before it puts them into its state.
+HELD_ROWS = 50_000
 
 
-def rescored_blocks(blocks: DataFrame, delay: str = "1 hour", keep_ms: int = 3_600_000, bucket_ms: int = 600_000, key: str = "block_id") -> DataFrame:
+def rescored_blocks(blocks: DataFrame, delay: str = "1 hour", keep_ms: int = 3_600_000, bucket_ms: int = 600_000, key: str = "block_id", slots: int = 128) -> DataFrame:
     """key, ts, length: arrivals whose length differs from that of the arrival before, in order of time (then of length), whatever batch they came in.
 
     Rows up to ``delay`` late find their place; an arrival is given once the watermark has passed the bucket of ``bucket_ms`` that
-    it is in. An arrival more than ``keep_ms`` after the one before counts as new, and state goes when it is that old. A task holds
-    one bucket of one block at most. The stream must be started with the settings ``STORE``.
+    it is in. An arrival more than ``keep_ms`` after the one before counts as new, and state goes when it is that old. Blocks are dealt
+    over ``slots``, each of which has its state and is one task's at a time; a task holds one bucket of one slot, or ``HELD_ROWS`` if
+    that is more. Keys are numbers, dates or strings. The stream must be started with the settings ``STORE``.
     """
-    rows = blocks.select(key, "ts", F.length("text").cast("long").alias("length")).where("length IS NOT NULL").withWatermark("ts", delay)
-    rows = rows.withColumn("us", F.unix_micros("ts"))
-    kind = blocks.schema[key].dataType.simpleString()
-    found = rows.groupBy(key).transformWithState(_InOrder(key, bucket_ms, keep_ms), f"{key} {kind}, us long, length long", "Append", "EventTime")
-    return found.select(key, F.timestamp_micros("us").alias("ts"), "length")
+    rows = blocks.select(key, "ts", F.length("text").cast("long").alias("length")).where("length IS NOT NULL AND ts IS NOT NULL").withWatermark("ts", delay)
+    # as strings, which pandas holds as they are, nulls included
+    rows = rows.select(F.pmod(F.xxhash64(key), F.lit(slots)).cast("int").alias("slot"), F.col(key).cast("string").alias("block"), "ts", F.unix_micros("ts").alias("us"), "length")
+    found = rows.groupBy("slot").transformWithStateInPandas(_InOrder(bucket_ms, keep_ms), "block string, us long, length long", "Append", "EventTime")
+    return found.select(F.col("block").cast(blocks.schema[key].dataType).alias(key), F.timestamp_micros("us").alias("ts"), "length")
 
 
 def latest_drafts(edits: DataFrame, gap: str = "300 milliseconds", delay: str = "10 seconds", key: str = "draft_id") -> DataFrame:
