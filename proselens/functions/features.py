@@ -7,10 +7,12 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml.feature import CountVectorizerModel, Normalizer
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..scratch import new_folder
 from ..shipping import ship
 from .patterns import WS
 from .text import model_prep
@@ -106,6 +108,16 @@ def to_vectors(df: DataFrame, bits: int = BITS, features: str = "features", vect
     return Normalizer(p=2.0, inputCol="__counts", outputCol=vector).transform(counter.transform(words)).drop("__words", "__counts")
 
 
+def written_vectors(df: DataFrame, bits: int = BITS, features: str = "features", vector: str = "vector") -> DataFrame:
+    """``to_vectors`` by way of a table, for many rows: the columns that make a sparse vector are written, and read back as vectors."""
+    own = F.coalesce(features, F.array().cast("array<int>"))
+    parts = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(1 << bits).alias("size"), own.alias("indices"), F.array_repeat(F.try_divide(F.lit(1.0), F.sqrt(F.size(own))), F.size(own)).alias("values"))
+    path = new_folder(df.sparkSession, "vectors")
+    df.withColumn(vector, parts).drop(features).write.parquet(path)
+    schema = T.StructType([f for f in df.schema.fields if f.name != features]).add(vector, VectorUDT())
+    return df.sparkSession.read.schema(schema).parquet(path)
+
+
 #: ``tokens`` as SQL.
 _TOKENS_SQL = """transform(slice(regexp_extract_all(regexp_replace(regexp_replace(lower(translate(coalesce({text}, ''), '‘’ʼ“”' || char(160), {quotes})), '[0-9]+', '0'), {newlines}, ' ¶ '), {token}, 0), 1, {most}),
   t -> CASE WHEN t RLIKE {emoji} THEN 'EMO' ELSE t END)"""

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import features as tokens_
-from ..functions.features import BITS, fold, hash_features, to_vectors
+from ..functions.features import BITS, fold, hash_features, written_vectors
 from ..scratch import materialise
 
 #: Tolerated shares of human texts flagged, and the fewest words that the model judges.
@@ -57,23 +57,24 @@ def quantize_table(weights: DataFrame) -> DataFrame:
     return weights.crossJoin(F.broadcast(scale)).select("bucket", F.greatest(F.least(F.rint(F.col("weight") / F.col("scale")), F.lit(127)), F.lit(-127)).cast("tinyint").alias("q"), "scale")
 
 
-def fit(df: DataFrame, label: str = "label", weight: str = "weight", c: float = 4.0, bits: int = BITS, text: str = "text", most_steps: int = 100, hashed: str | None = None) -> Model:
+def fit(df: DataFrame, label: str = "label", weight: str = "weight", c: float = 4.0, bits: int = BITS, text: str = "text", most_steps: int = 100, hashed: str | None = None, width: int | None = None) -> Model:
     """A class-balanced L2 logistic regression on the presence of hashed words, quantised.
 
-    Each step sums a gradient of 2**bits numbers over partitions as a tree; rows are kept where they are. ``hashed``: a column of
-    buckets at this width or a wider one, which is folded, instead of the text.
+    Texts are hashed once and their vectors written; sums of weights read only labels and weights. Each step sums a gradient of
+    2**bits numbers over partitions as a tree; the estimator keeps the rows, in blocks, where they are, so nothing else does.
+    ``hashed``: a column of buckets, of ``width`` or else of this width or a wider one, which is folded, instead of the text.
     """
-    own = fold(hashed, bits) if hashed else hash_features(text, bits)
-    rows = balance(df.select(F.col(label).cast("double").alias("label"), F.col(weight).cast("double").alias("weight"), own.alias("features")).where(F.size("features") > 0))
-    rows = to_vectors(rows, bits).select("label", "weight", "vector").persist()
-    try:
-        total, human, machine = rows.agg(F.sum("weight"), F.count_if(F.col("label") == 0), F.count_if(F.col("label") == 1)).first()
-        if not human or not machine:
-            raise ValueError("both classes are needed")
-        estimator = LogisticRegression(featuresCol="vector", labelCol="label", weightCol="weight", regParam=1 / (c * total), elasticNetParam=0.0, standardization=False, maxIter=most_steps, aggregationDepth=2)
-        fitted = estimator.fit(rows)
-    finally:
-        rows.unpersist()
+    if hashed:
+        own = F.col(hashed) if width == bits else fold(hashed, bits)
+        buckets = df.where(F.size(hashed) > 0).select(F.col(label).cast("double").alias("label"), F.col(weight).cast("double").alias("weight"), own.alias("features"))
+    else:  # written before rows are dropped: a filter on what a Python function returns would call it twice
+        buckets = materialise(df.select(F.col(label).cast("double").alias("label"), F.col(weight).cast("double").alias("weight"), hash_features(text, bits).alias("features")), "hashed").where(F.size("features") > 0)
+    rows = balance(written_vectors(buckets, bits))
+    total, human, machine = rows.agg(F.sum("weight"), F.count_if(F.col("label") == 0), F.count_if(F.col("label") == 1)).first()
+    if not human or not machine:
+        raise ValueError("both classes are needed")
+    estimator = LogisticRegression(featuresCol="vector", labelCol="label", weightCol="weight", regParam=1 / (c * total), elasticNetParam=0.0, standardization=False, maxIter=most_steps, aggregationDepth=2)
+    fitted = estimator.fit(rows)
     weights, scale = quantize(fitted.coefficients.toArray())
     return Model(weights, scale, float(fitted.intercept), bits, counts={"human": human, "machine": machine})
 
@@ -174,7 +175,7 @@ def compare_bits(train: DataFrame, test: DataFrame, widths: list[int], label: st
     judged = materialise(test.select(*test.columns, hashed), "hashed")
     found = None
     for bits in widths:
-        model = fit(fitting, bits=bits, label=label, weight=weight, hashed="__hashed", **options)
+        model = fit(fitting, bits=bits, label=label, weight=weight, hashed="__hashed", width=max(widths), **options)
         one = judged.withColumn("p", probability(fold("__hashed", bits), model, test.sparkSession)).withColumn("bits", F.lit(bits)).drop("__hashed")
         found = one if found is None else found.unionByName(one)
     return found

@@ -52,9 +52,10 @@ add("m4_vectors", _vectors, f"WITH {FEATURES_SQL}, g AS (SELECT DISTINCT doc_id,
 
 
 def _fitted(s: SparkSession, d: str) -> DataFrame:
-    rows = labelled(s, d).withColumn("weight", F.lit(1.0))
-    model = M.fit(rows)
-    return M.score(rows, model).select("doc_id", "label", F.round("p", 6).alias("p"))
+    rows = labelled(s, d).select("doc_id", "label", F.lit(1.0).alias("weight"), hash_features("text").alias("features"))
+    rows = materialise(rows, "hashed")  # fitted and scored: hashed once
+    model = M.fit(rows, hashed="features", width=M.BITS)
+    return rows.select("doc_id", "label", F.round(M.probability("features", model, s), 6).alias("p"))
 
 
 add("m5_fit", _fitted)

@@ -219,6 +219,37 @@ def test_models_are_fitted_at_the_reference_s_widths(spark, monkeypatch):
     assert {r["bits"] for r in found.collect()} == {16, 17, 18}
 
 
+def test_texts_are_hashed_once_for_a_fit(spark, monkeypatch):
+    """As often as there are rows, and the query's scores need no more; without texts of no token the fit is the same."""
+    from proselens.operators import model
+    from proselens.plans import model_queries
+
+    calls, plain = spark.sparkContext.accumulator(0), features.hash_features
+
+    @F.arrow_udf("array<int>")
+    def counted(lists):
+        calls.add(len(lists))
+        return lists
+
+    for module in (model, model_queries):
+        monkeypatch.setattr(module, "hash_features", lambda text, bits=17: counted(plain(text, bits)))
+    rows = [(k, f"we delve into the tapestry number {k} of it" if k % 2 else f"the bus came late on day {k} again", k % 2) for k in range(40)] + [(40, "", 0), (41, None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, label int")
+    monkeypatch.setattr(model_queries, "labelled", lambda s, d: docs)
+    found = M.fit(docs.withColumn("weight", F.lit(1.0)), bits=12, most_steps=5)
+    assert calls.value == len(rows) and found.counts == {"human": 20, "machine": 20}
+    scored = model_queries.QUERIES["m5_fit"](spark, "").collect()
+    assert calls.value == 2 * len(rows)
+    assert {r["p"] for r in scored if r["doc_id"] >= 40} == {0.5} and all((r["p"] > 0.5) == bool(r["label"]) for r in scored if r["doc_id"] < 40)
+
+
+def test_written_vectors_are_vectors(spark):
+    df = spark.createDataFrame([(0, [3, 5, 9]), (1, []), (2, None), (3, [15])], "id int, features array<int>")
+    found = {r["id"]: r["vector"] for r in features.written_vectors(df, 4).collect()}
+    want = {r["id"]: r["vector"] for r in features.to_vectors(df.where("features IS NOT NULL"), 4).collect()}
+    assert found == want | {2: want[1]}
+
+
 def test_folded_buckets_are_those_of_the_smaller_hash(spark):
     df = spark.createDataFrame([("Some words, some more words here — and a few.",), ("",), (None,), ("w " * 900,)], "text string")
     row = df.select(features.hash_features("text", 18).alias("wide"), *[features.hash_features("text", b).alias(f"b{b}") for b in (4, 16, 17)])
