@@ -144,7 +144,9 @@ def calibrate(scored: DataFrame, p: str = "p", budgets: dict[str, float] = BUDGE
 def train(fitting: DataFrame, humans: DataFrame, budgets: dict[str, float] = BUDGETS, **options) -> Model:
     """Fit, quantise, and take thresholds from the scores of human texts that weren't fitted."""
     model = fit(fitting, **options)
-    model.thresholds = calibrate(score(humans, model), budgets=budgets).first().asDict()
+    # written first: filters on scores would go down to the tables' scans, and hash texts that aren't calibrated on, and each use of scores again
+    scores = materialise(score(humans, model).select("p"), "scores")
+    model.thresholds = calibrate(scores, budgets=budgets).first().asDict()
     return model
 
 

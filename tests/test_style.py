@@ -243,6 +243,30 @@ def test_texts_are_hashed_once_for_a_fit(spark, monkeypatch):
     assert {r["p"] for r in scored if r["doc_id"] >= 40} == {0.5} and all((r["p"] > 0.5) == bool(r["label"]) for r in scored if r["doc_id"] < 40)
 
 
+def test_calibration_hashes_its_own_texts_once(spark, monkeypatch):
+    """Not those that a join leaves out, and not again for each use of a score."""
+    from proselens.operators import model
+
+    calls, plain = spark.sparkContext.accumulator(0), features.hash_features
+
+    @F.arrow_udf("array<int>")
+    def counted(lists):
+        calls.add(len(lists))
+        return lists
+
+    monkeypatch.setattr(model, "hash_features", lambda text, bits=17: counted(plain(text, bits)))
+    path = new_folder(spark, "docs")
+    rows = [(k, f"we delve into the tapestry number {k} of it" if k % 2 else f"the bus came late on day {k} again", k % 2) for k in range(60)]
+    spark.createDataFrame(rows, "doc_id int, text string, label int").write.parquet(path)
+    docs = spark.read.parquet(path)
+    fitting = docs.where("doc_id < 40").withColumn("weight", F.lit(1.0))
+    chosen = spark.createDataFrame([(k,) for k in range(40, 60, 2)], "doc_id int")
+    found = M.train(fitting, docs.join(F.broadcast(chosen), "doc_id"), bits=12, most_steps=5)
+    assert calls.value == 40 + 10 and set(found.thresholds) == set(M.BUDGETS)
+    p = sorted(r["p"] for r in M.score(docs.where("doc_id >= 40 AND label = 0"), found).collect())
+    assert found.thresholds["strict"] == pytest.approx(float(np.quantile(p, 0.97)))
+
+
 def test_written_vectors_are_vectors(spark):
     df = spark.createDataFrame([(0, [3, 5, 9]), (1, []), (2, None), (3, [15])], "id int, features array<int>")
     found = {r["id"]: r["vector"] for r in features.written_vectors(df, 4).collect()}
